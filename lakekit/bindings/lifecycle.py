@@ -1,2 +1,404 @@
-QUERIES = {}
-SQL = {}
+"""Table life cycle: tables are written below the shared folder and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.types import type_kind
+from ..operators import descriptors, merge, tables
+from ..sources import catalog, files
+from .common import fresh_table, table
+
+# --- writing, replacing, overwriting ------------------------------------------------------------
+
+
+def create_replace(spark, folder):
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "created")
+    tables.write_table(o.filter(F.col("o_orderstatus") == "F"), name, "create", root, partition_by=["o_orderstatus"])
+    tables.write_table(o, name, "replace")
+    tables.verify_write(o, name, key=["o_orderkey"])
+    return spark.table(name)
+
+
+def bootstrap_append(spark, folder):
+    li = table(spark, folder, "lineitem")
+    name, root = fresh_table(spark, "bootstrapped")
+    tables.bootstrap_empty(spark, name, li.schema, root, ["l_returnflag"])
+    tables.append(li, name)
+    return spark.table(name)
+
+
+def truncate(spark, folder):
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "truncated")
+    tables.write_table(o, name, "create", root)
+    tables.truncate(spark, name)
+    tables.append(o.filter(F.col("o_orderstatus") == "P"), name)
+    return spark.table(name)
+
+
+def overwrite_dynamic(spark, folder):
+    li = table(spark, folder, "lineitem")
+    name, root = fresh_table(spark, "dynamic")
+    tables.write_table(li, name, "create", root, partition_by=["l_returnflag"])
+    newer = li.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25))
+    tables.overwrite(newer, name, "dynamic")
+    return spark.table(name)
+
+
+def overwrite_where(spark, folder):
+    li = table(spark, folder, "lineitem")
+    name, root = fresh_table(spark, "matching")
+    tables.write_table(li, name, "create", root)
+    newer = li.filter(F.col("l_linestatus") == "O").withColumn("l_tax", F.lit(0.5))
+    tables.overwrite(newer, name, "where", F.col("l_quantity") < 10)
+    return spark.table(name)
+
+
+def overwrite_all(spark, folder):
+    li = table(spark, folder, "lineitem")
+    name, root = fresh_table(spark, "everything")
+    tables.write_table(li, name, "create", root, partition_by=["l_linestatus"])
+    tables.overwrite(li.filter(F.col("l_discount") > 0.05), name)
+    return spark.table(name)
+
+
+def evolve(spark, folder):
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "evolved")
+    old = o.filter(F.col("o_orderstatus") == "F").drop("o_orderpriority")
+    tables.write_table(old, name, "create", root)
+    wider = old.select("*", F.lit("x").alias("o_orderpriority")).schema
+    tables.evolve(spark, name, wider)
+    tables.append(o.filter(F.col("o_orderstatus") != "F"), name)
+    return spark.table(name)
+
+
+def compact(spark, folder):
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "compacted")
+    tables.write_table(o.repartition(16), name, "create", root, partition_by=["o_orderstatus"])
+    tables.compact(spark, name, 1024 * 1024)
+    return spark.table(name)
+
+
+def convert(spark, folder):
+    e = table(spark, folder, "events")
+    name, root = fresh_table(spark, "converted")
+    tables.write_table(e, name, "create", root)
+    for fmt in ("json", "csv", "orc"):
+        tables.convert(spark, name, fmt)
+    return catalog.read_registered(spark, name)
+
+
+def read_many(spark, folder):
+    names = []
+    for kind, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        name, root = fresh_table(spark, kind)
+        tables.write_table(table(spark, folder, kind), name, "create", root)
+        names.append(("shop", *name.split(".")))
+    union = catalog.read_many(spark, names)
+    return union.select(
+        F.split("source_table", "_")[0].alias("origin"), "source_domain", "c_custkey", "c_name", "s_suppkey", "s_name"
+    )
+
+
+def row_counts(spark, folder):
+    """Counts per table directory from footers; one partitioned and one empty table among them."""
+    root = fresh_table(spark, "counted")[1]
+    table(spark, folder, "orders").write.partitionBy("o_orderstatus").parquet(f"{root}/shop/orders")
+    table(spark, folder, "customer").write.parquet(f"{root}/shop/customer")
+    table(spark, folder, "events").filter("false").write.parquet(f"{root}/web/events")
+    counts = files.row_counts(spark, root)
+    return counts.select("schema_name", "table_name", "row_count", "corrupt_skipped")
+
+
+def list_files(spark, folder):
+    """The data folder itself as a table of files."""
+    return files.list_files(spark, folder, "*.parquet").select("name", "length")
+
+
+# --- key-wise writes ----------------------------------------------------------------------------
+
+
+def append_absent(spark, folder):
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "absent")
+    finished = o.filter(F.col("o_orderstatus") == "F").withColumn("o_totalprice", F.lit(0.0))
+    tables.write_table(finished, name, "create", root)
+    merge.append_absent(o.unionByName(o), name, ["o_orderkey"])
+    merge.append_absent(o, name, ["o_orderkey"])
+    return spark.table(name)
+
+
+def merge_by_key(spark, folder):
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "merged")
+    tables.write_table(o.filter(F.col("o_orderstatus") != "P"), name, "create", root)
+    source = (
+        o.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+        .withColumn("gone", F.col("o_totalprice") < 50000)
+        .withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    )
+    merge.merge_into(source, name, ["o_orderkey"], delete_flag="gone")
+    return spark.table(name)
+
+
+def keyed_export(spark, folder):
+    e = table(spark, folder, "events")
+    name, root = fresh_table(spark, "exported")
+    merge.keyed_export(e, name, "user_id", "replace", newest_by="ts", root=root)
+    return catalog.read_registered(spark, name)
+
+
+def keyed_export_upsert(spark, folder):
+    e = table(spark, folder, "events")
+    name, root = fresh_table(spark, "upserted")
+    merge.keyed_export(e.filter(F.col("event_type") != "error"), name, "user_id", "replace", newest_by="ts", root=root)
+    merge.keyed_export(e.filter(F.col("event_type") == "error"), name, "user_id", "upsert", newest_by="ts")
+    return catalog.read_registered(spark, name)
+
+
+def multiset_diff(spark, folder):
+    """Keys whose number of orders differs from their number of line items."""
+    left = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"))
+    right = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key"))
+    return tables.multiset_diff(left, right)
+
+
+# --- descriptors --------------------------------------------------------------------------------
+
+
+def _descriptors(spark, folder, side):
+    """Descriptors drawn from the parts: a table per brand and type, a column per size."""
+    p = table(spark, folder, "part")
+    pick = F.min if side == "existing" else F.max
+    name = F.concat_ws("_", F.translate("p_brand", "#", "_"), F.lower("p_type"))
+    position = F.col("p_size") - 1
+    kind = F.when(F.col("p_size") > 40, "decimal(10,2)").when(F.col("p_size") > 20, "string").otherwise("bigint")
+    # the requested side spells formats in capitals, wants some in orc, and swaps two partitions
+    fmt = F.when(F.col("p_type") == "SMALL", "ORC").otherwise("PARQUET")
+    swapped = F.when(F.col("p_type") == "PROMO", 2 - F.col("p_size")).otherwise(position)
+    kept = p.filter(F.col("p_brand") != "Brand#7") if side == "existing" else p
+    moved = F.when((F.col("p_type") == "LARGE") & F.lit(side == "requested"), "moved/").otherwise("")
+    steady = F.col("p_type").isin("LARGE", "PROMO", "SMALL")
+    described = kept.groupBy(name.alias("table_name"), "p_type", "p_size").agg(pick("p_name").alias("picked"))
+    return described.select(
+        "table_name",
+        F.when(steady, F.concat(F.lit("col_"), F.col("p_size"))).otherwise(F.col("picked")).alias("column_name"),
+        kind.alias("type_text"),
+        position.alias("position"),
+        F.lit(True).alias("nullable"),
+        F.when(F.col("p_size") <= 2, position if side == "existing" else swapped).alias("partition_index"),
+        (F.lit("parquet") if side == "existing" else fmt).alias("format"),
+        F.concat(F.lit("/lake/"), moved, F.col("table_name")).alias("location"),
+    )
+
+
+def _descriptor_sql(side):
+    new = side == "requested"
+    index = "CASE WHEN p_type = 'PROMO' THEN 2 - p_size ELSE p_size - 1 END" if new else "p_size - 1"
+    fmt = "CASE WHEN p_type = 'SMALL' THEN 'orc' ELSE 'parquet' END" if new else "'parquet'"
+    moved = "CASE WHEN p_type = 'LARGE' THEN 'moved/' ELSE '' END" if new else "''"
+    return f"""
+        SELECT replace(p_brand, '#', '_') || '_' || lower(p_type) AS t,
+               CASE WHEN p_type IN ('LARGE', 'PROMO', 'SMALL') THEN 'col_' || p_size
+                    ELSE {'max' if new else 'min'}(p_name) END AS c,
+               CASE WHEN p_size > 40 THEN 'decimal(10,2)' WHEN p_size > 20 THEN 'string' ELSE 'bigint' END AS ty,
+               p_size - 1 AS pos, CASE WHEN p_size <= 2 THEN {index} END AS pi, {fmt} AS f,
+               '/lake/' || {moved} || replace(p_brand, '#', '_') || '_' || lower(p_type) AS loc
+        FROM part {'' if new else "WHERE p_brand <> 'Brand#7'"}
+        GROUP BY p_brand, p_type, p_size"""
+
+
+_PLAN_CTE = f"""
+    WITH e AS ({_descriptor_sql('existing')}), r AS ({_descriptor_sql('requested')}),
+    tables AS (
+        SELECT coalesce(a.t, b.t) AS t, a.t AS in_e, b.t AS in_r, a.f AS ef, b.f AS rf,
+               a.loc AS eloc, b.loc AS rloc, a.n AS en, b.n AS rn
+        FROM (SELECT t, max(f) f, max(loc) loc, count(*) n FROM e GROUP BY t) a
+        FULL JOIN (SELECT t, max(f) f, max(loc) loc, count(*) n FROM r GROUP BY t) b ON a.t = b.t),
+    cols AS (
+        SELECT coalesce(e.t, r.t) AS t, coalesce(e.pos, r.pos) AS pos,
+               CASE WHEN e.t IS NULL THEN 'added' WHEN r.t IS NULL THEN 'removed'
+                    WHEN e.c <> r.c THEN 'name' WHEN e.ty <> r.ty THEN 'type' END AS why
+        FROM e FULL JOIN r ON e.t = r.t AND e.pos = r.pos),
+    parts AS (
+        SELECT coalesce(e.t, r.t) AS t, bool_or(e.c IS DISTINCT FROM r.c) AS differs
+        FROM (SELECT * FROM e WHERE pi >= 0) e FULL JOIN (SELECT * FROM r WHERE pi >= 0) r
+             ON e.t = r.t AND e.pi = r.pi GROUP BY 1),
+    firsts AS (SELECT t, arg_min('column ' || pos || ' ' || why, pos) AS why FROM cols WHERE why IS NOT NULL GROUP BY t)"""
+
+
+def _plan_sql(column_reason):
+    return f"""{_PLAN_CTE}, reasons AS (
+        SELECT tables.t AS table_name, in_e, in_r,
+               CASE WHEN in_e IS NULL THEN 'missing' WHEN in_r IS NULL THEN 'not requested'
+                    WHEN ef <> rf THEN 'format' WHEN {column_reason} IS NOT NULL THEN {column_reason}
+                    WHEN differs THEN 'partitions' END AS reason
+        FROM tables LEFT JOIN firsts USING (t) LEFT JOIN parts USING (t))
+    SELECT table_name,
+           CASE WHEN in_e IS NULL THEN 'create' WHEN in_r IS NULL THEN 'ignore'
+                WHEN reason IS NULL THEN 'reuse' ELSE 'recreate' END AS action,
+           reason
+    FROM reasons"""
+
+
+def plan_change(spark, folder):
+    return descriptors.plan_change(_descriptors(spark, folder, "existing"), _descriptors(spark, folder, "requested"))
+
+
+def plan_change_arity(spark, folder):
+    return descriptors.plan_change(
+        _descriptors(spark, folder, "existing"), _descriptors(spark, folder, "requested"), rule="arity"
+    )
+
+
+def registry_diff(spark, folder):
+    return descriptors.registry_diff(_descriptors(spark, folder, "existing"), _descriptors(spark, folder, "requested"))
+
+
+def partition_columns(spark, folder):
+    """A table per brand and type; the ten largest sizes are its partition columns."""
+    p = table(spark, folder, "part")
+    desc = p.select(
+        F.concat_ws("/", "p_brand", "p_type").alias("table_name"),
+        F.concat(F.lit("size_"), F.col("p_size")).alias("column_name"),
+        F.when(F.col("p_size") > 5, F.col("p_size") - 41).alias("partition_index"),
+    )
+    return descriptors.partition_columns(desc)
+
+
+def type_kinds(spark, folder):
+    """Kinds of type texts built from the parts."""
+    p = table(spark, folder, "part")
+    n = F.col("p_size").cast("string")
+    text = (
+        F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("decimal("), n, F.lit(",2)")))
+        .when(F.col("p_type") == "SMALL", F.concat(F.lit("Varchar("), n, F.lit(")")))
+        .when(F.col("p_type") == "PROMO", F.concat(F.lit("array<decimal("), n, F.lit(",0)>")))
+        .when(F.col("p_type") == "LARGE", F.lit("interval day to second"))
+        .when(F.col("p_type") == "MEDIUM", F.when(F.col("p_size") > 25, "bigint").otherwise("timestamp_ntz"))
+        .otherwise(F.lit("variant"))
+    )
+    return p.select("p_partkey", type_kind(text).alias("kind"))
+
+
+def valid_names(spark, folder):
+    return descriptors.valid_names(table(spark, folder, "documents"), "source").unionByName(
+        descriptors.valid_names(table(spark, folder, "pages"), "url")
+    )
+
+
+def orphans(spark, folder):
+    """Directories of customers against entries of customers with finished orders."""
+    c = table(spark, folder, "customer")
+    o = table(spark, folder, "orders").filter(F.col("o_totalprice") > 400000)
+    place = lambda key: F.concat(F.lit("/lake/c"), F.col(key))
+    listed = c.filter(F.col("c_acctbal") > 0).select(
+        F.concat(place("c_custkey"), F.lit("/part-0.parquet")).alias("path"), F.col("c_nationkey").cast("bigint").alias("length")
+    )
+    entries = o.groupBy("o_custkey").agg(F.count("*")).select(
+        F.concat(F.lit("c"), F.col("o_custkey")).alias("table_name"), F.concat(place("o_custkey"), F.lit("/")).alias("location")
+    )
+    return descriptors.orphans(listed, entries)
+
+
+QUERIES = {
+    "create_replace_roundtrip": create_replace,
+    "bootstrap_append": bootstrap_append,
+    "truncate": truncate,
+    "overwrite_all": overwrite_all,
+    "overwrite_dynamic": overwrite_dynamic,
+    "overwrite_where": overwrite_where,
+    "evolve": evolve,
+    "compact": compact,
+    "convert": convert,
+    "read_many": read_many,
+    "row_counts": row_counts,
+    "list_files": list_files,
+    "append_absent": append_absent,
+    "merge_by_key": merge_by_key,
+    "keyed_export": keyed_export,
+    "keyed_export_upsert": keyed_export_upsert,
+    "multiset_diff": multiset_diff,
+    "plan_change": plan_change,
+    "plan_change_arity": plan_change_arity,
+    "registry_diff": registry_diff,
+    "partition_columns": partition_columns,
+    "type_kinds": type_kinds,
+    "valid_names": valid_names,
+    "orphans": orphans,
+}
+
+SQL = {
+    "create_replace_roundtrip": "SELECT * FROM orders",
+    "bootstrap_append": "SELECT * FROM lineitem",
+    "truncate": "SELECT * FROM orders WHERE o_orderstatus = 'P'",
+    "overwrite_all": "SELECT * FROM lineitem WHERE l_discount > 0.05",
+    "overwrite_dynamic": "SELECT * FROM lineitem WHERE l_returnflag <> 'R' OR l_quantity > 25",
+    "overwrite_where": """
+        SELECT * FROM lineitem WHERE l_quantity >= 10
+        UNION ALL SELECT * REPLACE (0.5::DOUBLE AS l_tax) FROM lineitem WHERE l_linestatus = 'O'""",
+    "evolve": """
+        SELECT * REPLACE (CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority) FROM orders""",
+    "compact": "SELECT * FROM orders",
+    "convert": "SELECT * FROM events",
+    "read_many": """
+        SELECT 'customer' AS origin, 'shop' AS source_domain, c_custkey, c_name,
+               CAST(NULL AS BIGINT) AS s_suppkey, CAST(NULL AS VARCHAR) AS s_name FROM customer
+        UNION ALL SELECT 'supplier', 'shop', NULL, NULL, s_suppkey, s_name FROM supplier""",
+    "row_counts": """
+        SELECT 'shop' AS schema_name, 'orders' AS table_name, count(*) AS row_count, FALSE AS corrupt_skipped FROM orders
+        UNION ALL SELECT 'shop', 'customer', count(*), FALSE FROM customer
+        UNION ALL SELECT 'web', 'events', 0, FALSE""",
+    "append_absent": """
+        SELECT * REPLACE (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END AS o_totalprice) FROM orders""",
+    "merge_by_key": """
+        SELECT * REPLACE (CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_totalprice * 2
+                               ELSE o_totalprice END AS o_totalprice)
+        FROM orders
+        WHERE CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_totalprice >= 50000
+                   ELSE o_orderstatus <> 'P' END""",
+    "keyed_export": """
+        SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1""",
+    "keyed_export_upsert": """
+        SELECT * FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error' DESC, ts DESC, event_id) = 1""",
+    "multiset_diff": """
+        SELECT key, CAST(sum(side) AS BIGINT) AS n
+        FROM (SELECT o_orderkey AS key, 1 AS side FROM orders UNION ALL SELECT l_orderkey, -1 FROM lineitem)
+        GROUP BY key HAVING sum(side) <> 0""",
+    "plan_change": _plan_sql("firsts.why"),
+    "plan_change_arity": _plan_sql("(CASE WHEN en <> rn THEN 'column count' END)"),
+    "registry_diff": f"""{_PLAN_CTE}
+        SELECT tables.t AS table_name,
+               coalesce(eloc <> rloc, FALSE) AS location_changed,
+               in_e IS NOT NULL AND in_r IS NOT NULL AND firsts.why IS NOT NULL AS schema_changed,
+               in_e IS NOT NULL AND in_r IS NOT NULL AND coalesce(differs, FALSE) AS partition_changed,
+               CASE WHEN in_e IS NULL THEN 'left' WHEN in_r IS NULL THEN 'right' END AS missing_in
+        FROM tables LEFT JOIN firsts USING (t) LEFT JOIN parts USING (t)""",
+    "partition_columns": """
+        SELECT p_brand || '/' || p_type AS table_name,
+               list_transform(list_sort(coalesce(list(DISTINCT p_size) FILTER (p_size > 40), [])),
+                              lambda s: 'size_' || s) AS cols
+        FROM part GROUP BY p_brand, p_type""",
+    "type_kinds": """
+        SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'DECIMAL' WHEN 'SMALL' THEN 'STRING' WHEN 'PROMO' THEN 'ARRAY'
+               WHEN 'MEDIUM' THEN CASE WHEN p_size > 25 THEN 'LONG' ELSE 'TIMESTAMP_NTZ' END ELSE 'OTHER' END AS kind
+        FROM part""",
+    "valid_names": """
+        SELECT name, coalesce(regexp_full_match(name, '[A-Za-z0-9_-]+'), FALSE) AS ok,
+               CASE WHEN name IS NULL THEN 'null' WHEN name = '' THEN 'empty'
+                    WHEN NOT regexp_full_match(name, '[A-Za-z0-9_-]+') THEN 'bad character' END AS reason
+        FROM (SELECT source AS name FROM documents UNION ALL SELECT url FROM pages)""",
+    "orphans": """
+        WITH dirs AS (SELECT '/lake/c' || c_custkey AS location, 'c' || c_custkey AS t, c_nationkey AS n
+                      FROM customer WHERE c_acctbal > 0),
+        entries AS (SELECT DISTINCT 'c' || o_custkey AS t, '/lake/c' || o_custkey AS location
+                    FROM orders WHERE o_totalprice > 400000)
+        SELECT 'no entry' AS kind, location, CAST(NULL AS VARCHAR) AS table_name, CAST(1 AS BIGINT) AS files,
+               CAST(n AS BIGINT) AS bytes FROM dirs WHERE t NOT IN (SELECT t FROM entries)
+        UNION ALL SELECT 'no data', location, t, 0, 0 FROM entries WHERE t NOT IN (SELECT t FROM dirs)""",
+}
