@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import delete_path, materialise, scratch_path
 from .merge import one_per_key
-from .skew import salted_join
+from .skew import lookup_join
 
 
 def graph_tables(
@@ -52,18 +52,18 @@ def split_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return whole, dangling
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a vertex is linked to the smallest of its neighbourhood."""
     around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = around.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
-    smallest = smallest.select("v", F.least("m", "v").alias("m"))
-    return salted_join(edges, smallest, ["v"]).select("u", F.col("m").alias("v")).distinct()
+    smallest = around.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    smallest = smallest.select("v", F.least("m", "v").alias("m"), "n")
+    return lookup_join(edges, smallest, ["v"], "n", total).select("u", F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """A vertex and its smaller neighbours are linked to the smallest of them."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = salted_join(edges, smallest, ["u"]).filter(F.col("v") != F.col("m"))
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = lookup_join(edges, smallest, ["u"], "n", total).filter(F.col("v") != F.col("m"))
     return (
         moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(smallest.select("u", F.col("m").alias("v")))
@@ -71,10 +71,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    )
+def _written(edges: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    """Edges as files, and their number and a sum of their hashes taken while writing."""
+    seen = Observation()
+    summed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+    state = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), summed), path)
+    return state, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(
@@ -84,8 +86,9 @@ def connected_components(
 
     Alternates large-star and small-star steps until the edges stop changing, which takes few
     rounds even on long chains. A vertex is only ever met through its minimum, never through a
-    list of neighbours, and the two joins deal the edges of a hub over many tasks. The edges of
-    every round are written below `path` (by default in the shared folder), which ends the
+    list of neighbours, and the minimum of a hub is broadcast to its edges instead of moving them
+    into one task. The edges of
+    every step are written below `path` (by default in the shared folder), which ends the
     lineage; the round before is deleted.
     """
     spark = nodes.sparkSession
@@ -95,12 +98,12 @@ def connected_components(
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
-    state = materialise(start, f"{path}/round-0")
-    seen = _fingerprint(state)
+    state, seen = _written(start, f"{path}/round-0")
     for n in range(1, max_rounds + 1):
-        state = materialise(_small_star(_large_star(state)), f"{path}/round-{n}")
+        middle = materialise(_large_star(state, seen[0]), f"{path}/round-{n}-large")
+        state, now = _written(_small_star(middle, seen[0]), f"{path}/round-{n}")
+        delete_path(spark, f"{path}/round-{n}-large")
         delete_path(spark, f"{path}/round-{n - 1}")
-        now = _fingerprint(state)
         if now == seen:
             break
         seen = now

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .skew import salted_join
+from .skew import lookup_join, salted_join
 
 # Words that are not part of a name.
 TITLES = ["MR", "MRS", "MS", "MISS", "DR", "HON", "REV", "PROF", "SIR"]
@@ -113,9 +113,10 @@ def candidate_pairs(keys: DataFrame, records: DataFrame, field: str, max_edits:
     """
     valued = records.select("id", F.col(field).alias("value")).filter(F.col("value").isNotNull())
     blocked = keys.join(valued, "id").select("id", "rule", "block", "value")
-    values = blocked.groupBy("rule", "block", "value").agg(F.min("id").alias("rep"))
+    values = blocked.groupBy("rule", "block", "value").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    records_in_blocks = values.select(F.sum("n")).scalar()
     same = (
-        salted_join(blocked, values, ["rule", "block", "value"])
+        lookup_join(blocked, values, ["rule", "block", "value"], "n", records_in_blocks)
         .filter(F.col("id") != F.col("rep"))
         .select(F.col("rep").alias("l"), F.col("id").alias("r"))
         .distinct()

@@ -13,6 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bands import map_values
+from .skew import heavy_cells, with_slice
+
 MB = 1048576
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
@@ -65,72 +68,97 @@ def counter_rate(
     A decrease is a reset: the new value counts as the increment. The rate is the increase between
     the first and the last sample of the window divided by the time between them, without
     extrapolation, and NULL for fewer than two samples. Samples without a value are ignored; equal
-    timestamps collapse to the last by `order` (by default to the largest value).
-
-    A series is cut into slices of `slice_length`. Every slice also gets the samples of the window
-    before it, which is all a rate in that slice can look at, so slices are independent.
+    timestamps collapse to the last by `order` (by default to the largest value), and they do so
+    before any row is moved to its series.
+
+    A series is cut into slices of `slice_length`, busy ones into narrower ones of at least the
+    window. Every slice also gets the samples of the window before it, which is all a rate in that
+    slice can look at, so slices are independent. Within a slice the increase is a difference of
+    running totals; the first sample of each window is found by sorting the window starts in among
+    the samples. Both are linear, however many samples a window holds.
     """
     keys = _keys(key)
     span = micros(window)
-    length = max(micros(slice_length), span)
-    own = F.floor(F.col("_t") / F.lit(length))
-    looking_back = F.floor((F.col("_t") + F.lit(span - 1)) / F.lit(length))
-    ordering = [order] if order else []
-    samples = (
-        df.filter(F.col(value).isNotNull() & F.col(ts).isNotNull())
-        .select(*keys, ts, F.col(value).alias("_v"), *ordering, _as_micros(ts).alias("_t"))
-        .withColumn("_own", own)
-        .withColumn("_slice", F.explode(F.array_distinct(F.array(F.col("_own"), looking_back))))
+    length = max(micros(slice_length), 4 * span)
+    kept = df.filter(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(
+        F.struct(*keys).alias("_key"),
+        _as_micros(ts).alias("_t"),
+        F.col(value).alias("_v"),
+        *([F.col(order).alias("_o")] if order else []),
     )
-    by_slice = Window.partitionBy(*keys, "_slice")
-    in_order = by_slice.orderBy("_t", *(ordering or ["_v"]))
-    following = F.lead("_t").over(in_order)
-    distinct_ts = samples.withColumn("_next", following).filter(
-        F.col("_next").isNull() | (F.col("_next") != F.col("_t"))
+    last = F.max(F.struct("_o", "_v"))["_v"] if order else F.max("_v")
+    samples = kept.groupBy("_key", "_t").agg(last.alias("_v"))
+    heavy = heavy_cells(kept, length, span)
+    placed = with_slice(samples, heavy, length, F.col("_t"), "_own")
+    placed = with_slice(placed, heavy, length, F.col("_t") + F.lit(span - 1), "_later")
+    placed = placed.withColumn("_slice", F.explode(F.array_distinct(F.array("_own", "_later"))))
+
+    upward = Window.partitionBy("_key", "_slice").orderBy("_t")
+    before = F.lag("_v").over(upward)
+    step = F.when(before.isNull(), F.lit(0.0)).when(F.col("_v") >= before, F.col("_v") - before).otherwise(F.col("_v"))
+    so_far = upward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = (
+        placed.withColumn("_step", step)
+        .withColumn("_total", F.sum("_step").over(so_far))
+        .withColumn("_number", F.row_number().over(upward))
     )
-    by_time = by_slice.orderBy("_t")
-    previous = F.lag("_v").over(by_time)
-    step = F.when(F.col("_v") >= previous, F.col("_v") - previous).otherwise(F.col("_v"))
-    frame = by_time.rangeBetween(-(span - 1), 0)
-    # the first sample of a window has no increment inside it
-    stepped = distinct_ts.withColumn("_step", F.when(previous.isNull(), F.lit(0.0)).otherwise(step))
-    increase = F.sum("_step").over(frame) - F.first("_step").over(frame)
-    seconds = (F.col("_t") - F.min("_t").over(frame)) / F.lit(1e6)
-    rate = F.when(F.count(F.lit(1)).over(frame) >= 2, increase / seconds)
-    return (
-        stepped.withColumn("rate", rate)
-        .filter(F.col("_slice") == F.col("_own"))
-        .select(*keys, ts, F.col("_v").alias(value), "rate")
+    # every sample again as the start of its window; going down in time, the sample met last
+    # before a window start is the first one inside the window
+    own_only = F.col("_slice") == F.col("_own")
+    entries = F.when(
+        own_only, F.array(F.col("_t"), F.col("_t") - F.lit(span - 1))
+    ).otherwise(F.array(F.col("_t")))
+    points = totals.select("*", F.posexplode(entries).alias("_start", "_at"))
+    downward = Window.partitionBy("_key", "_slice").orderBy(F.col("_at").desc(), F.col("_start").asc())
+    met = downward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = F.when(F.col("_start") == 0, F.struct("_t", "_total", "_number"))
+    found = points.withColumn("_first", F.last(sample, ignorenulls=True).over(met)).filter(F.col("_start") == 1)
+    seconds = (F.col("_t") - F.col("_first._t")) / F.lit(1e6)
+    rate = F.when(F.col("_number") > F.col("_first._number"), (F.col("_total") - F.col("_first._total")) / seconds)
+    return found.select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys],
+        F.timestamp_micros("_t").cast(df.schema[ts].dataType).alias(ts),
+        F.col("_v").alias(value),
+        rate.alias("rate"),
     )
 
 
 def sustained(
-    df: DataFrame, key: str | Sequence[str], ts: str, cond: Column | str, hold: str, slice_length: str = "1 day"
+    df: DataFrame,
+    key: str | Sequence[str],
+    ts: str,
+    cond: Column | str,
+    hold: str | Column,
+    slice_length: str = "1 day",
 ) -> DataFrame:
     """Intervals in which a condition holds without a break: `key, start, end, fired_at, samples, open`.
 
     `fired_at` is the first sample at least `hold` after the start, NULL when the interval ends
-    before. A false or NULL condition ends an interval; at equal timestamps false comes first.
-    `open` marks an interval that reaches the last sample of its series.
-
-    A series is cut into slices of `slice_length`. Runs inside a slice are found per slice; one
-    row per slice then tells which run continues into the next slice, and the rows are grouped by
-    the true start of their run.
+    before; `hold` is a duration, or a column of seconds that is constant per series. A false or
+    NULL condition ends an interval. Samples of a series with equal timestamps count as one, which
+    holds when all of them do; they are combined before any row is moved to its series. `open`
+    marks an interval that reaches the last sample of its series.
+
+    A series is cut into slices of `slice_length`, busy ones into narrower ones. Runs inside a
+    slice are found per slice; one row per slice then tells which run continues into the next
+    slice, and the rows are grouped by the true start of their run.
     """
     keys = _keys(key)
     held = cond if isinstance(cond, Column) else F.col(cond)
-    wait = micros(hold)
+    wait = hold.cast("bigint") * F.lit(1_000_000) if isinstance(hold, Column) else F.lit(micros(hold))
     length = micros(slice_length)
-    samples = (
-        df.filter(F.col(ts).isNotNull())
-        .select(F.struct(*keys).alias("_key"), _as_micros(ts).alias("_t"), F.coalesce(held, F.lit(False)).alias("_c"))
-        .withColumn("_slice", F.floor(F.col("_t") / F.lit(length)))
+    rows = df.filter(F.col(ts).isNotNull()).select(
+        F.struct(F.struct(*keys).alias("k"), wait.cast("bigint").alias("wait")).alias("_key"),
+        _as_micros(ts).alias("_t"),
+        F.coalesce(held, F.lit(False)).alias("_c"),
     )
-    in_slice = Window.partitionBy("_key", "_slice").orderBy("_t", "_c")
+    samples = rows.groupBy("_key", "_t").agg(F.min("_c").alias("_c"))
+    placed = with_slice(samples, heavy_cells(rows, length, 1_000_000), length, F.col("_t"), "_slice")
+    in_slice = Window.partitionBy("_key", "_slice").orderBy("_t")
     so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.lag("_c").over(in_slice)
     runs = (
-        samples.withColumn("_turn", before.isNull() | (before != F.col("_c")))
+        placed.withColumn("_turn", before.isNull() | (before != F.col("_c")))
         .withColumn("_run", F.sum(F.col("_turn").cast("int")).over(so_far))
         .withColumn("_from", F.max(F.when(F.col("_turn"), F.col("_t"))).over(so_far))
     )
@@ -160,15 +188,15 @@ def sustained(
         .select("_key", "_slice", "_carry", F.when(F.col("_newest"), F.col("_open_from")).alias("_still"))
     )
     start = F.when((F.col("_run") == 1) & F.col("_carry").isNotNull(), F.col("_carry")).otherwise(F.col("_from"))
-    placed = (
+    started = (
         runs.filter("_c")
         .select("_key", "_slice", "_t", "_run", "_from")
         .join(carried, ["_key", "_slice"])
         .withColumn("_start", start)
     )
-    fired = F.min(F.when(F.col("_t") - F.col("_start") >= F.lit(wait), F.col("_t")))
+    fired = F.min(F.when(F.col("_t") - F.col("_start") >= F.col("_key.wait"), F.col("_t")))
     return (
-        placed.groupBy("_key", "_start")
+        started.groupBy("_key", "_start")
         .agg(
             F.max("_t").alias("_end"),
             fired.alias("_fired"),
@@ -176,7 +204,7 @@ def sustained(
             F.max(F.coalesce(F.col("_still") == F.col("_start"), F.lit(False))).alias("open"),
         )
         .select(
-            *[F.col(f"_key.{k}").alias(k) for k in keys],
+            *[F.col(f"_key.k.{k}").alias(k) for k in keys],
             F.timestamp_micros("_start").alias("start"),
             F.timestamp_micros("_end").alias("end"),
             F.timestamp_micros("_fired").alias("fired_at"),
@@ -200,8 +228,7 @@ def evaluate_rules(
 ) -> DataFrame:
     """Fired alerts of all rules over all series: `alert, severity, <series>, start, end, fired_at`.
 
-    Rules are joined to samples by metric name; the hold time differs by rule, so a run is kept
-    when some sample is at least that long after its start.
+    Rules are joined to samples by metric name, one pass for all rules whatever their hold times.
     """
     holds = (
         F.when(F.col("op") == "equals", F.col("value") == F.col("threshold"))
@@ -210,23 +237,14 @@ def evaluate_rules(
     )
     named = rules.select(F.col("metric").alias("_metric"), "alert", "op", "threshold", "hold_seconds", "severity")
     judged = samples.join(named, F.col("metric") == F.col("_metric"))
-    keys = ["alert", "severity", "hold_seconds", *series]
-    out = None
-    # one pass per distinct hold time; a rule table has a handful
-    for hold in sorted(r[0] for r in rules.select("hold_seconds").distinct().collect()):
-        part = sustained(judged.filter(F.col("hold_seconds") == hold), keys, ts, holds, f"{hold} seconds", slice_length)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no rules")
-    return out.filter(F.col("fired_at").isNotNull()).select("alert", "severity", *series, "start", "end", "fired_at")
+    runs = sustained(judged, ["alert", "severity", *series], ts, holds, F.col("hold_seconds"), slice_length)
+    return runs.filter(F.col("fired_at").isNotNull()).select("alert", "severity", *series, "start", "end", "fired_at")
 
 
 def current_state(
     df: DataFrame, key: str | Sequence[str], ts: str = "ts", value: str = "value", states: Mapping | None = None
 ) -> DataFrame:
     """Newest sample per series with its mapped state; on a tie the larger value."""
-    from ..functions.bands import map_values
-
     newest = df.groupBy(*_keys(key)).agg(F.max(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))).alias("_n"))
     out = newest.select(*_keys(key), F.col("_n.t").alias(ts), F.col("_n.v").alias(value))
     return out.withColumn("state", map_values(F.col(value).cast("int"), states)) if states else out
@@ -256,40 +274,33 @@ def retain(
 ) -> DataFrame:
     """Rows not older than `max_age` and among the newest `max_n` of their key; the newest always stays.
 
-    Rows are counted per time slice first. A slice that lies wholly within or beyond the limit is
-    kept or dropped by its count; only rows of the one slice per key in which the limit falls are
-    ranked. `tie` orders equal timestamps. Rows without a timestamp count as the oldest.
+    Rows are counted per time slice first, busy slices being narrower. A slice that lies wholly
+    within or beyond the limit is kept or dropped by its count; only rows of the one slice per key
+    in which the limit falls are ranked. `tie` orders equal timestamps. Rows without a timestamp
+    count as the oldest.
     """
     keys = _keys(key)
     limit = max_n if max_n is not None else 2**62
     if limit < 1:
         raise ValueError("max_n must be at least 1")
     length = micros(slice_length)
-    oldest = -(2**62)
-    at = F.coalesce(_as_micros(ts), F.lit(oldest))
+    oldest = -(2**60)
     cutoff = F.lit(oldest - 1)
     if max_age is not None:
         cutoff = F.unix_micros(F.lit(now).cast("timestamp")) - F.lit(micros(max_age))
-    staged = df.withColumn("_t", at).withColumn("_slice", F.floor(F.col("_t") / F.lit(length)))
-    sizes = staged.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"), F.max("_t").alias("_top"))
-    newest_first = Window.partitionBy(*keys).orderBy(F.col("_slice").desc())
+    timed = df.withColumn("_key", F.struct(*keys)).withColumn("_t", F.coalesce(_as_micros(ts), F.lit(oldest)))
+    heavy = heavy_cells(timed.select("_key", "_t"), length, 1_000_000)
+    staged = with_slice(timed, heavy, length, F.col("_t"), "_slice")
+    sizes = staged.groupBy("_key", "_slice").agg(F.count("*").alias("_n"), F.max("_t").alias("_top"))
+    newest_first = Window.partitionBy("_key").orderBy(F.col("_slice").desc())
     running = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sizes.withColumn("_newer", F.sum("_n").over(running) - F.col("_n")).filter(F.col("_newer") < limit)
-    lookup = placed.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"), "_n", "_newer", "_top"
-    )
-    same = F.col("_slice") == F.col("_s")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = staged.join(lookup, same)
+    reached = sizes.withColumn("_newer", F.sum("_n").over(running) - F.col("_n")).filter(F.col("_newer") < limit)
+    joined = staged.join(reached, ["_key", "_slice"])
     fits = F.col("_newer") + F.col("_n") <= limit
     only_newest = (F.col("_newer") == 0) & (F.col("_top") <= cutoff)
     whole = joined.filter(fits & ~only_newest & (F.col("_t") > cutoff))
-    ranked = joined.filter(~fits | only_newest).withColumn(
-        "_rank",
-        F.col("_newer")
-        + F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(F.col("_t").desc(), *tie)),
-    )
+    by_slice = Window.partitionBy("_key", "_slice").orderBy(F.col("_t").desc(), *tie)
+    ranked = joined.filter(~fits | only_newest).withColumn("_rank", F.col("_newer") + F.row_number().over(by_slice))
     edge = ranked.filter((F.col("_rank") <= limit) & ((F.col("_t") > cutoff) | (F.col("_rank") == 1)))
     return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 

@@ -1,10 +1,10 @@
-"""Equi-join that survives a key holding a large part of the rows on the left."""
+"""Equi-joins that survive a key holding a large part of the rows on the left."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,55 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+
+
+def lookup_join(
+    left: DataFrame, lookup: DataFrame, on: Sequence[str], rows: str, total: int | Column, share: int = 64
+) -> DataFrame:
+    """Inner join with a lookup that is unique on `on` and knows how many left rows a key has.
+
+    `rows` is that count (or an upper bound) and `total` the number of left rows. Keys with more
+    than one `share`-th of them are fewer than `share` (per unit of the bound), so they are
+    broadcast and their rows are joined where they are; all other rows are shuffled. The count is
+    a by-product of building the lookup, so finding the hot keys costs no pass over `left`.
+    """
+    on = list(on)
+    values = [c for c in lookup.columns if c not in (*on, rows)]
+    is_hot = F.col(rows) * F.lit(share) > (F.lit(total) if isinstance(total, int) else total)
+    hot = lookup.filter(is_hot).select(*on, F.struct(*values).alias("_found"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    there = marked.filter(F.col("_found").isNotNull()).select(*left.columns, *[f"_found.{v}" for v in values])
+    rest = marked.filter(F.col("_found").isNull()).drop("_found")
+    # the same columns as above, so that Spark builds the lookup once for both
+    others = lookup.filter(~is_hot)
+    return there.unionByName(rest.join(others, on).select(*left.columns, *values))
+
+
+SLICE_ROWS = 1_000_000
+MAX_HEAVY = 10_000
+
+
+def heavy_cells(df: DataFrame, length: int, narrowest: int) -> DataFrame:
+    """Time cells of a series that hold too many rows, and the width to cut them into.
+
+    `df` has a series `_key` and a time `_t` in microseconds; cells are `length` wide. A cell is
+    heavy above `SLICE_ROWS` rows, or above one `MAX_HEAVY`-th of all rows where that is more, so
+    there are fewer than `MAX_HEAVY` heavy cells and the result is safe to broadcast. Cells are cut
+    evenly and never below `narrowest`.
+    """
+    cell = F.floor(F.col("_t") / F.lit(length))
+    counts = df.groupBy("_key", cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()
+    limit = F.greatest(F.lit(SLICE_ROWS), F.ceil(total / F.lit(MAX_HEAVY)))
+    width = F.greatest(F.ceil(F.lit(length) / F.ceil(F.col("_n") / limit)), F.lit(narrowest))
+    heavy = counts.filter(F.col("_n") > limit)
+    return F.broadcast(heavy.select("_key", "_cell", width.cast("bigint").alias("_width")))
+
+
+def with_slice(df: DataFrame, heavy: DataFrame, length: int, at: Column, name: str) -> DataFrame:
+    """Add the start of the time slice of `_key` that `at` falls into, as column `name`."""
+    located = df.withColumn("_at", at).withColumn("_cell", F.floor(F.col("_at") / F.lit(length)))
+    start = F.col("_cell") * F.lit(length)
+    width = F.coalesce(F.col("_width"), F.lit(length))
+    begin = start + F.floor((F.col("_at") - start) / width) * width
+    return located.join(heavy, ["_key", "_cell"], "left").withColumn(name, begin).drop("_at", "_cell", "_width")
