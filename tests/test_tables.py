@@ -239,9 +239,7 @@ def test_merge_agrees_with_a_dict(spark, target, source):
 
 
 def describe(spark, fields, parts=(), fmt="parquet", location="/x", table="t"):
-    schema = StructType()
-    for name_, kind in fields:
-        schema = schema.add(name_, kind)
+    schema = StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in fields))
     return descriptors.describe_schema(spark, {table: schema}, {table: parts}, {table: fmt}, {table: location})
 
 
