@@ -9,4 +9,12 @@ from .catalog import (  # noqa: F401
     schema_properties,
 )
 from .event_logs import jobs, read_event_logs, sql_executions, stages, tasks  # noqa: F401
-from .files import list_files, read_path, row_counts, rows, stream_path, with_path_keys  # noqa: F401
+from .files import (  # noqa: F401
+    list_files,
+    list_markers,
+    read_path,
+    row_counts,
+    rows,
+    stream_path,
+    with_path_keys,
+)

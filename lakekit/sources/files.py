@@ -25,7 +25,8 @@ def list_files(spark: SparkSession, root: str | Sequence[str], pattern: str = "*
     """Recursive listing `(path, name, length, modified_at)`; no file content is read.
 
     Folders whose name starts with `_` or `.` are skipped unless `root` names them, directly
-    or by a glob such as `table/cycle=*/_months`.
+    or by a glob such as `table/cycle=*/_months`. Spark's file sources pass over files of zero
+    length; `list_markers` is for those.
     """
     listing = (
         spark.read.format("binaryFile")
@@ -41,6 +42,19 @@ def list_files(spark: SparkSession, root: str | Sequence[str], pattern: str = "*
     )
 
 
+def list_markers(spark: SparkSession, glob: str) -> DataFrame:
+    """Files matching `glob`, empty ones too: `(path, name, length, modified_at)`.
+
+    For marker files, of which there is one per cycle and month. It is one metadata call on the
+    driver, so it is not for listing data; use `list_files` there.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    listed = [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found if s.isFile()]
+    df = spark.createDataFrame(listed, "path string, length bigint, millis bigint")
+    return df.select("path", file_name(F.col("path")).alias("name"), "length", F.timestamp_millis("millis").alias("modified_at"))
+
+
 def with_path_keys(df: DataFrame, keys: Mapping[str, str], path: str = "path") -> DataFrame:
     """Add one typed column per `key=value` path segment; NULL when absent or malformed."""
     return df.withColumns({k: path_key(F.col(path), k, t) for k, t in keys.items()})

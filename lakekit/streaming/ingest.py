@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.readiness import sentinels
-from ..sources.catalog import quoted, view_properties
+from ..sources.catalog import VERSION_MARK, quoted, view_properties
 from ..sources.files import stream_path
 
 GENERATION_KEY = "lakekit.generation"
@@ -62,23 +62,28 @@ def refresh(spark: SparkSession, spec: Derived, full: bool = False) -> str:
     source = stream_path(spark, spec.source, spec.source_schema, max_files_per_trigger=spec.max_files_per_trigger)
     out = spec.transform(source)
     stream_to_table(out, f"{base}/rows", f"{base}/checkpoint")
+    rows = f"{spec.name}{VERSION_MARK}{base.rsplit('/', 1)[-1]}"
     if fresh:
-        rows = f"{base}/rows"
-        location = spark._jvm.org.apache.hadoop.fs.Path(rows)
-        if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-            spark.createDataFrame([], out.schema).write.parquet(rows)
+        # a declared schema, so that a source without files gives an empty table
+        spark.sql(f"CREATE TABLE {quoted(rows)} ({out.schema.toDDL()}) USING parquet LOCATION '{base}/rows'")
         columns = ", ".join(f"`{c}`" for c in out.columns)
         spark.sql(
             f"CREATE OR REPLACE VIEW {quoted(spec.name)} TBLPROPERTIES ('{GENERATION_KEY}' = '{base}') "
-            f"AS SELECT {columns} FROM parquet.`{rows}`"
+            f"AS SELECT {columns} FROM {quoted(rows)}"
         )
-    spark.catalog.refreshByPath(f"{base}/rows")
+    spark.catalog.refreshTable(rows)
     return base
 
 
 def stream_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """New files below `root` as a stream of `(path, length, modified_at)`; content is not read."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+    """New files below `root` as a stream of `(path, length, modified_at)`; content is not read.
+
+    Spark's file sources pass over files of zero length. Empty markers are fed by `list_markers`
+    and `append_absent` instead, which adds each marker once however often it runs.
+    """
+    # Fixed value: the schema of the binaryFile source.
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(root)
     return files.select("path", "length", F.col("modificationTime").alias("modified_at"))
 
 
