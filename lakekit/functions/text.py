@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A trailing underscore and exactly four digits mark a cycle-suffixed name.
-CYCLE_SUFFIX = r"^(.+)_(\d{4})$"
+# Fixed value: a trailing underscore and exactly four digits mark a cycle-suffixed name.
+CYCLE_SUFFIX = r"^_[0-9]{4}$"
 
 
 def none_if_empty(col: Column) -> Column:
@@ -23,14 +23,19 @@ def int_or_null(col: Column) -> Column:
     return none_if_empty(F.trim(col)).try_cast("int")
 
 
+def _has_cycle(name: Column) -> Column:
+    # only the last five characters are matched, and something must stand before them
+    return (F.length(name) > 5) & F.substring(name, -5, 5).rlike(CYCLE_SUFFIX)
+
+
 def name_family(name: Column) -> Column:
     """`pay_2024` -> `pay`; NULL without the suffix. The last suffix counts."""
-    return none_if_empty(F.regexp_extract(name, CYCLE_SUFFIX, 1))
+    return F.when(_has_cycle(name), F.substring(name, F.lit(1), F.length(name) - 5))
 
 
 def name_cycle(name: Column) -> Column:
     """`pay_2024` -> 2024; NULL without the suffix."""
-    return none_if_empty(F.regexp_extract(name, CYCLE_SUFFIX, 2)).try_cast("int")
+    return F.when(_has_cycle(name), F.substring(name, -4, 4).cast("int"))
 
 
 def file_name(path: Column) -> Column:

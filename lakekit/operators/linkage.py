@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .skew import lookup_join, salted_join
+from .skew import lookup_join
 
 # Words that are not part of a name.
 TITLES = ["MR", "MRS", "MS", "MISS", "DR", "HON", "REV", "PROF", "SIR"]
@@ -163,8 +163,9 @@ def compare(pairs: DataFrame, records: DataFrame, fields: Mapping[str, Sequence]
     names = list(fields)
     left = records.select(F.col("id").alias("l"), *[F.col(c).alias(f"_a_{c}") for c in names])
     right = records.select(F.col("id").alias("r"), *[F.col(c).alias(f"_b_{c}") for c in names])
-    # a representative is the left end of all its copies
-    both = salted_join(pairs, left, ["l"]).join(right, "r")
+    # a representative is the left end of all its copies; the records are unique, so adaptive
+    # execution splits such an end over many tasks, and the pairs are computed only once
+    both = pairs.join(left, "l").join(right, "r")
     levels = [level(F.col(f"_a_{c}"), F.col(f"_b_{c}"), steps).alias(f"{c}_level") for c, steps in fields.items()]
     return both.select(*pairs.columns, *levels)
 

@@ -22,17 +22,36 @@ def _match(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, pairs)
 
 
+def _newest_first(df: DataFrame, column: str) -> Column | None:
+    """A value that falls as `column` rises, NULL last; None when the type has no exact inverse."""
+    kind, col = df.schema[column].dataType.typeName(), F.col(column)
+    if kind == "timestamp_ntz":
+        number = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col)
+    elif kind == "timestamp":
+        number = F.unix_micros(col)
+    elif kind == "date":
+        number = F.unix_date(col)
+    elif kind in ("byte", "short", "integer", "long"):
+        number = col
+    else:
+        return None
+    return F.struct(col.isNull().alias("_null"), F.bitwise_not(number.cast("bigint")).alias("_falling"))
+
+
 def one_per_key(df: DataFrame, keys: Sequence[str], newest_by: str | None = None) -> DataFrame:
     """One row per key: the newest by `newest_by`, on a tie the smallest remaining row.
 
-    Two aggregations instead of a window: a key with a third of all rows is combined on every
-    map task first and no task sorts its rows.
+    An aggregate and no window: a key with a third of all rows is reduced to one row on every map
+    task, no task sorts its rows, and about one row per key and task is shuffled. An order column
+    without an exact inverse (text, floating point) takes two such steps.
     """
     rest = [c for c in df.columns if c not in keys and c != newest_by]
     packed = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))
-    if newest_by is None:
-        smallest = df.groupBy(*keys).agg(F.min(packed).alias("_row"))
-        return smallest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    falling = _newest_first(df, newest_by) if newest_by else F.lit(0)
+    if falling is not None:
+        kept = F.struct(*rest, *([newest_by] if newest_by else []), F.lit(0).alias("_none"))
+        first = df.groupBy(*keys).agg(F.min(F.struct(falling.alias("_order"), kept.alias("_row"))).alias("_best"))
+        return first.select(*[F.col(c) if c in keys else F.col(f"_best._row.{c}").alias(c) for c in df.columns])
     per_order = df.groupBy(*keys, newest_by).agg(F.min(packed).alias("_row"))
     newest = per_order.groupBy(*keys).agg(
         F.max(F.struct(F.col(newest_by).alias("_order"), F.col("_row"))).alias("_best")

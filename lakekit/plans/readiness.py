@@ -142,21 +142,20 @@ def schema_drift(files: DataFrame, registry: DataFrame | None, now) -> DataFrame
     )
 
 
-def freshness(files: DataFrame, now, table_pattern: str = r"^(.*/([^/]+)/)_delta_log/[^/]+$") -> DataFrame:
+def freshness(files: DataFrame, now, table_pattern: str = r"^(.*/)_delta_log/[^/]+$") -> DataFrame:
     """Newest commit file per table and its age in hours; tables without commits are absent.
 
-    `files` has `(path, modified_at)`; group 1 of the pattern is the table's path, group 2 its name.
+    `files` has `(path, modified_at)`; group 1 of the pattern is the table's directory, whose last
+    segment is the table's name.
     """
-    stamp = _stamp(now)
     commits = files.select(
-        none_if_empty(F.regexp_extract("path", table_pattern, 2)).alias("table_name"),
-        F.regexp_extract("path", table_pattern, 1).alias("path"),
+        none_if_empty(F.regexp_extract("path", table_pattern, 1)).alias("path"),
         F.col("modified_at").cast("timestamp").alias("modified_at"),
-    ).filter(F.col("table_name").isNotNull())
-    newest = commits.groupBy("table_name", "path").agg(F.max("modified_at").alias("last_modified_at"))
-    return newest.withColumn("collected_at", stamp).select(
+    ).filter(F.col("path").isNotNull())
+    newest = commits.groupBy("path").agg(F.max("modified_at").alias("last_modified_at"))
+    return newest.withColumn("collected_at", _stamp(now)).select(
         "collected_at",
-        "table_name",
+        F.element_at(F.split("path", "/"), -2).alias("table_name"),
         "path",
         "last_modified_at",
         hours_between(F.col("collected_at"), F.col("last_modified_at")).alias("age_hours"),

@@ -202,7 +202,13 @@ def test_append_absent_is_null_safe_and_collapses(spark, root, name):
 
 def test_one_per_key_ties(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 4, "z"), (2, None, "x")], "k int, t int, v string")
-    assert rows(merge.one_per_key(df, ["k"], "t")) == [(1, 5, "a"), (2, None, "x")]
+    want = [(1, 5, "a"), (2, None, "x")]
+    assert rows(merge.one_per_key(df, ["k"], "t")) == want
+    for kind in ("bigint", "date", "timestamp", "timestamp_ntz", "string", "double"):
+        value = F.date_add(F.lit("2024-01-01").cast("date"), F.col("t")) if "t" in kind and kind[0] in "dt" else F.col("t")
+        kept = merge.one_per_key(df.withColumn("o", value.cast(kind)).drop("t"), ["k"], "o")
+        assert rows(kept, "k", "v") == [(1, "a"), (2, "x")], kind
+    assert rows(merge.one_per_key(df.select("k"), ["k"])) == [(1,), (2,)]
 
 
 def test_export_rejects_null_ids(spark, root, name):
