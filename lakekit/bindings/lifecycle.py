@@ -270,6 +270,21 @@ def partition_columns(spark, folder):
     return descriptors.partition_columns(desc)
 
 
+def descriptors_from_json(spark, folder):
+    """A registry's answer per part: a key column, and a column partitioned by when the part is small."""
+    p = table(spark, folder, "part")
+    key = F.struct(F.lit("key").alias("name"), F.lit("bigint").alias("type_text"), F.lit(0).alias("position"))
+    index = F.when(F.col("p_size") <= 25, F.lit(0)).alias("partition_index")
+    nested = F.lit('{"name":"nested","position":7}').alias("type_json")
+    kind = F.struct(
+        F.lower("p_type").alias("name"), F.lit("string").alias("type_text"), nested, F.lit(1).alias("position"), index
+    )
+    text = F.concat(F.lit("["), F.to_json(key), F.lit(","), F.to_json(kind), F.lit("]"))
+    answers = p.select(F.concat(F.lit("part_"), F.col("p_partkey")).alias("name"), text.alias("columns"))
+    parsed = descriptors.descriptors_from_json(answers, "name", "columns")
+    return parsed.select("table_name", "column_name", "type_text", "position", "partition_index")
+
+
 def type_kinds(spark, folder):
     """Kinds of type texts built from the parts."""
     p = table(spark, folder, "part")
@@ -327,6 +342,7 @@ QUERIES = {
     "plan_change_arity": plan_change_arity,
     "registry_diff": registry_diff,
     "partition_columns": partition_columns,
+    "descriptors_from_json": descriptors_from_json,
     "type_kinds": type_kinds,
     "valid_names": valid_names,
     "orphans": orphans,
@@ -384,6 +400,10 @@ SQL = {
                list_transform(list_sort(coalesce(list(DISTINCT p_size) FILTER (p_size > 40), [])),
                               lambda s: 'size_' || s) AS cols
         FROM part GROUP BY p_brand, p_type""",
+    "descriptors_from_json": """
+        SELECT 'part_' || p_partkey AS table_name, 'key' AS column_name, 'bigint' AS type_text,
+               CAST(0 AS INTEGER) AS position, CAST(NULL AS INTEGER) AS partition_index FROM part
+        UNION ALL SELECT 'part_' || p_partkey, lower(p_type), 'string', 1, CASE WHEN p_size <= 25 THEN 0 END FROM part""",
     "type_kinds": """
         SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'DECIMAL' WHEN 'SMALL' THEN 'STRING' WHEN 'PROMO' THEN 'ARRAY'
                WHEN 'MEDIUM' THEN CASE WHEN p_size > 25 THEN 'LONG' ELSE 'TIMESTAMP_NTZ' END ELSE 'OTHER' END AS kind

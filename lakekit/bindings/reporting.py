@@ -16,9 +16,10 @@ from ..functions.text import (
     path_key,
     strip_suffix,
 )
+from ..operators import tables
 from ..plans import readiness, reports
 from ..sources.files import with_path_keys
-from .common import NOW, NOW_SQL, table, zoneless
+from .common import NOW, NOW_SQL, fresh_table, table, zoneless
 
 
 def _run_properties(spark, folder):
@@ -295,6 +296,27 @@ def readiness_report(spark, folder):
     return out
 
 
+def run_readiness(spark, folder):
+    """All six collectors into their snapshot tables, twice; the second run adds nothing."""
+    inventory = readiness.table_inventory(_tables(spark, folder), NOW, "lake")
+    counts = _tables(spark, folder).select("schema_name", "table_name", F.length("table_name").alias("row_count"))
+    collectors = {
+        "run_status": lambda: readiness.pipeline_status(_run_properties(spark, folder), NOW, "lake"),
+        "table_inventory": lambda: inventory,
+        "row_counts": lambda: readiness.row_count_snapshot(inventory, counts, NOW),
+        "sentinels": lambda: readiness.sentinels(_marker_files(spark, folder), NOW),
+        "schema_drift": lambda: readiness.schema_drift(_family_files(spark, folder), _registry(spark, folder), NOW),
+        "freshness": lambda: readiness.freshness(_commits(spark, folder), NOW),
+    }
+    targets = {}
+    for name, collect in collectors.items():
+        targets[name], root = fresh_table(spark, f"snapshot_{name}")
+        tables.create_table(spark, targets[name], collect().schema, root)
+    first = readiness.run_readiness(spark, collectors, targets).withColumn("run", F.lit(1))
+    second = readiness.run_readiness(spark, collectors, targets).withColumn("run", F.lit(2))
+    return first.unionByName(second)
+
+
 def path_expressions(spark, folder):
     """Path segments, file names, suffixes, list membership and JSON text on the pages' addresses."""
     p = table(spark, folder, "pages")
@@ -338,6 +360,7 @@ QUERIES = {
     "preview": preview,
     "run_sql": run_sql,
     "readiness_report": readiness_report,
+    "run_readiness": run_readiness,
     "path_expressions": path_expressions,
 }
 
@@ -431,6 +454,17 @@ SQL = {
         UNION ALL SELECT 'freshness', count(*) FROM ({_FRESHNESS_SQL})
         UNION ALL SELECT 'cycles', count(DISTINCT cycle) FROM ({_INVENTORY_SQL})
         UNION ALL SELECT 'schemas', count(DISTINCT schema_name) FROM ({_INVENTORY_SQL})""",
+    "run_readiness": f"""
+        WITH added AS (
+            SELECT 'run_status' AS collector, count(*) AS rows FROM events
+            UNION ALL SELECT 'table_inventory', count(*) FROM orders
+            UNION ALL SELECT 'row_counts', count(*) FROM orders
+            UNION ALL SELECT 'sentinels', count(*) FROM ({_MARKERS_SQL})
+            UNION ALL SELECT 'schema_drift', count(*) FROM ({_DRIFT_SQL})
+            UNION ALL SELECT 'freshness', count(*) FROM ({_FRESHNESS_SQL}))
+        SELECT collector, CASE WHEN run = 1 THEN rows ELSE 0 END AS rows, 'ok' AS status,
+               CAST(NULL AS VARCHAR) AS error, CAST(run AS INTEGER) AS run
+        FROM added, (VALUES (1), (2)) runs(run)""",
     "path_expressions": """
         SELECT page_id, split_part(url, '/', 4) AS lang, page_id AS page, CAST(page_id AS INTEGER) AS page_int,
                string_split(url, '/')[-1] AS last_part, split_part(url, '/', 4) IN ('en', 'fr') AS listed,

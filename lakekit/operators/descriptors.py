@@ -55,6 +55,26 @@ def describe_schema(
     return rows.withColumn("type_name", type_kind(F.col("type_text")))
 
 
+# Fixed value: the fields of a registry's column entry.
+COLUMN_JSON = (
+    "array<struct<name: string, type_text: string, type_json: string, type_name: string, position: int, "
+    "nullable: boolean, partition_index: int>>"
+)
+
+
+def descriptors_from_json(df: DataFrame, table: str, columns: str) -> DataFrame:
+    """Descriptor rows from a registry's answers: one row per table, its columns as a JSON array.
+
+    The text is parsed against the declared fields, so nested keys of the same name do not matter.
+    """
+    entry = F.explode(F.from_json(F.col(columns), COLUMN_JSON)).alias("c")
+    return df.select(F.col(table).alias("table_name"), entry).select(
+        "table_name", F.col("c.name").alias("column_name"), *[
+            f"c.{f}" for f in ("type_text", "type_json", "type_name", "position", "nullable", "partition_index")
+        ]
+    )
+
+
 def partition_columns(desc: DataFrame) -> DataFrame:
     """`(table_name, cols)`: partition columns in the order of their index.
 

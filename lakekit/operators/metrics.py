@@ -214,13 +214,24 @@ def sustained(
     )
 
 
-# The three alert rules. `equals` and `above` are the comparisons they use.
+# The three alert rules; a NULL job means any job. No listener events
+# is a stand-in for no executors, and no proof of it.
 ALERT_RULES = [
-    ("ServerDown", "up", "equals", 0.0, 120, "critical"),
-    ("HighHeapUsage", "driver_jvm_heap_usage", "above", 0.9, 300, "warning"),
-    ("NoListenerEvents", "driver_LiveListenerBus_numEventsPosted", "equals", 0.0, 600, "warning"),
+    ("SparkConnectDown", "up", "spark-connect", "equals", 0.0, 120, "critical"),
+    ("SparkConnectHighHeapUsage", "metrics_spark_connect_server_driver_jvm_heap_usage", None, "above", 0.9, 300, "warning"),
+    (
+        "SparkConnectNoExecutors",
+        "metrics_spark_connect_server_driver_LiveListenerBus_numEventsPosted",
+        None,
+        "equals",
+        0.0,
+        600,
+        "warning",
+    ),
 ]
-RULE_SCHEMA = "alert string, metric string, op string, threshold double, hold_seconds int, severity string"
+RULE_SCHEMA = (
+    "alert string, metric string, job string, op string, threshold double, hold_seconds int, severity string"
+)
 
 
 def evaluate_rules(
@@ -228,15 +239,16 @@ def evaluate_rules(
 ) -> DataFrame:
     """Fired alerts of all rules over all series: `alert, severity, <series>, start, end, fired_at`.
 
-    Rules are joined to samples by metric name, one pass for all rules whatever their hold times.
+    Rules are joined to samples by metric name and, where a rule names one, job label; one pass for all rules whatever their hold times.
     """
     holds = (
         F.when(F.col("op") == "equals", F.col("value") == F.col("threshold"))
         .when(F.col("op") == "above", F.col("value") > F.col("threshold"))
         .when(F.col("op") == "below", F.col("value") < F.col("threshold"))
     )
-    named = rules.select(F.col("metric").alias("_metric"), "alert", "op", "threshold", "hold_seconds", "severity")
-    judged = samples.join(named, F.col("metric") == F.col("_metric"))
+    named = rules.withColumnsRenamed({"metric": "_metric", "job": "_job"})
+    same_job = F.col("_job").isNull() | (F.try_element_at("labels", F.lit("job")) == F.col("_job"))
+    judged = samples.join(named, (F.col("metric") == F.col("_metric")) & same_job)
     runs = sustained(judged, ["alert", "severity", *series], ts, holds, F.col("hold_seconds"), slice_length)
     return runs.filter(F.col("fired_at").isNotNull()).select("alert", "severity", *series, "start", "end", "fired_at")
 

@@ -146,14 +146,16 @@ def test_sustained_in_busy_slices(spark, monkeypatch):
 
 
 def test_rules(spark):
+    heap, mine, other = "metrics_spark_connect_server_driver_jvm_heap_usage", {"job": "spark-connect"}, {"job": "other"}
     samples = spark.createDataFrame(
-        [(at(s), "up", 0.0) for s in (0, 60, 120)]
-        + [(at(s), "driver_jvm_heap_usage", v) for s, v in ((0, 0.95), (200, 0.9), (300, 0.99), (600, 0.99))],
-        "ts timestamp, metric string, value double",
+        [(at(s), "up", mine, 0.0) for s in (0, 60, 120)]
+        + [(at(s), "up", other, 1.0) for s in (30, 90)]
+        + [(at(s), heap, {}, v) for s, v in ((0, 0.95), (200, 0.9), (300, 0.99), (600, 0.99))],
+        "ts timestamp, metric string, labels map<string,string>, value double",
     )
     rules = spark.createDataFrame(metrics.ALERT_RULES, metrics.RULE_SCHEMA)
     got = rows(metrics.evaluate_rules(samples, rules), "alert", "severity", "start", "fired_at")
-    assert got == [("HighHeapUsage", "warning", at(300), at(600)), ("ServerDown", "critical", at(0), at(120))]
+    assert got == [("SparkConnectDown", "critical", at(0), at(120)), ("SparkConnectHighHeapUsage", "warning", at(300), at(600))]
 
 
 # --- the rest -----------------------------------------------------------------------------------
@@ -206,3 +208,20 @@ def test_salted_join_equals_join(spark):
     unique = left.groupBy("k").agg(F.max("id").alias("m"), F.count("*").alias("n"))
     looked = skew.lookup_join(left, unique, ["k"], "n", 500, share=4)
     assert rows(looked, "k", "id", "m") == rows(left.join(unique, "k").select("k", "id", "m"))
+
+
+def test_server_panels(spark):
+    from lakekit.plans.server import server_panels
+
+    gc = "metrics_spark_x_driver_ExecutorMetrics_MinorGCTime_Value"
+    used = "metrics_spark_x_driver_BlockManager_memory_memUsed_MB_Value"
+    samples = spark.createDataFrame(
+        [(at(0), "up", {"job": "spark-connect"}, 1.0), (at(30), "up", {"job": "spark-connect"}, 0.0), (at(60), "up", {"job": "other"}, 1.0),
+         (at(0), gc, {}, 10.0), (at(30), gc, {}, 40.0), (at(0), used, {}, 2.0), (at(0), used + "_not", {}, 9.0)],
+        "ts timestamp, metric string, labels map<string,string>, value double",
+    )
+    panels = server_panels(samples)
+    assert rows(panels["Status"], "value", "state", "colour") == [(0.0, "DOWN", "red")]
+    assert rows(panels["Memory Used"], "value") == [(2097152.0,)]
+    assert rows(panels["GC Time Rate"], "ts", "label", "value") == [(at(0), "Minor GC Time", None), (at(30), "Minor GC Time", 1.0)]
+    assert panels["Stages"].count() == 0 and panels["Active Jobs"].count() == 0

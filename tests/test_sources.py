@@ -68,16 +68,16 @@ def test_typed_rows(spark):
 
 
 def test_names_and_collisions(spark, root, name):
-    assert catalog.qualify("fec", "silver", "t-1") == ("fec", "silver.t-1")
+    assert catalog.qualify("shop", "silver", "t-1") == ("shop", "silver.t-1")
     for bad in ("a.b", "a/b", "a b", ""):
         with pytest.raises(ValueError):
-            catalog.qualify("fec", "silver", bad)
+            catalog.qualify("shop", "silver", bad)
     tables.write_table(spark.range(2), name, "create", root)
     schema, table = name.split(".")
-    union = catalog.read_many(spark, [("fec", schema, table)])
-    assert rows(union) == [(0, "fec", schema, table), (1, "fec", schema, table)]
+    union = catalog.read_many(spark, [("shop", schema, table)])
+    assert rows(union) == [(0, "shop", schema, table), (1, "shop", schema, table)]
     with pytest.raises(ValueError, match="claimed"):
-        catalog.read_many(spark, [("fec", schema, table), ("tec", schema, table)])
+        catalog.read_many(spark, [("shop", schema, table), ("other", schema, table)])
 
 
 def test_catalog_listing(spark, root, name):
