@@ -127,11 +127,10 @@ def candidate_pairs(keys: DataFrame, records: DataFrame, field: str, max_edits:
     right = variants.select("rule", "block", "variant", F.col("rep").alias("r"), F.col("value").alias("b"))
     near = (
         left.join(right, ["rule", "block", "variant"])
-        .filter(F.col("l") < F.col("r"))
-        .select("l", "r", "a", "b")
+        .filter((F.col("l") < F.col("r")) & (F.levenshtein("a", "b", max_edits) >= 0))
+        .select("l", "r")
         .distinct()
-        .filter(F.levenshtein("a", "b", max_edits) >= 0)
-        .select("l", "r", F.lit("near").alias("kind"))
+        .withColumn("kind", F.lit("near"))
     )
     return same.unionByName(near)
 

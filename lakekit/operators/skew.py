@@ -1,4 +1,9 @@
-"""Equi-joins that survive a key holding a large part of the rows on the left."""
+"""Joins and time slices that survive a key holding a large part of the rows.
+
+Everything here rests on one bound: fewer than `SHARE` keys can each hold more than one `SHARE`-th of
+the rows. A list of such keys is therefore small whatever the data is, and safe to broadcast. With
+rows in the trillions a `SHARE`-th is some ten million rows, which one task handles well.
+"""
 
 from __future__ import annotations
 
@@ -7,46 +12,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SHARE = 100_000
+# below this many rows splitting costs more than it gains
+JOIN_ROWS = 200_000
+SLICE_ROWS = 1_000_000
+
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: int) -> DataFrame:
-    """Keys that hold more than one `share`-th of the rows.
+def _limit(total: Column, least: int) -> Column:
+    """Rows one task may get of a key: a `SHARE`-th of all rows, and at least `least`."""
+    return F.greatest(F.lit(least).cast("bigint"), F.ceil(total / F.lit(SHARE)))
 
-    There are fewer than `share` of them whatever the data is, which is the bound that makes the
-    result safe to broadcast.
-    """
+
+def hot_keys(df: DataFrame, on: Sequence[str], pieces: str) -> DataFrame:
+    """Keys with more rows than one task may get, and into how many pieces to deal them."""
     counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") * F.lit(share) > total).select(*on)
+    limit = _limit(counts.select(F.sum("_n")).scalar(), JOIN_ROWS)
+    hot = counts.filter(F.col("_n") > limit)
+    return hot.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias(pieces))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = 32) -> DataFrame:
-    """Inner join on `on`; left rows of a hot key are dealt over `salts` tasks.
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on `on`; left rows of a hot key are dealt over as many tasks as their number needs.
 
-    Right rows of those few keys are repeated once per salt, all others once. The salt is a hash
+    Right rows of those few keys are repeated once per piece, all others once. The piece is a hash
     of the left row, so a re-run task deals its rows the same way. Keys are compared with `=`.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, 2 * salts).withColumn("_hot", F.lit(True)))
-    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    salted = left.join(hot, on, "left").withColumn("_salt", dealt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+    hot = F.broadcast(hot_keys(left, on, "_pieces"))
+    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_piece", F.pmod(F.xxhash64(*left.columns), pieces).cast("int"))
+    repeated = right.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_piece"]).drop("_piece")
 
 
-def lookup_join(
-    left: DataFrame, lookup: DataFrame, on: Sequence[str], rows: str, total: int | Column, share: int = 64
-) -> DataFrame:
+def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], rows: str, total: int | Column) -> DataFrame:
     """Inner join with a lookup that is unique on `on` and knows how many left rows a key has.
 
-    `rows` is that count (or an upper bound) and `total` the number of left rows. Keys with more
-    than one `share`-th of them are fewer than `share` (per unit of the bound), so they are
-    broadcast and their rows are joined where they are; all other rows are shuffled. The count is
-    a by-product of building the lookup, so finding the hot keys costs no pass over `left`.
+    `rows` is that count (or an upper bound) and `total` the number of left rows. The entries of hot
+    keys are broadcast and their rows are joined where they are; all other rows are shuffled. The
+    count is a by-product of building the lookup, so finding the hot keys costs no pass over `left`.
     """
     on = list(on)
     values = [c for c in lookup.columns if c not in (*on, rows)]
-    is_hot = F.col(rows) * F.lit(share) > (F.lit(total) if isinstance(total, int) else total)
+    is_hot = F.col(rows) > _limit(F.lit(total) if isinstance(total, int) else total, JOIN_ROWS)
     hot = lookup.filter(is_hot).select(*on, F.struct(*values).alias("_found"))
     marked = left.join(F.broadcast(hot), on, "left")
     there = marked.filter(F.col("_found").isNotNull()).select(*left.columns, *[f"_found.{v}" for v in values])
@@ -56,22 +64,15 @@ def lookup_join(
     return there.unionByName(rest.join(others, on).select(*left.columns, *values))
 
 
-SLICE_ROWS = 1_000_000
-MAX_HEAVY = 10_000
-
-
 def heavy_cells(df: DataFrame, length: int, narrowest: int) -> DataFrame:
     """Time cells of a series that hold too many rows, and the width to cut them into.
 
-    `df` has a series `_key` and a time `_t` in microseconds; cells are `length` wide. A cell is
-    heavy above `SLICE_ROWS` rows, or above one `MAX_HEAVY`-th of all rows where that is more, so
-    there are fewer than `MAX_HEAVY` heavy cells and the result is safe to broadcast. Cells are cut
-    evenly and never below `narrowest`.
+    `df` has a series `_key` and a time `_t` in microseconds; cells are `length` wide. Heavy cells
+    are cut evenly and never below `narrowest`.
     """
     cell = F.floor(F.col("_t") / F.lit(length))
     counts = df.groupBy("_key", cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()
-    limit = F.greatest(F.lit(SLICE_ROWS), F.ceil(total / F.lit(MAX_HEAVY)))
+    limit = _limit(counts.select(F.sum("_n")).scalar(), SLICE_ROWS)
     width = F.greatest(F.ceil(F.lit(length) / F.ceil(F.col("_n") / limit)), F.lit(narrowest))
     heavy = counts.filter(F.col("_n") > limit)
     return F.broadcast(heavy.select("_key", "_cell", width.cast("bigint").alias("_width")))

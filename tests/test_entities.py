@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakekit.operators import graph, linkage, spatial
+from lakekit.operators import graph, linkage, skew, spatial
 
 # --- graph --------------------------------------------------------------------------------------
 
@@ -41,7 +41,9 @@ def test_components_by_hand(spark):
     assert components(spark, nodes, []) == [(n, n) for n in nodes]
 
 
-def test_components_long_chain_and_hub(spark):
+@pytest.mark.parametrize("least", [1_000_000, 5])
+def test_components_long_chain_and_hub(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "JOIN_ROWS", least)
     rnd = random.Random(3)
     order = list(range(60))
     rnd.shuffle(order)
@@ -194,7 +196,8 @@ def haversine(a, b):
 
 
 @pytest.mark.parametrize("metres", [1000.0, 300000.0])
-def test_within_agrees_with_all_pairs(spark, metres):
+def test_within_agrees_with_all_pairs(spark, monkeypatch, metres):
+    monkeypatch.setattr(skew, "JOIN_ROWS", 5)
     rnd = random.Random(2)
 
     def spot():

@@ -76,7 +76,6 @@ def test_rate_across_slices_and_in_busy_ones(spark, monkeypatch):
     df, want = series(spark, *samples), brute_rates(samples)
     assert_same(got_rates(metrics.counter_rate(df, "k", "ts", "v")), want)
     monkeypatch.setattr(skew, "SLICE_ROWS", 30)
-    monkeypatch.setattr(skew, "MAX_HEAVY", 1000)
     assert_same(got_rates(metrics.counter_rate(df, "k", "ts", "v")), want)
 
 
@@ -140,7 +139,6 @@ def test_sustained_in_busy_slices(spark, monkeypatch):
     samples = [("hot", rnd.randrange(3 * 86400), rnd.random() < 0.97) for _ in range(1500)]
     samples += [("cold", rnd.randrange(3 * 86400), rnd.random() < 0.8) for _ in range(50)]
     monkeypatch.setattr(skew, "SLICE_ROWS", 20)
-    monkeypatch.setattr(skew, "MAX_HEAVY", 1000)
     got = got_runs(metrics.sustained(conditions(spark, samples), "k", "ts", "c", "1 hour"))
     assert got == brute_runs(samples, 3600)
 
@@ -191,22 +189,23 @@ def test_retain(spark, monkeypatch, max_age, max_n, busy):
     df = spark.createDataFrame([(k, at(s), i) for k, s, i in samples], "k string, ts timestamp, i int")
     if busy:
         monkeypatch.setattr(skew, "SLICE_ROWS", 10)
-        monkeypatch.setattr(skew, "MAX_HEAVY", 1000)
     now = (T0 + timedelta(seconds=1000)).replace(tzinfo=timezone.utc)
     kept = metrics.retain(df, "k", "ts", now, f"{max_age} seconds", max_n, ["i"], "1 minute")
     got = sorted((r.k, int((r.ts - T0).total_seconds()), r.i) for r in kept.collect())
     assert got == brute_retain(samples, max_age, max_n)
 
 
-def test_salted_join_equals_join(spark):
+@pytest.mark.parametrize("least", [1_000_000, 10])
+def test_salted_joins_equal_a_join(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "JOIN_ROWS", least)
     left = spark.range(500).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 20).alias("k"), "id")
     right = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionAll(
         spark.sql("SELECT 0L AS k, 99L AS w")
     )
     want = rows(left.join(right, "k").select("k", "id", "w"))
-    assert rows(skew.salted_join(left, right, ["k"], 8), "k", "id", "w") == want
+    assert rows(skew.salted_join(left, right, ["k"]), "k", "id", "w") == want
     unique = left.groupBy("k").agg(F.max("id").alias("m"), F.count("*").alias("n"))
-    looked = skew.lookup_join(left, unique, ["k"], "n", 500, share=4)
+    looked = skew.lookup_join(left, unique, ["k"], "n", 500)
     assert rows(looked, "k", "id", "m") == rows(left.join(unique, "k").select("k", "id", "m"))
 
 
