@@ -72,11 +72,11 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 
 
 def _written(edges: DataFrame, path: str) -> tuple[DataFrame, tuple]:
-    """Edges as files, and their number and a sum of their hashes taken while writing."""
+    """Edges as files, and their number and combined hash taken while writing."""
     seen = Observation()
-    summed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-    state = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), summed), path)
-    return state, (seen.get["n"], seen.get["sum"])
+    combined = F.bit_xor(F.xxhash64("u", "v")).alias("hash")
+    state = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), combined), path)
+    return state, (seen.get["n"], seen.get["hash"])
 
 
 def connected_components(

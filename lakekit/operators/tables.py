@@ -22,6 +22,7 @@ from ..sources.catalog import (
     FILE_FORMATS,
     NAME,
     TABLE_KEY,
+    VERSION,
     VERSION_MARK,
     physical_name,
     quoted,
@@ -150,6 +151,7 @@ def create_table(
     """
     if if_exists not in ("error", "reuse", "recreate"):
         raise ValueError(f"unknown if_exists {if_exists!r}")
+    _full_name(spark, name)
     fmt = resolve_format(fmt, spark.conf.get("spark.sql.sources.default"))
     exists = spark.catalog.tableExists(name)
     if exists and if_exists == "error":
@@ -205,6 +207,7 @@ def write_table(
     spark = df.sparkSession
     if mode not in ("create", "replace", "create_or_replace"):
         raise ValueError(f"unknown mode {mode!r}")
+    _full_name(spark, name)
     exists = spark.catalog.tableExists(name)
     if exists and mode == "create":
         raise ValueError(f"{name} exists")
@@ -304,9 +307,8 @@ def overwrite(df: DataFrame, name: str, how: str = "all", where: Column | None =
 def versions(spark: SparkSession, name: str) -> list[str]:
     """Physical tables of `name`, oldest first."""
     db, table = _full_name(spark, name)
-    prefix = f"{table}{VERSION_MARK}".lower()
-    shown = spark.sql(f"SHOW TABLES IN `{db}` LIKE '{table}{VERSION_MARK}*'").collect()
-    return sorted(f"{db}.{r['tableName']}" for r in shown if r["tableName"].lower().startswith(prefix))
+    shown = [r["tableName"] for r in spark.sql(f"SHOW TABLES IN `{db}` LIKE '{table}{VERSION_MARK}*'").collect()]
+    return sorted(f"{db}.{t}" for t in shown if VERSION.sub("", t).lower() == table.lower() and VERSION.search(t))
 
 
 def expire_versions(spark: SparkSession, name: str, keep: int = 1) -> list[str]:

@@ -16,6 +16,7 @@ from pyspark.sql.types import MapType, StringType, StructField, StructType
 NAME = re.compile(r"^[A-Za-z0-9_-]+$")
 FILE_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro")
 VERSION_MARK = "__v"
+VERSION = re.compile(VERSION_MARK + r"(\d{20}[0-9a-f]{8}|[0-9a-f]{32})$")
 TABLE_KEY = "lakekit.table"
 
 
@@ -97,7 +98,7 @@ def catalog_tables(spark: SparkSession, schemas: Sequence[str]) -> DataFrame:
         for schema in schemas
         if spark.catalog.databaseExists(schema)
         for t in spark.catalog.listTables(schema)
-        if not t.isTemporary and VERSION_MARK not in t.name
+        if not t.isTemporary and not VERSION.search(t.name)
     ]
     return spark.createDataFrame(found, "schema_name string, table_name string, table_type string")
 
