@@ -8,10 +8,8 @@ the same on a listing of a test folder and on a table of a billion file names.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,18 +167,14 @@ def run_readiness(
 ) -> DataFrame:
     """Run every collector and append its snapshot; `(collector, rows, status, error)`.
 
-    `collectors` maps a snapshot name to a function giving its rows, `targets` to the table. They
-    write different tables, so they run side by side and the small ones fill the gaps of the large.
-    A failing collector is reported and the others still run. A repeated run adds nothing.
+    `collectors` maps a snapshot name to a function giving its rows, `targets` to the table. A
+    failing collector is reported and the others still run. A repeated run adds nothing.
     """
-
-    def run(name: str) -> tuple:
+    report = []
+    for name, collect in collectors.items():
         try:
-            return name, append_absent(collectors[name](), targets[name], SNAPSHOT_KEYS[name]), "ok", None
+            report.append((name, append_absent(collect(), targets[name], SNAPSHOT_KEYS[name]), "ok", None))
         except Exception as error:  # reported per collector, by design
             text = str(error).splitlines()[0][:500] if str(error) else repr(error)
-            return name, None, "failed", text
-
-    with ThreadPoolExecutor(max_workers=len(collectors) or 1) as pool:
-        report = list(pool.map(inheritable_thread_target(spark)(run), collectors))
+            report.append((name, None, "failed", text))
     return spark.createDataFrame(report, "collector string, rows bigint, status string, error string")
