@@ -145,6 +145,17 @@ def merge_by_key(spark, folder):
     return spark.table(name)
 
 
+def merge_touched(spark, folder):
+    """Urgent orders of finished and open state re-priced; the partition of the third state is not read."""
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "merged_parts")
+    tables.write_table(o, name, "create", root, partition_by=["o_orderstatus"])
+    urgent = o.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "P"))
+    source = urgent.withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    merge.merge_into(source, name, ["o_orderkey", "o_orderstatus"], touched_only=True)
+    return spark.table(name)
+
+
 def keyed_export(spark, folder):
     e = table(spark, folder, "events")
     name, root = fresh_table(spark, "exported")
@@ -335,6 +346,7 @@ QUERIES = {
     "list_files": list_files,
     "append_absent": append_absent,
     "merge_by_key": merge_by_key,
+    "merge_touched": merge_touched,
     "keyed_export": keyed_export,
     "keyed_export_upsert": keyed_export_upsert,
     "multiset_diff": multiset_diff,
@@ -377,6 +389,9 @@ SQL = {
         FROM orders
         WHERE CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_totalprice >= 50000
                    ELSE o_orderstatus <> 'P' END""",
+    "merge_touched": """
+        SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P' THEN o_totalprice * 2
+                               ELSE o_totalprice END AS o_totalprice) FROM orders""",
     "keyed_export": """
         SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1""",
     "keyed_export_upsert": """

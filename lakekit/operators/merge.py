@@ -13,8 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import delete_path, materialise, scratch_path
 from ..sources.catalog import physical_name, provider
-from .tables import current, write_table
+from .tables import current, overwrite, partition_list, write_table
+
+MOST_PARTITIONS = 1000
 
 
 def _match(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -145,10 +148,49 @@ def merge_by_key(
     return updated.unionByName(inserted)
 
 
-def merge_into(df: DataFrame, name: str, keys: Sequence[str], delete_flag: str | None = None) -> None:
-    """Merge `df` into table `name`; readers see the old or the new rows, never a mixture."""
-    merged = merge_by_key(current(df.sparkSession, name), df, keys, delete_flag)
-    write_table(merged, name, "replace")
+def merge_into(
+    df: DataFrame, name: str, keys: Sequence[str], delete_flag: str | None = None, touched_only: bool = False
+) -> None:
+    """Merge `df` into table `name`; readers see the old or the new rows, never a mixture.
+
+    `touched_only` reads and rewrites only the partitions that `df` has rows for, which is enough
+    when the partition columns are among the keys. It works in place, so a reader may see it
+    partition by partition. The whole table is still rewritten when more than `MOST_PARTITIONS` are
+    touched, or when a partition would lose all its rows.
+    """
+    table = current(df.sparkSession, name)
+    if touched_only and _merge_touched(df, table, name, keys, delete_flag):
+        return
+    write_table(merge_by_key(table, df, keys, delete_flag), name, "replace")
+
+
+def _merge_touched(
+    df: DataFrame, table: DataFrame, name: str, keys: Sequence[str], delete_flag: str | None
+) -> bool:
+    spark = df.sparkSession
+    parts = partition_list(spark, name)
+    if not parts or not set(parts) <= set(keys):
+        raise ValueError(f"touched_only needs the partition columns of {name} among the keys")
+    # partition values are metadata: at most MOST_PARTITIONS rows reach the driver
+    touched = [tuple(r) for r in df.select(*parts).distinct().limit(MOST_PARTITIONS + 1).collect()]
+    if len(touched) > MOST_PARTITIONS:
+        return False
+    if not touched:
+        return True
+
+    def is_one(values: tuple) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, values)])
+
+    # literals, so that the scan prunes all other partitions
+    affected = table.filter(reduce(lambda a, b: a | b, [is_one(v) for v in touched]))
+    path = scratch_path(spark, "merge")
+    merged = materialise(merge_by_key(affected, df, keys, delete_flag), path)
+    emptied = affected.select(*parts).distinct().exceptAll(merged.select(*parts).distinct())
+    whole = emptied.limit(1).count() == 0
+    if whole:
+        overwrite(merged, name, "dynamic")
+    delete_path(spark, path)
+    return whole
 
 
 def one_document_per_id(df: DataFrame, id_col: str, newest_by: str | None = None) -> DataFrame:

@@ -70,6 +70,11 @@ def _partitions(props: dict[str, str]) -> list[str]:
     return [p for p in props.get(PARTITION_KEY, "").split(",") if p]
 
 
+def partition_list(spark: SparkSession, name: str) -> list[str]:
+    """Partition columns of `name`, in order."""
+    return _partitions(_properties(spark, name))
+
+
 def current(spark: SparkSession, name: str) -> DataFrame:
     """Rows of the physical table behind `name`, in its column order."""
     return spark.table(physical_name(spark, name))

@@ -224,6 +224,21 @@ def test_merge_duplicates_raise_before_anything_is_written(spark, root, name):
     assert rows(spark.table(name)) == [(1, "a")] and len(tables.versions(spark, name)) == 1
 
 
+def test_merge_of_touched_partitions_leaves_the_others_alone(spark, root, name):
+    tables.write_table(kv(spark, (1, "a"), (2, "a"), (3, "b"), (4, None), (5, "c")), name, "create", root, partition_by=["v"])
+    files = lambda: {r.f for r in spark.table(name).filter("v = 'c'").select(F.input_file_name().alias("f")).collect()}
+    before = files()
+    source = spark.createDataFrame([(1, "a", True), (3, "b", False), (9, None, False), (8, "new", False)], "k int, v string, gone boolean")
+    merge.merge_into(source, name, ["k", "v"], "gone", touched_only=True)
+    assert rows(spark.table(name)) == [(2, "a"), (3, "b"), (4, None), (5, "c"), (8, "new"), (9, None)]
+    assert files() == before and len(tables.versions(spark, name)) == 1
+    # a partition that loses all its rows
+    merge.merge_into(spark.createDataFrame([(5, "c", True)], "k int, v string, gone boolean"), name, ["k", "v"], "gone", touched_only=True)
+    assert rows(spark.table(name)) == [(2, "a"), (3, "b"), (4, None), (8, "new"), (9, None)]
+    with pytest.raises(ValueError):
+        merge.merge_into(kv(spark, (1, "a")), name, ["k"], touched_only=True)
+
+
 keys = st.one_of(st.none(), st.integers(0, 6))
 
 
