@@ -55,30 +55,36 @@ def pipeline_status(props: DataFrame, now, catalog: str | Column) -> DataFrame:
     Unreadable times and numbers become NULL and set `parse_error`.
     """
 
-    def prop(name: str) -> Column:
-        return map_get(F.col("properties"), RUN_PROPERTY + name)
-
-    ran_at = iso_timestamp(prop("at"))
-    duration, tables = int_or_null(prop("duration_sec")), int_or_null(prop("table_count"))
-
-    def broken(text: Column, parsed: Column) -> Column:
-        return F.coalesce(F.trim(text) != "", F.lit(False)) & parsed.isNull()
-
-    return props.select(
+    names = ["status", "at", "duration_sec", "table_count", "execution_id", "version"]
+    # read, then parse, then judge: each property is looked up and parsed once
+    read = props.select(
         _stamp(now),
         _column(catalog).alias("catalog"),
         F.col("name").alias("schema_name"),
-        prop("status").alias("last_run_status"),
-        ran_at.alias("last_run_at"),
-        duration.alias("last_run_duration_sec"),
-        tables.alias("last_run_table_count"),
-        prop("execution_id").alias("last_run_execution_id"),
-        prop("version").alias("last_run_version"),
-        (
-            broken(prop("at"), ran_at)
-            | broken(prop("duration_sec"), duration)
-            | broken(prop("table_count"), tables)
-        ).alias("parse_error"),
+        *[map_get(F.col("properties"), RUN_PROPERTY + n).alias(n) for n in names],
+    )
+    parsed = read.withColumns(
+        {
+            "last_run_at": iso_timestamp(F.col("at")),
+            "last_run_duration_sec": int_or_null(F.col("duration_sec")),
+            "last_run_table_count": int_or_null(F.col("table_count")),
+        }
+    )
+
+    def broken(name: str) -> Column:
+        return (F.coalesce(F.trim(name), F.lit("")) != "") & F.col(f"last_run_{name}").isNull()
+
+    return parsed.select(
+        "collected_at",
+        "catalog",
+        "schema_name",
+        F.col("status").alias("last_run_status"),
+        "last_run_at",
+        "last_run_duration_sec",
+        "last_run_table_count",
+        F.col("execution_id").alias("last_run_execution_id"),
+        F.col("version").alias("last_run_version"),
+        (broken("at") | broken("duration_sec") | broken("table_count")).alias("parse_error"),
     )
 
 
