@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words of the contracts are runs of anything but these; bytes.split() cuts at the same six characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's Python files to the executors, once per application.
+
+    For sessions whose workers were started without the package on their path.
+    """
+    app = spark.conf.get("spark.app.id")
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="lakekit-"), "lakekit_files.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.addArtifacts(archive, pyfile=True)
+    _SHIPPED.add(app)
+
 
 def pieces(batches: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in slices of about `most_bytes` of text (one row at least), so that the
     Python objects made from a slice stay small whatever the batch size of the session is."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
         begin, held = 0, 0
         for at, size in enumerate(sizes):
             if held and held + size > most_bytes:

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from .common import ship
+from . import bpe, mixing, quality_rules, secrets
 
 SQL: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
@@ -29,6 +31,36 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(coded.drop("text"), ranks)
 
 
+def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """One scan with a ledger of its own; the base kinds come first among the rules."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    ledger = secrets.new_ledger(spark)
+    secrets.scan(docs, ledger)
+    found = secrets.by_path(docs, ledger, ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in secrets.BASE]))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[number(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(secrets.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_list(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = quality_rules.clean(documents(spark, folder).select("doc_id", "text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return cleaned.select("doc_id", *counts, "base_failed", "kept")
+
+
+def op8_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mixed(documents(spark, folder).select("doc_id", "text", "source"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_secret_ledger": op6_secret_ledger,
+    "op7_line_rules": op7_line_rules,
+    "op8_fair_mix": op8_fair_mix,
 }
