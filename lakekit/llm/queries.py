@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, mixing, quality_rules, secrets
+from . import bpe, mixing, quality_rules, repeats, secrets
 
 SQL: dict[str, str] = {}
 
@@ -24,6 +24,12 @@ def rank_file(path: str | None = None) -> bytes:
     return Path(path or public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
 
 
+def op1_anchor_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, folder))
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", kept)
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = rank_file()
     docs = documents(spark, folder).select("doc_id", "text")
@@ -59,6 +65,7 @@ def op8_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_anchor_repeats": op1_anchor_repeats,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_line_rules": op7_line_rules,
