@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, mixing, quality_rules, repeats, secrets
+from . import bpe, mixing, ngram_join, quality_rules, repeats, secrets
 
 SQL: dict[str, str] = {}
 
@@ -64,10 +64,15 @@ def op8_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_prefix_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.components(documents(spark, folder).select("doc_id", "text"), size=3, percent=90)
+
+
 QUERIES = {
     "op1_anchor_repeats": op1_anchor_repeats,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_line_rules": op7_line_rules,
     "op8_fair_mix": op8_fair_mix,
+    "op10_prefix_trees": op10_prefix_trees,
 }
