@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, mixing, ngram_join, quality_rules, repeats, secrets
+from . import bpe, licenses, mixing, ngram_join, quality_rules, repeats, secrets
 
 SQL: dict[str, str] = {}
 
@@ -37,6 +37,10 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(coded.drop("text"), ranks)
 
 
+def op5_license_join(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
 def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """One scan with a ledger of its own; the base kinds come first among the rules."""
     docs = documents(spark, folder).select("doc_id", "text")
@@ -71,6 +75,7 @@ def op10_prefix_trees(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_anchor_repeats": op1_anchor_repeats,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_license_join": op5_license_join,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_line_rules": op7_line_rules,
     "op8_fair_mix": op8_fair_mix,
