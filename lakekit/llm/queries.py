@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, licenses, mixing, ngram_join, quality_rules, repeats, secrets
+from . import bpe, language, licenses, mixing, ngram_join, quality_rules, repeats, secrets
 
 SQL: dict[str, str] = {}
 
@@ -30,6 +30,16 @@ def op1_anchor_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", kept)
 
 
+def op3_hyper_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from the documents of two parts of three; the third is held out. A null id is in none."""
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    part = language.remainder(F.col("doc_id"))
+    profiles = language.learn(docs.filter(part != 1))
+    named = language.identify(docs.select("doc_id", "text"), profiles)
+    held_out = F.coalesce(part == 1, F.lit(False)).alias("held_out")
+    return named.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = rank_file()
     docs = documents(spark, folder).select("doc_id", "text")
@@ -74,6 +84,7 @@ def op10_prefix_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_anchor_repeats": op1_anchor_repeats,
+    "op3_hyper_language": op3_hyper_language,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_license_join": op5_license_join,
     "op6_secret_ledger": op6_secret_ledger,

@@ -41,7 +41,7 @@ def noisy(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(30)] + ["the", "license", "under", "version", "mit", "rights", "all"]
     out = []
-    for _ in range(60):
+    for _ in range(120):
         w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
         for _ in range(rng.randint(0, 2)):
             t = words(rng.choice(licenses.TEMPLATES)[1])
@@ -86,4 +86,4 @@ def test_empty_and_clashing(spark):
     assert licenses.scan(empty_docs(spark)).count() == 0
     docs = hard_docs(spark).withColumnsRenamed({"lang": "labels", "source": "_text"})
     assert licenses.scan(docs).count() == docs.count()
-    assert licenses.scan(docs, "labels", "_text").count() == docs.count()
+    assert licenses.scan(docs, "doc_id", "_text").count() == docs.count()
