@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, language, licenses, mixing, ngram_join, quality_rules, repeats, secrets
+from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, quality_rules, repeats, secrets
 
 SQL: dict[str, str] = {}
 
@@ -78,6 +78,11 @@ def op8_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op10_prefix_trees(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.components(documents(spark, folder).select("doc_id", "text"), size=3, percent=90)
 
@@ -90,5 +95,6 @@ QUERIES = {
     "op6_secret_ledger": op6_secret_ledger,
     "op7_line_rules": op7_line_rules,
     "op8_fair_mix": op8_fair_mix,
+    "op9_projection_forest": op9_projection_forest,
     "op10_prefix_trees": op10_prefix_trees,
 }
