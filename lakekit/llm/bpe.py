@@ -27,7 +27,7 @@ from .common import pieces
 
 NONE = np.int32(2**31 - 1)
 # Bounds of what a worker remembers; they change the time only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
 # Fixed value: the pattern for which `_matches` knows the common cases.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
