@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, quality_rules, repeats, secrets
+from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, quality_model, quality_rules, repeats, secrets
 
 SQL: dict[str, str] = {}
 
@@ -30,6 +30,13 @@ def op1_anchor_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", kept)
 
 
+def op2_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The scorer's probability and verdict for every document."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored = quality_model.classify(docs)
+    return scored.select("doc_id", "quality_score", (F.col("quality_score") >= quality_model.THRESHOLD).alias("kept"))
+
+
 def op3_hyper_language(spark: SparkSession, folder: str) -> DataFrame:
     """Learns from the documents of two parts of three; the third is held out. A null id is in none."""
     docs = documents(spark, folder).select("doc_id", "text", "lang")
@@ -89,6 +96,7 @@ def op10_prefix_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_anchor_repeats": op1_anchor_repeats,
+    "op2_weak_labels": op2_weak_labels,
     "op3_hyper_language": op3_hyper_language,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_license_join": op5_license_join,

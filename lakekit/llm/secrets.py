@@ -182,6 +182,36 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     return F.aggregate(spans, start, step, finish)
 
 
+def redacted(
+    docs: DataFrame,
+    ledger_path: str,
+    text_col: str = "text",
+    length_col: str | None = None,
+    rules: Sequence[Rule] = RULES,
+    mark: str = "[REDACTED]",
+) -> DataFrame:
+    """`docs` with all findings of the ledger replaced in the texts, other columns as they were.
+
+    Only texts in which some rule matches move to meet their findings; `length_col`, if there, is
+    renewed for texts that change.
+    """
+    text = F.col(f"`{text_col}`")
+    some = F.lit(False)
+    for rule in rules:
+        some = some | text.rlike(rule.pattern)
+    suspect = F.coalesce(some, F.lit(False))
+    known = findings(read_ledger(docs.sparkSession, ledger_path), rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    met = docs.filter(suspect).withColumn("_blob", blob_id(text)).join(known, "_blob", "left")
+    changed = F.col("_spans").isNotNull()
+    new = {text_col: F.when(changed, redact(text, F.col("_spans"), mark)).otherwise(text)}
+    out = met.withColumns(new)
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(changed, F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.filter(~suspect).select(*columns).unionByName(out.select(*columns))
+
+
 def span_list(spans: Column) -> Column:
     parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return F.array_join(parts, ",")
