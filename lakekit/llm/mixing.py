@@ -27,7 +27,7 @@ from .common import word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 ROUNDS = 2
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 # Up to so many sources their plan is broadcast (some tens of MB); beyond, Spark joins by sorting.
 BROADCAST_SOURCES = 100_000
 
