@@ -82,7 +82,7 @@ def normalise_names(spark, folder):
         .otherwise(F.col("p_name"))
         .alias("name"),
     )
-    return linkage.normalise_names(dressed.filter(~F.col("name").endswith("jr.")), "name")
+    return linkage.normalise_names(dressed, "name")
 
 
 def blocking_keys(spark, folder):
@@ -294,15 +294,17 @@ SQL = {
     "normalise_names": """
         WITH parts AS (
             SELECT *, upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b
-            FROM part WHERE p_type <> 'PROMO')
+            FROM part)
         SELECT p_partkey,
                CASE p_type WHEN 'ECONOMY' THEN 'Dr. ' || p_name
                     WHEN 'SMALL' THEN split_part(p_name, ' ', 2) || ',  ' || split_part(p_name, ' ', 1)
+                    WHEN 'PROMO' THEN p_name || ', jr.'
                     WHEN 'LARGE' THEN 'é' || p_name || ' III' ELSE p_name END AS name,
                CASE p_type WHEN 'ECONOMY' THEN 'DR ' || a || ' ' || b WHEN 'SMALL' THEN b || ' ' || a
+                    WHEN 'PROMO' THEN a || ' ' || b || ' JR'
                     WHEN 'LARGE' THEN 'E' || a || ' ' || b || ' III' ELSE a || ' ' || b END AS name_clean,
                CASE p_type WHEN 'ECONOMY' THEN 'DR' END AS name_title,
-               CASE p_type WHEN 'LARGE' THEN 'III' END AS name_suffix,
+               CASE p_type WHEN 'LARGE' THEN 'III' WHEN 'PROMO' THEN 'JR' END AS name_suffix,
                CASE p_type WHEN 'LARGE' THEN 'E' || a ELSE a END AS name_first, b AS name_last
         FROM parts""",
     "blocking_keys": """

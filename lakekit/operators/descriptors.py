@@ -222,11 +222,11 @@ def clean_location(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, r"/+$", ""), r"^file:/+", "file:/")
 
 
-def orphans(files: DataFrame, catalog: DataFrame, directory: str = r"^(.*)/[^/]+$") -> DataFrame:
+def orphans(files: DataFrame, catalog: DataFrame, directory: str = r"^(.*?)(?:/[^/=]+=[^/]*)*/[^/]+$") -> DataFrame:
     """Directories with data but no entry, and entries with no data.
 
     `files` has `(path, length)`, `catalog` `(table_name, location)`; group 1 of `directory` is the
-    table's directory. Files are counted per directory before the join, so a directory with a
+    table's directory, by default without partition folders. Files are counted per directory before the join, so a directory with a
     third of all files is one row by then.
     """
     per_dir = (

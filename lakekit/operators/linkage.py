@@ -24,41 +24,73 @@ PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
 
 
 def clean_name(name: Column) -> Column:
-    """Upper case, no accents, punctuation to spaces, single spaces."""
-    plain = F.translate(F.upper(name), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^A-Z0-9]+", " "), r" +", " "))
+    """Upper case, no accents, punctuation to spaces but for an apostrophe inside a word, single spaces."""
+    plain = F.translate(F.upper(name), ACCENTED + "’", PLAIN + "'")
+    words = F.regexp_replace(plain, r"[^A-Z0-9']+|(?<![A-Z0-9])'+|'+(?![A-Z0-9])", " ")
+    return F.trim(F.regexp_replace(words, r" +", " "))
+
+
+def _leading(words: Column, listed: Sequence[str]) -> Column:
+    """How many words at the front are in the list; one word always stays."""
+    other = F.array_position(F.transform(words, lambda w: ~w.isin(list(listed))), True)
+    count = F.when(other > 0, other - 1).otherwise(F.size(words)).cast("int")
+    return F.greatest(F.least(count, F.size(words) - 1), F.lit(0))
+
+
+def _front(words: Column, count: Column) -> Column:
+    return F.slice(words, F.lit(1), count)
+
+
+def _back(words: Column, count: Column) -> Column:
+    """All words but the first `count`."""
+    return F.slice(words, count + 1, F.greatest(F.size(words) - count, F.lit(0)))
 
 
 def normalise_names(df: DataFrame, col: str) -> DataFrame:
     """Add `name_clean, name_title, name_first, name_last, name_suffix`.
 
-    `LAST, FIRST` is turned round first. Titles are taken from the front, suffixes from the end;
-    a name of one word is a last name.
+    Parts behind a comma that hold suffixes only are taken off first; of what is left, `LAST, FIRST`
+    is turned round. Titles are taken from the front and suffixes from the end, all of them, also
+    from a last name that stands before a comma; several are joined by spaces. A name of one word is
+    a last name.
     """
     raw = F.col(col)
-    turned = F.when(
-        raw.contains(","),
-        F.concat_ws(" ", F.regexp_extract(raw, r"^[^,]*,(.*)$", 1), F.regexp_extract(raw, r"^([^,]*),", 1)),
-    ).otherwise(raw)
-    words = F.filter(F.split(clean_name(turned), " "), lambda w: w != "")
-    size = F.size("_w")
-    has_title = (size > 1) & F.col("_w")[0].isin(TITLES)
-    has_suffix = (size > 1) & F.element_at("_w", -1).isin(SUFFIXES)
-    inner = F.slice(
-        "_w",
-        F.when(has_title, 2).otherwise(1),
-        F.greatest(size - has_title.cast("int") - has_suffix.cast("int"), F.lit(0)),
+    parts = F.transform(F.split(raw, ","), lambda p: F.filter(F.split(clean_name(p), " "), lambda w: w != ""))
+    only_suffixes = lambda p: F.forall(p, lambda w: w.isin(SUFFIXES))
+    ending = F.array_position(F.transform(F.reverse("_p"), lambda p: ~only_suffixes(p)), True)
+    loose = F.least(F.when(ending > 0, ending - 1).otherwise(F.size("_p")).cast("int"), F.size("_p") - 1)
+    none = F.array().cast("array<string>")
+    turned = F.size("_main") > 1
+    steps = (
+        df.withColumn("name_clean", clean_name(raw))
+        .withColumn("_p", F.filter(F.coalesce(parts, F.array().cast("array<array<string>>")), lambda p: F.size(p) > 0))
+        .withColumn("_n", F.greatest(loose, F.lit(0)))
+        .withColumn("_main", F.slice("_p", F.lit(1), F.size("_p") - F.col("_n")))
+        .withColumn("_tail", F.flatten(_back(F.col("_p"), F.size("_p") - F.col("_n"))))
+        .withColumn("_head", F.coalesce(F.try_element_at("_main", F.lit(1)), none))
+        # of a last name before a comma
+        .withColumn("_t", F.when(turned, _leading(F.col("_head"), TITLES)).otherwise(0))
+        .withColumn("_titles", _front(F.col("_head"), F.col("_t")))
+        .withColumn("_head", _back(F.col("_head"), F.col("_t")))
+        .withColumn("_s", F.when(turned, _leading(F.reverse("_head"), SUFFIXES)).otherwise(0))
+        .withColumn("_tail", F.concat(_back(F.col("_head"), F.size("_head") - F.col("_s")), F.col("_tail")))
+        .withColumn("_head", _front(F.col("_head"), F.size("_head") - F.col("_s")))
+        .withColumn("_w", F.concat(F.flatten(_back(F.col("_main"), F.lit(1))), F.col("_head")))
+        # of the whole name
+        .withColumn("_t", _leading(F.col("_w"), TITLES))
+        .withColumn("_titles", F.concat(_front(F.col("_w"), F.col("_t")), F.col("_titles")))
+        .withColumn("_w", _back(F.col("_w"), F.col("_t")))
+        .withColumn("_s", _leading(F.reverse("_w"), SUFFIXES))
+        .withColumn("_tail", F.concat(_back(F.col("_w"), F.size("_w") - F.col("_s")), F.col("_tail")))
+        .withColumn("_w", _front(F.col("_w"), F.size("_w") - F.col("_s")))
     )
-    filled = F.size("_w") > 0
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, " "))
     return (
-        df.withColumn("name_clean", clean_name(raw))
-        .withColumn("_w", words)
-        .withColumn("name_title", F.when(filled & has_title, F.col("_w")[0]))
-        .withColumn("name_suffix", F.when(filled & has_suffix, F.element_at("_w", -1)))
-        .withColumn("_w", F.when(filled, inner).otherwise(F.col("_w")))
+        steps.withColumn("name_title", joined("_titles"))
+        .withColumn("name_suffix", joined("_tail"))
         .withColumn("name_first", F.when(F.size("_w") > 1, F.col("_w")[0]))
         .withColumn("name_last", F.when(F.size("_w") > 0, F.try_element_at("_w", F.lit(-1))))
-        .drop("_w")
+        .drop("_p", "_n", "_main", "_tail", "_head", "_t", "_titles", "_s", "_w")
     )
 
 

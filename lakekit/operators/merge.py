@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..session import delete_path, materialise, scratch_path
 from ..sources.catalog import physical_name, provider
-from .tables import current, overwrite, partition_list, write_table
+from .tables import aligned, base_of, current, overwrite, partition_list, with_maps, without_maps, write_table
 
-MOST_PARTITIONS = 1000
+# up to so many partition values are written into the filter, so that the scan prunes by them
+LISTED_PARTITIONS = 1000
 
 
 def _match(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -46,8 +47,11 @@ def one_per_key(df: DataFrame, keys: Sequence[str], newest_by: str | None = None
 
     An aggregate and no window: a key with a third of all rows is reduced to one row on every map
     task, no task sorts its rows, and about one row per key and task is shuffled. An order column
-    without an exact inverse (text, floating point) takes two such steps.
+    without an exact inverse (text, floating point) takes two such steps. Maps are compared by
+    their entries in the order of their keys.
     """
+    if any(f.dataType.typeName() == "map" for f in df.schema.fields):
+        return with_maps(one_per_key(without_maps(df), keys, newest_by), df.schema)
     rest = [c for c in df.columns if c not in keys and c != newest_by]
     packed = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))
     falling = _newest_first(df, newest_by) if newest_by else F.lit(0)
@@ -70,21 +74,51 @@ def one_per_key(df: DataFrame, keys: Sequence[str], newest_by: str | None = None
 
 def absent_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of `incoming` whose key `existing` lacks; duplicates collapse to the smallest row."""
-    taken = [f"_k{i}" for i in range(len(keys))]
-    seen = existing.select(*[F.col(k).alias(t) for k, t in zip(keys, taken)]).distinct()
     fresh = one_per_key(incoming, keys)
-    return fresh.join(seen, _match(keys, taken), "left_anti")
+    taken = [f"_k{i}" for i in range(len(keys))]
+    return fresh.join(_met(existing, fresh, keys, taken), _match(keys, taken), "left_anti")
+
+
+def _met(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], taken: Sequence[str]) -> DataFrame:
+    """Keys of `existing` that `incoming` has, as columns `taken`.
+
+    When Spark broadcasts the incoming keys, `existing` is scanned where it is; only what is met moves.
+    """
+    wanted = incoming.select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)])
+    held = existing.select(*[F.col(k).alias(t) for k, t in zip(keys, taken)])
+    return held.join(wanted, _match(taken, [f"_w{i}" for i in range(len(keys))]), "left_semi")
 
 
 def append_absent(df: DataFrame, name: str, keys: Sequence[str]) -> int:
-    """Append the rows of `df` whose key is absent from table `name`; returns how many."""
+    """Append the rows of `df` whose key is absent from table `name`; returns how many.
+
+    `df` is worked out once, into the shared folder. Rows of the table whose first key is outside the
+    range of the new ones cannot match and are not read, as far as files and partitions tell.
+    """
     spark = df.sparkSession
     table = current(spark, name)
-    observed = _observe()
-    fresh = absent_rows(table, df.select(*table.columns), keys).observe(*observed)
-    fresh.write.insertInto(physical_name(spark, name))
-    spark.catalog.refreshTable(name)
-    return observed[0].get["n"]
+    path = scratch_path(spark, "append")
+    try:
+        incoming = materialise(aligned(df, table.columns), path)
+        observed = _observe()
+        fresh = absent_rows(_within(table, incoming, keys[0]), incoming, keys).observe(*observed)
+        fresh.write.insertInto(physical_name(spark, name))
+        spark.catalog.refreshTable(name)
+        return observed[0].get["n"]
+    finally:
+        delete_path(spark, path)
+
+
+def _within(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Rows of `existing` whose `key` lies between the least and the greatest of `incoming`, or is NULL."""
+    if existing.schema[key].dataType.typeName() in ("map", "array", "struct", "binary", "double", "float"):
+        return existing
+    ends = incoming.agg(F.min(key).alias("least"), F.max(key).alias("most")).first()
+    if ends["least"] is None:
+        return existing
+    kind = existing.schema[key].dataType
+    least, most = F.lit(ends["least"]).cast(kind), F.lit(ends["most"]).cast(kind)
+    return existing.filter(F.col(key).isNull() | F.col(key).between(least, most))
 
 
 def _observe():
@@ -103,6 +137,7 @@ def merge_by_key(
 
     A left join plus an anti join rather than one full outer join: a source below Spark's
     broadcast size then leaves the target unshuffled, and above it a hot target key can be split.
+    The anti join is with those keys of the target that the source has, which move and no others.
     """
     columns = target.columns
     values = [c for c in columns if c not in keys]
@@ -134,10 +169,11 @@ def merge_by_key(
             ]
         )
     )
-    present = target.select(*keys).distinct()
+    there = [f"_t{i}" for i in range(len(keys))]
+    wanted = unique.filter(~F.col("_deleted"))
+    present = _met(target, wanted.select(*[F.col(t).alias(k) for k, t in zip(keys, taken)]), keys, there)
     inserted = (
-        unique.filter(~F.col("_deleted"))
-        .join(present, _match(keys, taken), "left_anti")
+        wanted.join(present, _match(taken, there), "left_anti")
         .select(
             *[
                 F.col(f"_k{list(keys).index(c)}").alias(c) if c in keys else F.col(f"_new.{c}").alias(c)
@@ -155,41 +191,55 @@ def merge_into(
 
     `touched_only` reads and rewrites only the partitions that `df` has rows for, which is enough
     when the partition columns are among the keys. It works in place, so a reader may see it
-    partition by partition. The whole table is still rewritten when more than `MOST_PARTITIONS` are
-    touched, or when a partition would lose all its rows.
+    partition by partition. The whole table is still rewritten when a partition would lose all its
+    rows. `df` is worked out once, into the shared folder.
     """
-    table = current(df.sparkSession, name)
-    if touched_only and _merge_touched(df, table, name, keys, delete_flag):
-        return
-    write_table(merge_by_key(table, df, keys, delete_flag), name, "replace")
+    spark = df.sparkSession
+    base = base_of(spark, name)
+    table = current(spark, name)
+    flag = [delete_flag] if delete_flag else []
+    missing = [c for c in table.columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"source lacks {missing}")
+    aligned(df, table.columns, flag)
+    path = scratch_path(spark, "merge")
+    try:
+        source = materialise(df, f"{path}/source")
+        if touched_only and _merge_touched(source, table, name, keys, delete_flag, f"{path}/merged"):
+            return
+        write_table(merge_by_key(table, source, keys, delete_flag), name, "replace", base=base)
+    finally:
+        delete_path(spark, path)
 
 
 def _merge_touched(
-    df: DataFrame, table: DataFrame, name: str, keys: Sequence[str], delete_flag: str | None
+    df: DataFrame, table: DataFrame, name: str, keys: Sequence[str], delete_flag: str | None, path: str
 ) -> bool:
+    """False, and nothing done, when a partition would lose all its rows; `df` must be stored."""
     spark = df.sparkSession
     parts = partition_list(spark, name)
     if not parts or not set(parts) <= set(keys):
         raise ValueError(f"touched_only needs the partition columns of {name} among the keys")
-    # partition values are metadata: at most MOST_PARTITIONS rows reach the driver
-    touched = [tuple(r) for r in df.select(*parts).distinct().limit(MOST_PARTITIONS + 1).collect()]
-    if len(touched) > MOST_PARTITIONS:
-        return False
+    values = df.select(*parts).distinct()
+    # partition values are metadata: few rows reach the driver
+    touched = [tuple(r) for r in values.limit(LISTED_PARTITIONS + 1).collect()]
     if not touched:
         return True
+    names = [f"_p{i}" for i in range(len(parts))]
+    of_touched = values.select(*[F.col(p).alias(n) for p, n in zip(parts, names)])
+    affected = table.join(of_touched, _match(parts, names), "left_semi")
+    if len(touched) <= LISTED_PARTITIONS:
+        # the same rows, by literals, so that the scan prunes all other partitions
 
-    def is_one(values: tuple) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, values)])
+        def is_one(row: tuple) -> Column:
+            return reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, row)])
 
-    # literals, so that the scan prunes all other partitions
-    affected = table.filter(reduce(lambda a, b: a | b, [is_one(v) for v in touched]))
-    path = scratch_path(spark, "merge")
+        affected = table.filter(reduce(lambda a, b: a | b, [is_one(v) for v in touched]))
     merged = materialise(merge_by_key(affected, df, keys, delete_flag), path)
     emptied = affected.select(*parts).distinct().exceptAll(merged.select(*parts).distinct())
     whole = emptied.limit(1).count() == 0
     if whole:
         overwrite(merged, name, "dynamic")
-    delete_path(spark, path)
     return whole
 
 
@@ -224,8 +274,10 @@ def keyed_export(
         documents.write.format(fmt).options(**dict(options or {})).mode(how).save(target)
         return
     spark = df.sparkSession
+    base = None
     if mode == "upsert" and spark.catalog.tableExists(target):
+        base = base_of(spark, target)
         table = current(spark, target)
-        documents = merge_by_key(table, documents.select(*table.columns), [id_col])
+        documents = merge_by_key(table, aligned(documents, table.columns), [id_col])
         fmt = provider(spark, target)
-    write_table(documents, target, "create_or_replace", root=root, fmt=fmt)
+    write_table(documents, target, "create_or_replace", root=root, fmt=fmt, base=base)

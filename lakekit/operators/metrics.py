@@ -17,6 +17,8 @@ from ..functions.bands import map_values
 from .skew import heavy_cells, with_slice
 
 MB = 1048576
+# what tells one series from another
+SERIES = ("metric", "labels")
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
@@ -72,8 +74,9 @@ def counter_rate(
     before any row is moved to its series.
 
     A series is cut into slices of `slice_length`, busy ones into narrower ones of at least the
-    window. Every slice also gets the samples of the window before it, which is all a rate in that
-    slice can look at, so slices are independent. Within a slice the increase is a difference of
+    window, but for the last slice of a cell, which gets what is left. Every slice also gets the
+    samples of the window before it, which is all a rate in that slice can look at, so slices are
+    independent. Within a slice the increase is a difference of
     running totals; the first sample of each window is found by sorting the window starts in among
     the samples. Both are linear, however many samples a window holds.
     """
@@ -90,8 +93,12 @@ def counter_rate(
     samples = kept.groupBy("_key", "_t").agg(last.alias("_v"))
     heavy = heavy_cells(kept, length, span)
     placed = with_slice(samples, heavy, length, F.col("_t"), "_own")
-    placed = with_slice(placed, heavy, length, F.col("_t") + F.lit(span - 1), "_later")
-    placed = placed.withColumn("_slice", F.explode(F.array_distinct(F.array("_own", "_later"))))
+    end = F.col("_t") + F.lit(span - 1)
+    placed = with_slice(placed, heavy, length, end, "_later")
+    # the narrow last slice of a cell may lie between the two
+    cell_end = (F.floor(F.col("_t") / F.lit(length)) + 1) * F.lit(length) - 1
+    placed = with_slice(placed, heavy, length, F.least(end, cell_end), "_between")
+    placed = placed.withColumn("_slice", F.explode(F.array_distinct(F.array("_own", "_between", "_later"))))
 
     upward = Window.partitionBy("_key", "_slice").orderBy("_t")
     before = F.lag("_v").over(upward)
@@ -234,11 +241,25 @@ RULE_SCHEMA = (
 )
 
 
+def label_text(labels: Column | str) -> Column:
+    """A label set as text, `name=value` by name: equal for equal sets whatever their order; NULL is empty."""
+    entries = F.array_sort(F.map_entries(labels))
+    parts = F.transform(entries, lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit(""))))
+    return F.coalesce(F.array_join(parts, ","), F.lit(""))
+
+
+def by_series(samples: DataFrame) -> DataFrame:
+    """Samples with their label set as text: metric and `labels` together name a series."""
+    return samples.withColumn("labels", label_text("labels"))
+
+
 def evaluate_rules(
-    samples: DataFrame, rules: DataFrame, series: Sequence[str] = ("metric",), ts: str = "ts", slice_length: str = "1 day"
+    samples: DataFrame, rules: DataFrame, series: Sequence[str] = SERIES, ts: str = "ts", slice_length: str = "1 day"
 ) -> DataFrame:
     """Fired alerts of all rules over all series: `alert, severity, <series>, start, end, fired_at`.
 
+    A series is a metric with one set of labels; `labels` is that set as text.
+
     Rules are joined to samples by metric name and, where a rule names one, job label; one pass for all rules whatever their hold times.
     """
     holds = (
@@ -248,7 +269,7 @@ def evaluate_rules(
     )
     named = rules.withColumnsRenamed({"metric": "_metric", "job": "_job"})
     same_job = F.col("_job").isNull() | (F.try_element_at("labels", F.lit("job")) == F.col("_job"))
-    judged = samples.join(named, (F.col("metric") == F.col("_metric")) & same_job)
+    judged = by_series(samples.join(named, (F.col("metric") == F.col("_metric")) & same_job))
     runs = sustained(judged, ["alert", "severity", *series], ts, holds, F.col("hold_seconds"), slice_length)
     return runs.filter(F.col("fired_at").isNotNull()).select("alert", "severity", *series, "start", "end", "fired_at")
 

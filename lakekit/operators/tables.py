@@ -3,7 +3,8 @@
 A published name is a view over one physical table, and every new state is written to a fresh
 directory `root/<table>/<version>`, counted, and published by a single view replacement. Readers
 see the old or the new rows; a failed write leaves neither an entry nor files. Superseded versions
-stay until `expire_versions`, so running readers keep their files.
+stay until `expire_versions`, so running readers keep their files. What was computed from a table is
+published only while that table is as it was; otherwise `Conflict` is raised and nothing changes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -44,6 +46,25 @@ ROOT_KEY, FORMAT_KEY, PARTITION_KEY, LOCATION_KEY = (
 )
 
 
+# Fixed value: the property of a table that is refreshed from a stream; a rewrite ends that.
+GENERATION_KEY = "lakekit.generation"
+OWN_KEYS = (TABLE_KEY, ROOT_KEY, FORMAT_KEY, PARTITION_KEY, LOCATION_KEY, GENERATION_KEY)
+
+
+class Conflict(RuntimeError):
+    """The table has changed since the rows to publish were read from it."""
+
+
+@dataclass(frozen=True)
+class Base:
+    """The state of a table that new rows are computed from: its version and its files."""
+
+    physical: str
+    files: int
+    bytes: int
+    digest: int
+
+
 def resolve_format(requested: str | None, session_default: str = "parquet", honour_explicit: bool = True) -> str:
     """Effective format: the request when it counts, else the session's default."""
     chosen = requested if requested and honour_explicit else session_default
@@ -88,12 +109,39 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def base_of(spark: SparkSession, name: str) -> Base:
+    """What `name` consists of now; to be taken before its rows are read."""
+    props = _properties(spark, name)
+    try:
+        files = list_files(spark, props[LOCATION_KEY])
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return Base(props[TABLE_KEY], 0, 0, 0)
+    digest = F.bit_xor(F.xxhash64("path", "length", F.unix_micros("modified_at")))
+    found = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), digest.alias("digest")).first()
+    return Base(props[TABLE_KEY], found["n"], found["bytes"] or 0, found["digest"] or 0)
+
+
+def aligned(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """`df` with exactly `columns`; a column that the table lacks is an error, but for those named in `extra`."""
+    unknown = [c for c in df.columns if c not in columns and c not in extra]
+    if unknown:
+        raise ValueError(f"the table has no columns {unknown}")
+    return df.select(*columns)
+
+
+def new_version() -> str:
+    """Names of versions are in the order of their making."""
+    return datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f") + uuid.uuid4().hex[:8]
+
+
 def _register(
     spark: SparkSession, name: str, schema: StructType, fmt: str, partition_by: Sequence[str], root: str
 ) -> tuple[str, str]:
     """Create the physical table of a new version; returns its name and location."""
     db, table = _full_name(spark, name)
-    version = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f") + uuid.uuid4().hex[:8]
+    version = new_version()
     physical, location = f"{db}.{table}{VERSION_MARK}{version}", f"{root.rstrip('/')}/{table}/{version}"
     unknown = [c for c in partition_by if c not in schema.names]
     if unknown:
@@ -108,7 +156,7 @@ def _register(
     return physical, location
 
 
-def _publish(
+def publish(
     spark: SparkSession,
     name: str,
     physical: str,
@@ -118,15 +166,26 @@ def _publish(
     partition_by: Sequence[str],
     root: str,
     extra: dict[str, str] | None = None,
+    base: Base | None = None,
+    keep_properties: bool = True,
 ) -> None:
+    """Make `physical` what readers of `name` see, in one statement.
+
+    Properties that were published with earlier versions are carried over. With `base`, which the
+    rows were computed from, a table that has changed since is left alone and `Conflict` is raised.
+    """
+    carried = view_properties(spark, name) if keep_properties else {}
     props = {
-        **(extra or {}),
+        **{k: v for k, v in carried.items() if k not in OWN_KEYS and not k.startswith(("view.", "transient"))},
         TABLE_KEY: physical,
         ROOT_KEY: root,
         FORMAT_KEY: fmt,
         PARTITION_KEY: ",".join(partition_by),
         LOCATION_KEY: location,
+        **(extra or {}),
     }
+    if base is not None and base_of(spark, name) != base:
+        raise Conflict(f"{name} has changed meanwhile")
     text = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in props.items())
     db, table = _full_name(spark, name)
     spark.sql(
@@ -171,7 +230,7 @@ def create_table(
             raise ValueError(f"{name} differs: {change['reason']}")
         return "reused"
     physical, location = _register(spark, name, _nullable(schema), fmt, partition_by, root)
-    _publish(spark, name, physical, location, schema.names, fmt, partition_by, root)
+    publish(spark, name, physical, location, schema.names, fmt, partition_by, root, keep_properties=False)
     return "recreated" if exists else "created"
 
 
@@ -198,13 +257,17 @@ def write_table(
     fmt: str | None = None,
     partition_by: Sequence[str] | None = None,
     properties: dict[str, str] | None = None,
+    base: Base | None = None,
+    honour_explicit: bool = True,
 ) -> None:
     """Write `df` as a new version of `name` and publish it after its row count was verified.
 
     `mode`: `create` (must be absent), `replace` (must exist) or `create_or_replace`. Root, format
     and partition list of an existing table are kept unless given.
 
-    `properties` are published together with the rows, in the same statement.
+    `properties` are published together with the rows, in the same statement. `base` is the state
+    that `df` was computed from, if it was computed from this table. `honour_explicit=False` lets
+    the session's default format win over `fmt`.
 
     A partitioned write is rebalanced by the partition columns, which bounds the number of files
     and lets adaptive execution split a partition value that holds much of the rows.
@@ -222,9 +285,9 @@ def write_table(
     root = root or props.get(ROOT_KEY)
     if root is None:
         raise ValueError("a new table needs a root")
-    fmt = resolve_format(fmt or props.get(FORMAT_KEY), spark.conf.get("spark.sql.sources.default"))
+    fmt = resolve_format(fmt or props.get(FORMAT_KEY), spark.conf.get("spark.sql.sources.default"), honour_explicit)
     parts = list(_partitions(props) if partition_by is None else partition_by)
-    _write_version(df, name, root, fmt, parts, True, properties)
+    _write_version(df, name, root, fmt, parts, True, properties, base)
 
 
 def _write_version(
@@ -235,6 +298,7 @@ def _write_version(
     parts: list[str],
     rebalance: bool,
     extra: dict[str, str] | None = None,
+    base: Base | None = None,
 ) -> None:
     spark = df.sparkSession
     physical, location = _register(spark, name, _nullable(df.schema), fmt, parts, root)
@@ -245,7 +309,7 @@ def _write_version(
         found = spark.table(physical).count()
         if found != written:
             raise RuntimeError(f"{name}: wrote {written} rows, read {found}")
-        _publish(spark, name, physical, location, df.columns, fmt, parts, root, extra)
+        publish(spark, name, physical, location, df.columns, fmt, parts, root, extra, base)
     except BaseException:
         _discard(spark, physical, location)
         raise
@@ -269,14 +333,13 @@ def truncate(spark: SparkSession, name: str) -> None:
     schema = spark.table(name).schema
     parts = _partitions(props)
     physical, location = _register(spark, name, schema, props[FORMAT_KEY], parts, props[ROOT_KEY])
-    _publish(spark, name, physical, location, schema.names, props[FORMAT_KEY], parts, props[ROOT_KEY])
+    publish(spark, name, physical, location, schema.names, props[FORMAT_KEY], parts, props[ROOT_KEY])
 
 
 def append(df: DataFrame, name: str) -> None:
-    """Append rows to the current version, matching columns by name."""
+    """Append rows to the current version, matching columns by name; unknown columns are an error."""
     spark = df.sparkSession
-    columns = current(spark, name).columns
-    df.select(*columns).write.insertInto(physical_name(spark, name))
+    aligned(df, current(spark, name).columns).write.insertInto(physical_name(spark, name))
     spark.catalog.refreshTable(name)
 
 
@@ -295,16 +358,16 @@ def overwrite(df: DataFrame, name: str, how: str = "all", where: Column | None =
         parts = _partitions(props)
         if not parts:
             raise ValueError(f"{name} is not partitioned")
-        columns = current(spark, name).columns
-        _save(df.select(*columns), props[FORMAT_KEY], props[LOCATION_KEY], parts, True, mode="overwrite")
+        _save(aligned(df, current(spark, name).columns), props[FORMAT_KEY], props[LOCATION_KEY], parts, True, mode="overwrite")
         spark.sql(f"ALTER TABLE {quoted(props[TABLE_KEY])} RECOVER PARTITIONS")
         spark.catalog.refreshTable(props[TABLE_KEY])
         spark.catalog.refreshTable(name)
     elif how == "where":
         if where is None:
             raise ValueError("how='where' needs a condition")
+        base = base_of(spark, name)
         kept = spark.table(name).filter(~where | where.isNull())
-        write_table(kept.unionByName(df), name, "replace")
+        write_table(kept.unionByName(df), name, "replace", base=base)
     else:
         raise ValueError(f"unknown how {how!r}")
 
@@ -317,11 +380,17 @@ def versions(spark: SparkSession, name: str) -> list[str]:
 
 
 def expire_versions(spark: SparkSession, name: str, keep: int = 1) -> list[str]:
-    """Drop superseded versions with their files, keeping the newest `keep` and the published one."""
-    live = physical_name(spark, name).lower()
+    """Drop superseded versions with their files, keeping the newest `keep` and the published one.
+
+    A name that does not say which version is published is refused.
+    """
+    live = _properties(spark, name)[TABLE_KEY].lower()
     old = [v for v in versions(spark, name)[: -max(keep, 1)] if v.lower() != live]
     for physical in old:
-        _discard(spark, physical, _location(spark, physical))
+        location = _location(spark, physical).rstrip("/")
+        version = physical.rsplit(VERSION_MARK, 1)[-1]
+        # a refreshed generation has its checkpoint beside its rows
+        _discard(spark, physical, location.removesuffix("/rows") if location.endswith(f"/{version}/rows") else location)
     return old
 
 
@@ -356,7 +425,7 @@ def evolve(spark: SparkSession, name: str, new_schema: StructType, rewrite: bool
         if added:
             ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
             spark.sql(f"ALTER TABLE {quoted(props[TABLE_KEY])} ADD COLUMNS ({ddl})")
-        _publish(
+        publish(
             spark,
             name,
             props[TABLE_KEY],
@@ -369,18 +438,32 @@ def evolve(spark: SparkSession, name: str, new_schema: StructType, rewrite: bool
         return
     if not rewrite:
         raise ValueError(f"{name}: only added columns are possible without rewrite=True")
+    base = base_of(spark, name)
     table = spark.table(name)
     kept = [
         (F.col(f.name) if f.name in old.names else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in new_schema.fields
     ]
-    write_table(table.select(*kept), name, "replace")
+    write_table(table.select(*kept), name, "replace", base=base)
 
 
 def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows whose number differs between the sides, with `n = left - right`; one shuffle."""
-    both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))
-    return both.groupBy(*left.columns).agg(F.sum("_side").alias("n")).filter(F.col("n") != 0)
+    sides = [without_maps(left).withColumn("_side", F.lit(1)), without_maps(right).withColumn("_side", F.lit(-1))]
+    counted = sides[0].unionByName(sides[1]).groupBy(*left.columns).agg(F.sum("_side").alias("n")).filter(F.col("n") != 0)
+    return with_maps(counted, left.schema)
+
+
+def without_maps(df: DataFrame) -> DataFrame:
+    """`df` with every MAP column as its entries in the order of their keys, which can be compared and grouped."""
+    maps = [f.name for f in df.schema.fields if f.dataType.typeName() == "map"]
+    return df.withColumns({c: F.array_sort(F.map_entries(F.col(f"`{c}`"))) for c in maps}) if maps else df
+
+
+def with_maps(df: DataFrame, schema: StructType) -> DataFrame:
+    """Undoes `without_maps` for the columns that are maps in `schema`."""
+    maps = [f.name for f in schema.fields if f.dataType.typeName() == "map" and f.name in df.columns]
+    return df.withColumns({c: F.map_from_entries(F.col(f"`{c}`")) for c in maps}) if maps else df
 
 
 def verify_write(expected: DataFrame, name: str, key: Sequence[str] | None = None, exact: bool = False) -> int:
@@ -405,6 +488,7 @@ def compact(spark: SparkSession, name: str, target_bytes: int = 256 * 1024 * 102
     as many files as its share of the rows needs, so a value with a third of all rows is written
     by many tasks. Row counts come from the footers.
     """
+    base = base_of(spark, name)
     props = _properties(spark, name)
     parts = _partitions(props)
     size = list_files(spark, props[LOCATION_KEY]).agg(F.sum("length")).first()[0] or 0
@@ -426,7 +510,7 @@ def compact(spark: SparkSession, name: str, target_bytes: int = 256 * 1024 * 102
         spread = dealt.repartition(
             int(wanted), *parts, F.pmod(F.col("_deal"), F.col("_files"))
         ).select(*table.columns)
-    _write_version(spread, name, props[ROOT_KEY], props[FORMAT_KEY], parts, rebalance=False)
+    _write_version(spread, name, props[ROOT_KEY], props[FORMAT_KEY], parts, rebalance=False, base=base)
     return int(wanted)
 
 
@@ -434,4 +518,5 @@ def convert(spark: SparkSession, name: str, fmt: str) -> None:
     """Rewrite `name` in another file format."""
     if fmt.lower() not in FILE_FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
-    write_table(spark.table(name), name, "replace", fmt=fmt)
+    base = base_of(spark, name)
+    write_table(spark.table(name), name, "replace", fmt=fmt, base=base)

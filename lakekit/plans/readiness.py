@@ -181,6 +181,5 @@ def run_readiness(
         try:
             report.append((name, append_absent(collect(), targets[name], SNAPSHOT_KEYS[name]), "ok", None))
         except Exception as error:  # reported per collector, by design
-            text = str(error).splitlines()[0][:500] if str(error) else repr(error)
-            report.append((name, None, "failed", text))
+            report.append((name, None, "failed", str(error) or repr(error)))
     return spark.createDataFrame(report, "collector string, rows bigint, status string, error string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import band
-from ..operators.metrics import MB, counter_rate, current_state, scale, select_series
+from ..operators.metrics import MB, SERIES, by_series, counter_rate, current_state, scale, select_series
 
 # Job label, states, steps, and the metric name patterns of every panel.
 JOB = "spark-connect"
@@ -54,20 +54,23 @@ def _labelled(samples: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 
 def server_panels(samples: DataFrame) -> dict[str, DataFrame]:
-    """One DataFrame per panel: newest values by series, and series over time as `(ts, metric, label, value)`."""
+    """One DataFrame per panel: newest values by series, and series over time as `(ts, metric, labels, label, value)`.
+
+    A series is a metric with one set of labels: two instances of a server are never mixed.
+    """
     up = select_series(samples, name="up", labels={"job": JOB})
     panels = {
-        "Status": current_state(up, "metric", states=STATES).withColumn(
+        "Status": current_state(by_series(up), SERIES, states=STATES).withColumn(
             "colour", band(F.col("value"), STATUS_STEPS)
         )
     }
     for title, pattern in NEWEST.items():
-        newest = current_state(select_series(samples, name_regex=pattern), "metric")
+        newest = current_state(by_series(select_series(samples, name_regex=pattern)), SERIES)
         panels[title] = scale(newest, MB) if title in IN_MB else newest
     for title, patterns in OVER_TIME.items():
-        panels[title] = _labelled(samples, patterns).select("ts", "metric", "label", "value")
+        panels[title] = by_series(_labelled(samples, patterns)).select("ts", *SERIES, "label", "value")
     for title, patterns in RATES.items():
-        rates = counter_rate(_labelled(samples, patterns), ["metric", "label"], "ts", "value", RATE_WINDOW)
-        panels[title] = rates.select("ts", "metric", "label", F.col("rate").alias("value"))
+        rates = counter_rate(by_series(_labelled(samples, patterns)), [*SERIES, "label"], "ts", "value", RATE_WINDOW)
+        panels[title] = rates.select("ts", *SERIES, "label", F.col("rate").alias("value"))
     return panels
 

@@ -110,7 +110,10 @@ def schema_properties(spark: SparkSession, schemas: Sequence[str] | None = None)
     for name in names:
         described = spark.sql(f"DESCRIBE DATABASE EXTENDED {quoted(name)}").collect()
         text = next((r["info_value"] for r in described if r["info_name"] == "Properties"), "")
-        out.append((name, dict(re.findall(r"\(([^,()]+),([^()]*)\)", text))))
+        # shown as ((key,value), (key,value)); a value may hold parentheses and commas
+        inner = re.sub(r"^\(\(|\)\)$", "", text.strip())
+        pairs = re.split(r"\),\s*\((?=[^,()\s]+,)", inner) if inner else []
+        out.append((name, dict(p.split(",", 1) for p in pairs if "," in p)))
     schema = StructType(
         [
             StructField("name", StringType(), False),

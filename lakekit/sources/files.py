@@ -60,14 +60,20 @@ def with_path_keys(df: DataFrame, keys: Mapping[str, str], path: str = "path") -
     return df.withColumns({k: path_key(F.col(path), k, t) for k, t in keys.items()})
 
 
+# schema and table of a file, past partition folders and a version folder
+TABLE_PATTERN = r"/([^/]+)/([^/]+)/(?:(?:[0-9]{20}[0-9a-f]{8}|[0-9a-f]{32})/)?(?:[^/=]+=[^/]*/)*[^/]+$"
+
+
 def row_counts(
     spark: SparkSession,
     root: str,
-    table_pattern: str = r"/([^/]+)/([^/]+)/(?:[^/]+=[^/]+/)*[^/]+$",
+    table_pattern: str = TABLE_PATTERN,
     skip_corrupt: bool = False,
 ) -> DataFrame:
     """Rows per table directory below `root/<schema>/<table>/`, all tables in one job.
 
+    Below the table's directory there may be a version folder of this package and partition folders.
+
     The read projects no column, so Parquet serves the counts from the footers. Columns:
     `(schema_name, table_name, row_count, files, files_without_rows, corrupt_skipped)`. A table
     whose files are all empty counts 0; a table without files has no row here. With `skip_corrupt`

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.tables import GENERATION_KEY, new_version, publish
 from ..plans.readiness import sentinels
 from ..sources.catalog import VERSION_MARK, quoted, view_properties
 from ..sources.files import stream_path
 
-GENERATION_KEY = "lakekit.generation"
-
 
 def stream_to_table(
     sdf: DataFrame, path: str, checkpoint: str, trigger: str = "availableNow", fmt: str = "parquet", partition_by=()
@@ -58,19 +56,16 @@ def refresh(spark: SparkSession, spec: Derived, full: bool = False) -> str:
     base = props.get(GENERATION_KEY)
     fresh = full or base is None
     if fresh:
-        base = f"{spec.root.rstrip('/')}/{spec.name.split('.')[-1]}/{uuid.uuid4().hex}"
+        base = f"{spec.root.rstrip('/')}/{spec.name.split('.')[-1]}/{new_version()}"
     source = stream_path(spark, spec.source, spec.source_schema, max_files_per_trigger=spec.max_files_per_trigger)
     out = spec.transform(source)
     stream_to_table(out, f"{base}/rows", f"{base}/checkpoint")
     rows = f"{spec.name}{VERSION_MARK}{base.rsplit('/', 1)[-1]}"
     if fresh:
         # a declared schema, so that a source without files gives an empty table
-        spark.sql(f"CREATE TABLE {quoted(rows)} ({out.schema.toDDL()}) USING parquet LOCATION '{base}/rows'")
-        columns = ", ".join(f"`{c}`" for c in out.columns)
-        spark.sql(
-            f"CREATE OR REPLACE VIEW {quoted(spec.name)} TBLPROPERTIES ('{GENERATION_KEY}' = '{base}') "
-            f"AS SELECT {columns} FROM {quoted(rows)}"
-        )
+        place = f"{base}/rows".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {quoted(rows)} ({out.schema.toDDL()}) USING parquet LOCATION '{place}'")
+        publish(spark, spec.name, rows, f"{base}/rows", out.columns, "parquet", [], spec.root, {GENERATION_KEY: base})
     spark.catalog.refreshTable(rows)
     return base
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..operators.merge import merge_by_key, one_per_key
-from ..operators.tables import write_table
+from ..operators.tables import aligned, base_of, expire_versions, write_table
 from ..sources.catalog import view_properties
 
 BATCH_KEY = "lakekit.batch"
@@ -18,7 +18,8 @@ def foreach_batch_upsert(target: str, keys: Sequence[str], newest_by: str | None
 
     With `newest_by` the newest row per key wins, also against the rows already there, so the
     result does not depend on the order of arrival. Without it a batch replaces the keys it has.
-    The batch id is published together with the rows: a replayed batch changes nothing.
+    The batch id is published together with the rows: a replayed batch changes nothing. The version
+    before stays for its readers, older ones are expired.
     """
     keys = list(keys)
 
@@ -27,12 +28,14 @@ def foreach_batch_upsert(target: str, keys: Sequence[str], newest_by: str | None
         done = int(view_properties(spark, target).get(BATCH_KEY, "-1"))
         if batch_id <= done:
             return
+        base = base_of(spark, target)
         table = spark.table(target)
-        incoming = batch.select(*table.columns)
+        incoming = aligned(batch, table.columns)
         if newest_by is not None:
             merged = one_per_key(table.unionByName(incoming), keys, newest_by)
         else:
             merged = merge_by_key(table, one_per_key(incoming, keys), keys)
-        write_table(merged, target, "replace", properties={BATCH_KEY: str(batch_id)})
+        write_table(merged, target, "replace", properties={BATCH_KEY: str(batch_id)}, base=base)
+        expire_versions(spark, target, keep=2)
 
     return process

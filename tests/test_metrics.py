@@ -224,3 +224,21 @@ def test_server_panels(spark):
     assert rows(panels["Memory Used"], "value") == [(2097152.0,)]
     assert rows(panels["GC Time Rate"], "ts", "label", "value") == [(at(0), "Minor GC Time", None), (at(30), "Minor GC Time", 1.0)]
     assert panels["Stages"].count() == 0 and panels["Active Jobs"].count() == 0
+
+
+@pytest.mark.parametrize("minutes", [1, 5, 7, 8, 11, 13, 15])
+@pytest.mark.parametrize("busy", [5, 50, 10**6])
+def test_rate_does_not_depend_on_how_slices_are_cut(spark, monkeypatch, minutes, busy):
+    monkeypatch.setattr(skew, "SLICE_ROWS", busy)
+    rnd = random.Random(minutes)
+    samples = [("a", rnd.randrange(3 * 3600), float(rnd.randrange(30))) for _ in range(700)]
+    got = got_rates(metrics.counter_rate(series(spark, *samples), "k", "ts", "v", f"{minutes} minutes"))
+    assert_same(got, brute_rates(samples, minutes * 60))
+
+
+def test_series_of_two_instances_are_apart(spark):
+    samples = [(at(s), "up", {"job": "j", "i": "a"}, 0.0) for s in range(0, 600, 30)]
+    samples += [(at(s), "up", {"i": "b", "job": "j"}, 1.0) for s in range(0, 600, 30)]
+    df = spark.createDataFrame(samples, "ts timestamp, metric string, labels map<string,string>, value double")
+    rules = spark.createDataFrame([("Down", "up", "j", "equals", 0.0, 120, "critical")], metrics.RULE_SCHEMA)
+    assert [r.labels for r in metrics.evaluate_rules(df, rules).collect()] == ["i=a,job=j"]

@@ -170,3 +170,17 @@ def test_upsert_replay_is_a_no_op(spark, root, name):
     plain = foreach_batch_upsert(name, ["k"])
     plain(make((3, 0, "last write wins")), 2)
     assert (3, 0, "last write wins") in rows(spark.table(name))
+
+
+def test_expiry_spares_the_live_generation(spark, root, name):
+    spark.range(5).write.parquet(f"{root}/in")
+    spec = Derived(name, f"{root}/in", spark.range(1).schema, lambda df: df, f"{root}/out")
+    refresh(spark, spec)
+    for _ in range(3):
+        refresh(spark, spec, full=True)
+    spark.range(5, 8).write.mode("append").parquet(f"{root}/in")
+    refresh(spark, spec)
+    assert len(tables.expire_versions(spark, name)) == 3
+    assert rows(spark.table(name)) == [(i,) for i in range(8)]
+    refresh(spark, spec)
+    assert spark.table(name).count() == 8

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from lakekit.operators import descriptors, merge, tables
+from lakekit.session import materialise
 from lakekit.sources import catalog
+from lakekit.sources.catalog import view_properties
 
 KV = StructType().add("k", IntegerType()).add("v", StringType())
 
@@ -331,3 +333,51 @@ def test_orphans(spark):
     assert rows(descriptors.orphans(files, entries)) == [
         ("no data", "file:/lake/c", "c", 0, 0), ("no entry", "file:/lake/a", None, 2, 11),
     ]
+
+
+def test_an_append_during_a_rewrite_is_not_lost(spark, root, name, monkeypatch):
+    table = spark.range(10).select(F.col("id").cast("int").alias("id"))
+    tables.write_table(table, name, "create", root, properties={"lakekit.batch": "7"})
+    save = tables._save
+
+    def slow_save(*args, **kwargs):
+        monkeypatch.setattr(tables, "_save", save)
+        tables.append(spark.range(100, 105).select(F.col("id").cast("int").alias("id")), name)
+        return save(*args, **kwargs)
+
+    monkeypatch.setattr(tables, "_save", slow_save)
+    with pytest.raises(tables.Conflict):
+        tables.compact(spark, name)
+    assert spark.table(name).count() == 15
+    tables.compact(spark, name)
+    assert spark.table(name).count() == 15
+    assert view_properties(spark, name)["lakekit.batch"] == "7"
+
+
+def test_unknown_columns_are_an_error(spark, root, name):
+    tables.write_table(spark.range(3), name, "create", root)
+    more = spark.range(3).withColumn("extra", F.lit(1))
+    for write in (lambda: tables.append(more, name), lambda: merge.append_absent(more, name, ["id"]), lambda: merge.merge_into(more, name, ["id"])):
+        with pytest.raises(ValueError, match="extra"):
+            write()
+
+
+def test_maps_in_keyed_writes(spark, root, name):
+    kind = "ts int, labels map<string,string>, value double"
+    first = spark.createDataFrame([(1, {"a": "x", "b": "y"}, 1.0), (1, {"b": "y", "a": "x"}, 2.0)], kind)
+    assert len(merge.one_per_key(first, ["ts", "labels"]).collect()) == 1
+    tables.write_table(merge.one_per_key(first, ["ts"]), name, "create", root)
+    assert merge.append_absent(spark.createDataFrame([(1, {}, 0.0), (2, {"c": "z"}, 3.0)], kind), name, ["ts"]) == 1
+    assert tables.multiset_diff(spark.table(name), spark.table(name)).count() == 0
+
+
+def test_a_small_merge_does_not_move_the_target(spark, root, name):
+    tables.write_table(spark.range(1000).withColumn("v", F.lit("old")), name, "create", root)
+    # stored, as merge_into does it, so that Spark knows the size
+    source = materialise(spark.createDataFrame([(1, "new"), (5000, "new")], "id bigint, v string"), f"{root}/source")
+    merged = merge.merge_by_key(tables.current(spark, name), source, ["id"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    # the target meets the broadcast source twice: for the update and to find which keys are there
+    assert merged.count() == 1001
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert "SortMergeJoin" not in plan.split("LeftOuter")[0]
