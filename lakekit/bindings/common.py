@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.files import read_path
 
 # The moment all bindings take as now.
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -15,7 +16,7 @@ NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_path(spark, f"{folder}/{name}.parquet")
 
 
 def zoneless(df: DataFrame) -> DataFrame:

@@ -115,8 +115,33 @@ def row_counts(spark, folder):
 
 
 def list_files(spark, folder):
-    """The data folder itself as a table of files."""
-    return files.list_files(spark, folder, "*.parquet").select("name", "length")
+    """The files of a table written here, told apart by the partition in their path."""
+    name, root = fresh_table(spark, "listed")
+    tables.write_table(table(spark, folder, "lineitem"), name, "create", root, partition_by=["l_returnflag", "l_linestatus"])
+    listed = files.list_files(spark, root, "*.parquet")
+    keyed = files.with_path_keys(listed, {"l_returnflag": "string", "l_linestatus": "string"})
+    per_partition = keyed.groupBy("l_returnflag", "l_linestatus")
+    return per_partition.agg(F.bool_and((F.col("length") > 0) & F.col("name").endswith(".parquet")).alias("filled"))
+
+
+def drop_recreate(spark, folder):
+    """Dropped with its files, made again and filled with other rows."""
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "dropped")
+    tables.write_table(o, name, "create", root)
+    tables.drop(spark, name, purge=True)
+    tables.drop(spark, name)
+    tables.bootstrap_empty(spark, name, o.schema, root)
+    tables.append(o.filter(F.col("o_orderstatus") == "P"), name)
+    return spark.table(name)
+
+
+def explicit_format(spark, folder):
+    """A requested format that does not count: the session's default is used, the rows are the same."""
+    n = table(spark, folder, "nation")
+    name, root = fresh_table(spark, "formatted")
+    tables.write_table(n, name, "create", root, fmt="csv", honour_explicit=False)
+    return spark.table(name).withColumn("format", F.lit(catalog.provider(spark, name)))
 
 
 # --- key-wise writes ----------------------------------------------------------------------------
@@ -344,6 +369,8 @@ QUERIES = {
     "read_many": read_many,
     "row_counts": row_counts,
     "list_files": list_files,
+    "drop_recreate": drop_recreate,
+    "explicit_format": explicit_format,
     "append_absent": append_absent,
     "merge_by_key": merge_by_key,
     "merge_touched": merge_touched,
@@ -361,6 +388,9 @@ QUERIES = {
 }
 
 SQL = {
+    "list_files": "SELECT DISTINCT l_returnflag, l_linestatus, true AS filled FROM lineitem",
+    "drop_recreate": "SELECT * FROM orders WHERE o_orderstatus = 'P'",
+    "explicit_format": "SELECT *, 'parquet' AS format FROM nation",
     "create_replace_roundtrip": "SELECT * FROM orders",
     "bootstrap_append": "SELECT * FROM lineitem",
     "truncate": "SELECT * FROM orders WHERE o_orderstatus = 'P'",

@@ -113,23 +113,24 @@ def blocking_keys(df: DataFrame, id_col: str, rules: Mapping[str, Column]) -> Da
 
 
 def _variants(value: Column, max_edits: int) -> Column:
-    """The value and all texts obtained by deleting up to `max_edits` characters."""
+    """Hashes of `value` and of all texts that up to `max_edits` deletions make of it.
 
-    def shorter(text: Column) -> Column:
-        positions = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(
-            positions,
-            lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
-        )
+    The texts themselves are never gathered: a row holds eight bytes for each.
+    """
+
+    def hashes(text: Column, begin: Column, left: int) -> Column:
+        own = F.array(F.xxhash64(text))
+        if not left:
+            return own
+        places = F.when(begin <= F.length(text), F.sequence(begin, F.length(text))).otherwise(F.array().cast("array<int>"))
+
+        def without(i: Column) -> Column:
+            shorter = F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+            return hashes(shorter, i, left - 1)
+
+        return F.concat(own, F.flatten(F.transform(places, without)))
 
-    level = F.array(value)
-    every = level
-    for _ in range(max_edits):
-        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
-        every = F.array_union(every, level)
-    return every
+    return F.array_distinct(hashes(value, F.lit(1), max_edits))
 
 
 def candidate_pairs(keys: DataFrame, records: DataFrame, field: str, max_edits: int = 1) -> DataFrame:
@@ -140,8 +141,8 @@ def candidate_pairs(keys: DataFrame, records: DataFrame, field: str, max_edits:
     two records of a block whose values are that close are always connected through the pairs,
     and a block of n equal records gives n - 1 pairs instead of n²/2.
 
-    Near values meet through a shared deletion variant. Every variant group is bounded by the
-    alphabet and the length of the text, not by the number of records.
+    Near values meet through the hash of a shared deletion variant, and are then compared. Every
+    variant group is bounded by the alphabet and the length of the text, not by the number of records.
     """
     valued = records.select("id", F.col(field).alias("value")).filter(F.col("value").isNotNull())
     blocked = keys.join(valued, "id").select("id", "rule", "block", "value")

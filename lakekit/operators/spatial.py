@@ -65,40 +65,48 @@ def within(a: DataFrame, b: DataFrame, metres: float, res: float | None = None)
         kept = df.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
         return kept.select("lon", "lat").distinct()
 
-    def column_of(lon: Column) -> Column:
-        return F.floor((lon + 180.0) / F.lit(res))
-
     def wrapped(lon: Column) -> Column:
         return lon - F.floor((lon + 180.0) / 360.0) * 360.0
 
     def row_of(lat: Column) -> Column:
         return F.floor((lat + 90.0) / F.lit(res))
 
-    left = places(a).select(
+    def columns_in(row: Column) -> Column:
+        """Cells in a row: their edge stays about the same length on the ground, so near a pole there are few."""
+        low = row * F.lit(res) - 90.0
+        nearest = F.when((low <= 0) & (low + res >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(low + res), F.lit(90.0)))
+        return F.greatest(F.lit(1), F.floor(F.lit(columns) * F.cos(F.radians(nearest)))).cast("bigint")
+
+    def column_of(lon: Column, n: Column) -> Column:
+        return F.least(F.floor((lon + 180.0) / 360.0 * n), n - 1)
+
+    located = places(a).withColumn("_y", row_of(F.col("lat"))).withColumn("_n", columns_in(F.col("_y")))
+    left = located.select(
         F.col("lon").alias("a_lon"),
         F.col("lat").alias("a_lat"),
-        cell_id(column_of(wrapped(F.col("lon"))), row_of(F.col("lat"))).alias("cell"),
+        cell_id(column_of(wrapped(F.col("lon")), F.col("_n")), F.col("_y")).alias("cell"),
     )
     lat_r = F.radians("lat")
     at_pole = F.abs(lat_r) + F.lit(delta) >= F.lit(math.pi / 2)
     reach = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(delta, math.pi / 2))) / F.cos(lat_r))))
     margin = F.lit(1e-9)
-    lon = wrapped(F.col("lon"))
+    lon, n = wrapped(F.col("lon")), F.col("_n")
     west, east = lon - reach - margin, lon + reach + margin
-    first, last = F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint")
+    first, last = F.lit(0).cast("bigint"), n - 1
     everywhere = at_pole | (reach * 2 >= 359.0)
     xs = (
         F.when(everywhere, F.sequence(first, last))
-        .when(west < -180, F.concat(F.sequence(first, column_of(east)), F.sequence(column_of(west + 360), last)))
-        .when(east >= 180, F.concat(F.sequence(column_of(west), last), F.sequence(first, column_of(east - 360))))
-        .otherwise(F.sequence(column_of(west), column_of(east)))
+        .when(west < -180, F.concat(F.sequence(first, column_of(east, n)), F.sequence(column_of(west + 360, n), last)))
+        .when(east >= 180, F.concat(F.sequence(column_of(west, n), last), F.sequence(first, column_of(east - 360, n))))
+        .otherwise(F.sequence(column_of(west, n), column_of(east, n)))
     )
     spread = F.lit(math.degrees(delta)) + margin
     ys = F.sequence(row_of(F.col("lat") - spread), row_of(F.col("lat") + spread))
     right = (
         places(b)
-        .withColumn("_x", F.explode(F.array_distinct(xs)))
         .withColumn("_y", F.explode(ys))
+        .withColumn("_n", columns_in(F.col("_y")))
+        .withColumn("_x", F.explode(F.array_distinct(xs)))
         .select(F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat"), cell_id(F.col("_x"), F.col("_y")).alias("cell"))
     )
     distance = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"))
