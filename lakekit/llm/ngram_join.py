@@ -2,10 +2,13 @@
 
 A document's set is put in one order that all share: rare n-grams first, by the class of a count
 taken over all documents, then by hash. Two sets that are similar enough share an n-gram among the
-first few of each, so documents meet at those. The n-grams of one cluster of near copies are many;
-they are therefore first led to one meeting place by passing on smallest labels, twice, between
-n-grams and documents. Whatever the labels are, all documents of an n-gram go to the place it names,
-so no pair is lost.
+first few of each and are of similar size, so documents meet at keys of such an n-gram and a class of
+sizes; a set has keys for its own class and for the next one, where the shorter of two needs fewer
+n-grams. Which keys occur in two sets is told by packed blobs of hashes, and only these go on. The
+keys of one cluster of near copies are many; they are led to one meeting place by passing on smallest
+labels between keys and documents. Whatever the labels are, all documents of a key go to the place it
+names, so no pair is lost. Texts travel to their places; a table of bits of fixed size keeps most of
+those that meet nobody from moving.
 
 At a meeting place the sets are stored in a trie and each is looked up in it. A path carries the
 overlap of the whole subtree below it; a subtree is left when its lengths do not fit or when what
@@ -25,21 +28,29 @@ id is null. Rows are kept as they are. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialise, scratch_path
-from . import packing
-from .common import pieces
+from . import packing, repeats
+from .common import pieces, spread
 
 SKETCH_BITS = 20
 SLICES = 64
+# bits of the table that keeps texts at home; a crowded table lets more of them move
+FILTER_BITS = 23
+CHUNK_DOCS = 2_000
+# a key's bits that are sent besides its bucket
+KEY_BITS = 40
+BUCKET_KEYS = 1_000_000
 # Elements of a block at a meeting place: an even share of all, within these bounds.
 BLOCK_TOKENS = (20_000, 500_000)
 TOKEN_BITS = np.uint64(56)
@@ -107,6 +118,27 @@ def in_order(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort(classes[cells].astype(np.uint64) << TOKEN_BITS | hashes)
 
 
+def keys_of(ordered: np.ndarray, percent: int) -> np.ndarray:
+    """Keys at which a set in the global order meets every set that is similar enough.
+
+    Sizes of such two differ by less than the width of a class, so their classes are equal or next to
+    each other, and both have keys for the larger one. For the class above its own a set is the
+    smaller of the two: what it must share is more, and the n-grams to look at are fewer.
+    """
+    n = len(ordered)
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    width = math.log(100 / percent) + 1e-9
+    size = math.floor(math.log(n) / width)
+    above = max(math.ceil(math.exp((size + 1) * width) - 1e-6), n)
+    fewer = max(n - required(n, above, percent) + 1, 0)
+    keys = [
+        packing.mix(ordered[:many] ^ packing.mix(np.array([name], dtype=np.uint64)))
+        for name, many in ((size + 1, prefix_length(n, percent)), (size + 2, fewer))
+    ]
+    return np.unique(np.concatenate(keys)).astype(np.int64)
+
+
 class Trie:
     """Ordered sets as paths; runs without a branch are one edge."""
 
@@ -205,55 +237,156 @@ def links_of(sets: list[np.ndarray], blocks: list[int], percent: int) -> list[tu
 
 
 def _heads(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """`(id, text_key, n, set_key, head)` of every document: the size and key of its set, and its first elements."""
+    """`(id, text_key, n, set_key, head)` of every document: size and key of its set, and the keys to meet others at.
+
+    A task gives the keys of equal sets once.
+    """
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in pieces(batches, 1):
-            sets = [in_order(shingles(t, size), classes) for t in part.column(1).to_pylist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            first = [s[: prefix_length(len(s), percent)].astype(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(2),
-                    pa.array([len(s) for s in sets], type=pa.int64()),
-                    pa.array(keys, type=pa.binary()),
-                    pa.array(first, type=pa.list_(pa.int64())),
-                ],
-                names=["id", "text_key", "n", "set_key", "head"],
-            )
+            keys, heads, sizes = [], [], []
+            for text in part.column(1).to_pylist():
+                ordered = in_order(shingles(text, size), classes)
+                key = hashlib.blake2b(ordered.tobytes(), digest_size=16).digest() if len(ordered) else None
+                heads.append(None if key is None or key in seen else keys_of(ordered, percent))
+                keys.append(key)
+                sizes.append(len(ordered))
+                if key is not None:
+                    seen.add(key)
+            columns = [
+                part.column(0),
+                part.column(2),
+                pa.array(sizes, type=pa.int64()),
+                pa.array(keys, type=pa.binary()),
+                pa.array(heads, type=pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n", "set_key", "head"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(head, f"id {kind}, text_key binary, n bigint, set_key binary, head array<bigint>")
 
 
-def places(classes: DataFrame) -> DataFrame:
-    """`(set_key, place)`: where every class is compared, from its first elements; without a partner, nowhere.
+def shared_keys(heads: DataFrame) -> DataFrame:
+    """`(token, doc)`: keys that two sets have, with the hashes of these sets.
+
+    Chunks of documents send their distinct keys, packed, to buckets; a bucket answers with a bit for
+    each. The documents of a chunk move once, and their keys a few bytes each.
+    """
+    sums = heads.agg(F.count("head").alias("docs"), F.sum(F.size("head")).alias("keys")).first()
+    chunks = max(repeats.LEAST_CHUNKS, -(-sums["docs"] // CHUNK_DOCS))
+    bits = packing.bucket_bits(sums["keys"] or 0, BUCKET_KEYS)
+    rows = heads.filter("head is not null").select(F.xxhash64("set_key").alias("doc"), "head")
+    by_chunk = rows.withColumn("chunk", spread(chunks, "doc", F.element_at("head", 1))).groupBy("chunk")
+
+    def keys_in(table):
+        heads = table.column("head").combine_chunks()
+        keys = heads.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+        counts = pc.list_value_length(heads).to_numpy(zero_copy_only=False)
+        docs = np.repeat(table.column("doc").to_numpy(), counts)
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+        return keys[fresh], docs[fresh]
+
+    def send(key, table):
+        keys, _ = keys_in(table)
+        first = np.ones(len(keys), dtype=bool)
+        first[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(first)
+        often = np.diff(np.append(at, len(keys))) > 1
+        distinct = keys[at]
+        cuts = packing.cuts_by_bucket(distinct, bits)
+        out = [
+            (2, b, key[0].as_py(), int(j - i), packing.pack(distinct[i:j], bits, KEY_BITS), packing.flags(often[i:j]), b"")
+            for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:]))
+            if i < j
+        ]
+        return repeats.blob_rows(out, repeats.BLOB_SCHEMA)
+
+    def receive(key, table, answers):
+        keys, docs = keys_in(table)
+        first = np.ones(len(keys), dtype=bool)
+        first[1:] = keys[1:] != keys[:-1]
+        shared = np.zeros(int(first.sum()), dtype=bool)
+        cuts = packing.cuts_by_bucket(keys[first], bits)
+        for b, answer in repeats.answers_of(answers, 2).items():
+            shared[cuts[b] : cuts[b + 1]] = answer
+        here = shared[np.cumsum(first) - 1] if len(keys) else np.zeros(0, dtype=bool)
+        return pa.table({"token": pa.array(keys[here].astype(np.int64)), "doc": pa.array(docs[here].astype(np.int64))})
+
+    blobs = by_chunk.applyInArrow(send, repeats.BLOBS)
+    answers = blobs.groupBy("bucket").applyInArrow(repeats.count_blobs, repeats.ANSWERS)
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(receive, "token bigint, doc bigint")
+
+
+def places(heads: DataFrame, classes: DataFrame) -> DataFrame:
+    """`(set_key, place)`: where every class is compared; without a partner, nowhere.
 
     Every step groups by one key with sums made before rows move, and joins back with one small row per key.
     """
     spark = classes.sparkSession
-    postings = classes.select(F.xxhash64("set_key").alias("doc"), F.explode("head").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("doc").alias("place"), F.max("doc").alias("other"))
-    shared = shared.filter(F.col("place") < F.col("other")).select("token", "place")
-    met = materialise(postings.join(shared, "token"), scratch_path(spark, "ngram-postings"))
-    label = met.groupBy("doc").agg(F.min("place").alias("label"))
+    met = materialise(shared_keys(heads), scratch_path(spark, "ngram-postings"))
+    first = met.groupBy("token").agg(F.min("doc").alias("place"))
+    label = met.join(first, "token").groupBy("doc").agg(F.min("place").alias("label"))
     moved = met.join(label, "doc").groupBy("token").agg(F.min("label").alias("place"))
-    found = met.select("doc", "token").join(moved, "token").select("doc", "place").distinct()
+    found = met.join(moved, "token").select("doc", "place").distinct()
     named = classes.select("set_key", F.xxhash64("set_key").alias("doc"))
     return named.join(found, "doc").select("set_key", "place")
 
 
+def _bit_of(key: bytes) -> int:
+    return int.from_bytes(key[:4], "little") & ((1 << FILTER_BITS) - 1)
+
+
+def key_filter(wanted: DataFrame) -> np.ndarray:
+    """A table of bits for the text keys in `wanted`; of fixed size, so it may be sent to all tasks."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[[_bit_of(k) for k in batch.column(0).to_pylist()]] = True
+        cut = [(i, np.packbits(x).tobytes()) for i, x in enumerate(np.split(bits, SLICES)) if x.any()]
+        names = pa.array([i for i, _ in cut], type=pa.int32())
+        yield pa.RecordBatch.from_arrays([names, pa.array([zlib.compress(x, 1) for _, x in cut], type=pa.binary())], names=["slice", "bits"])
+
+    def either(table):
+        parts = [np.frombuffer(zlib.decompress(b), dtype=np.uint8) for b in table.column("bits").to_pylist()]
+        merged = zlib.compress(np.bitwise_or.reduce(parts).tobytes(), 1)
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([merged], type=pa.binary())})
+
+    kind = "slice int, bits binary"
+    out = np.zeros((SLICES, (1 << FILTER_BITS) // SLICES // 8), dtype=np.uint8)
+    for row in wanted.select("text_key").mapInArrow(mark, kind).groupBy("slice").applyInArrow(either, kind).collect():
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """`(text, ...)`: the rows of `wanted`, which is unique by `text_key`, with their texts; every text once."""
+    text = F.col(f"`{text_col}`").cast("string")
+    bits = key_filter(wanted)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [_bit_of(k) if k else None for k in batch.column(0).to_pylist()]
+            keep = [p is not None and bool(bits[p >> 3] >> (7 - (p & 7)) & 1) for p in places]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    keyed = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+    likely = keyed.mapInArrow(some, "text_key binary, text string")
+    return likely.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").drop("text_key")
+
+
 def class_links(docs: DataFrame, heads: DataFrame, text_col: str, size: int, percent: int, order: np.ndarray) -> DataFrame:
     """`(src, dst)`: links between classes, by set key, enough to connect all that are similar."""
     spark = docs.sparkSession
-    some = heads.filter("n > 0").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("head").alias("head"))
+    some = heads.filter("n > 0").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"))
     classes = materialise(some, scratch_path(spark, "ngram-classes"))
-    meetings = materialise(
-        places(classes).join(classes.select("set_key", "text_key", "n"), "set_key"), scratch_path(spark, "ngram-places")
-    )
+    meetings = materialise(places(heads, classes).join(classes, "set_key"), scratch_path(spark, "ngram-places"))
     share = (meetings.agg(F.sum("n").alias("n")).first()["n"] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     each = min(max(share, BLOCK_TOKENS[0]), BLOCK_TOKENS[1])
     blocks = F.ceil(F.col("total") / F.lit(each)).cast("int")
@@ -265,24 +398,13 @@ def class_links(docs: DataFrame, heads: DataFrame, text_col: str, size: int, per
         "text_key", "set_key", "block", "place", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high")
     )
     wanted = cells.groupBy("text_key", "set_key").agg(F.collect_list(F.struct("place", "block", "low", "high")).alias("cells"))
-    text = F.col(f"`{text_col}`").cast("string")
-    texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
-    needed = texts.join(wanted, "text_key").select("text", "set_key", "cells")
-    kind = dict(needed.dtypes)["cells"]
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 0):
-            sets = [in_order(shingles(t, size), order).tobytes() for t in part.column(0).to_pylist()]
-            columns = [part.column(1), part.column(2), pa.array(sets, type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "cells", "tokens"])
-
-    sets = needed.mapInArrow(tokens, f"set_key binary, cells {kind}, tokens binary")
-    rows = sets.select("set_key", "tokens", F.explode("cells").alias("c")).select("set_key", "tokens", "c.*")
+    wanted = materialise(wanted, scratch_path(spark, "ngram-cells"))
+    needed = texts_of(docs, wanted, text_col)
+    rows = needed.select("set_key", "text", F.explode("cells").alias("c")).select("set_key", "text", "c.*")
 
     def join(table):
         keys = table.column("set_key").to_pylist()
-        found = [np.frombuffer(t, dtype=np.uint64) for t in table.column("tokens").to_pylist()]
+        found = [in_order(shingles(t, size), order) for t in table.column("text").to_pylist()]
         links = links_of(found, table.column("block").to_pylist(), percent)
         ends = [[keys[link[side]] for link in links] for side in (0, 1)]
         return pa.table({"src": pa.array(ends[0], type=pa.binary()), "dst": pa.array(ends[1], type=pa.binary())})

@@ -29,19 +29,20 @@ def window_hashes(words: np.ndarray, width: int, factor: int = 0xD6E8FEB86659FD9
     if len(words) < width:
         return np.empty(0, dtype=np.uint64)
     power, done, out = words, 0, None
-    size, scale = 1, np.uint64(factor)
+    # a plain number, cut to 64 bits by hand: arrays wrap around in silence, single numbers warn
+    size, scale = 1, factor
     rest = width
     while rest:
         if rest & 1:
             n = len(words) - done - size + 1
             part = power[done : done + n]
-            out = part if out is None else out[:n] * scale + part
+            out = part if out is None else out[:n] * np.uint64(scale) + part
             done += size
         rest >>= 1
         if rest:
             n = len(power) - size
-            power = power[:n] * scale + power[size : size + n]
-            size, scale = size * 2, scale * scale
+            power = power[:n] * np.uint64(scale) + power[size : size + n]
+            size, scale = size * 2, scale * scale & 0xFFFFFFFFFFFFFFFF
     return mix(out[: len(words) - width + 1])
 
 

@@ -74,7 +74,7 @@ class Chunk:
         return at, first[at], second[at] >> np.uint64(64 - self.bits)
 
 
-def _blob_rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+def blob_rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[] for _ in schema.names]
     return pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -106,10 +106,10 @@ def _send_anchors(key: int, chunk: Chunk) -> pa.Table:
         if a < b:
             packed = packing.pack(distinct[a:b], chunk.bits, BLOCK_BITS)
             rows.append((1, bucket, key, int(b - a), packed, packing.flags(often[a:b]), packing.flags(is_block[a:b])))
-    return _blob_rows(rows, BLOB_SCHEMA)
+    return blob_rows(rows, BLOB_SCHEMA)
 
 
-def _answers_of(answers: pa.Table, phase: int) -> dict[int, np.ndarray]:
+def answers_of(answers: pa.Table, phase: int) -> dict[int, np.ndarray]:
     columns = [answers.column(c).to_pylist() for c in ("phase", "bucket", "n", "answer")]
     return {b: packing.unflag(bits, n) for p, b, n, bits in zip(*columns) if p == phase}
 
@@ -119,7 +119,7 @@ def _hits(chunk: Chunk, answers: pa.Table) -> np.ndarray:
     at, hashes, _ = chunk.anchors()
     distinct, _, _ = _distinct(hashes)
     cuts = packing.cuts_by_bucket(distinct, chunk.bits)
-    found = [distinct[cuts[b] : cuts[b + 1]][bits] for b, bits in sorted(_answers_of(answers, 1).items())]
+    found = [distinct[cuts[b] : cuts[b + 1]][bits] for b, bits in sorted(answers_of(answers, 1).items())]
     hot = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
     if not len(hot):
         return np.empty(0, dtype=np.int64)
@@ -142,10 +142,10 @@ def _send_windows(key: int, chunk: Chunk, answers: pa.Table) -> pa.Table:
     rows = []
     for bucket, _, _, (distinct, often, _) in _windows_by_bucket(chunk, answers):
         rows.append((2, bucket, key, len(distinct), b"\x08" + distinct.astype("<u8").tobytes(), packing.flags(often), b""))
-    return _blob_rows(rows, BLOB_SCHEMA)
+    return blob_rows(rows, BLOB_SCHEMA)
 
 
-def _count(blobs: pa.Table) -> pa.Table:
+def count_blobs(blobs: pa.Table) -> pa.Table:
     """For every blob of a bucket which of its hashes occur twice or more over all; blocks must be among the anchors."""
     phase, bucket, chunk, n, hashes, often, block = (blobs.column(c).to_pylist() for c in BLOB_SCHEMA.names)
     values = np.concatenate([packing.unpack(h) for h in hashes])
@@ -167,12 +167,12 @@ def _count(blobs: pa.Table) -> pa.Table:
         begin += k
         if part.any():
             rows.append((p, b, c, k, packing.flags(part)))
-    return _blob_rows(rows, ANSWER_SCHEMA)
+    return blob_rows(rows, ANSWER_SCHEMA)
 
 
 def _remove(chunk: Chunk, answers: pa.Table) -> tuple[list[int], list[int], list[str], list[list[dict]]]:
     """Words, words removed, text left and removed spans (in words) of every document."""
-    found = _answers_of(answers, 2)
+    found = answers_of(answers, 2)
     change = np.zeros(len(chunk.hashes) + 1, dtype=np.int64)
     if found:
         for bucket, at, hashes, (distinct, _, _) in _windows_by_bucket(chunk, answers):
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def send_windows(key, table, answers):
         if not table.num_rows or not answers.num_rows:
-            return _blob_rows([], BLOB_SCHEMA)
+            return blob_rows([], BLOB_SCHEMA)
         return _send_windows(key[0].as_py(), texts_of(table), answers)
 
     def finish(key, table, answers):
@@ -237,9 +237,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_chunk = parts.groupBy("chunk")
     anchors = by_chunk.applyInArrow(send_anchors, BLOBS)
-    first = anchors.groupBy("bucket").applyInArrow(_count, ANSWERS)
+    first = anchors.groupBy("bucket").applyInArrow(count_blobs, ANSWERS)
     windows = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(send_windows, BLOBS)
-    second = windows.groupBy("bucket").applyInArrow(_count, ANSWERS)
+    second = windows.groupBy("bucket").applyInArrow(count_blobs, ANSWERS)
     answers = first.unionByName(second)
     kind = schema["id"].dataType.simpleString()
     out = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"

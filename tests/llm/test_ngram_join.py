@@ -101,5 +101,18 @@ def test_trie_finds_all_similar(sets, percent):
         near = {j for j, b in enumerate(distinct) if 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))}
         assert set(trie.similar(arrays[i], percent, lambda j: False)) == near
         for j in near:
-            shared = set(a) & set(distinct[j])
-            assert set(a[: ngram_join.prefix_length(len(a), percent)]) & shared
+            assert set(ngram_join.keys_of(arrays[i], percent)) & set(ngram_join.keys_of(arrays[j], percent))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_sizes_at_the_edge_meet(percent):
+    """All pairs of sizes that may be similar, with the least overlap, placed last in the order."""
+    for n in range(1, 220):
+        for m in range(n, n * 100 // percent + 1):
+            need = ngram_join.required(n, m, percent)
+            if need > n:
+                continue
+            common = np.arange(10_000, 10_000 + need, dtype=np.uint64)
+            a = np.concatenate((np.arange(n - need, dtype=np.uint64), common))
+            b = np.concatenate((np.arange(5_000, 5_000 + m - need, dtype=np.uint64), common))
+            assert set(ngram_join.keys_of(a, percent)) & set(ngram_join.keys_of(b, percent)), (n, m)
