@@ -296,10 +296,13 @@ def readiness_report(spark, folder):
     return out
 
 
-def run_readiness(spark, folder):
-    """All six collectors into their snapshot tables, twice; the second run adds nothing."""
+def _readiness(spark, folder):
+    """The six collectors over the given tables, and snapshot tables for them, partitioned by run."""
     inventory = readiness.table_inventory(_tables(spark, folder), NOW, "lake")
-    counts = _tables(spark, folder).select("schema_name", "table_name", F.length("table_name").alias("row_count"))
+    # an order stands for a table, its lines for the rows
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("row_count"))
+    named = _tables(spark, folder).withColumn("l_orderkey", F.regexp_extract("table_name", r"_(\d+)_", 1).cast("bigint"))
+    counts = named.join(lines, "l_orderkey").select("schema_name", "table_name", "row_count")
     collectors = {
         "run_status": lambda: readiness.pipeline_status(_run_properties(spark, folder), NOW, "lake"),
         "table_inventory": lambda: inventory,
@@ -311,12 +314,29 @@ def run_readiness(spark, folder):
     targets = {}
     for name, collect in collectors.items():
         targets[name], root = fresh_table(spark, f"snapshot_{name}")
-        tables.create_table(spark, targets[name], collect().schema, root)
+        tables.create_table(spark, targets[name], collect().schema, root, partition_by=["collected_at"])
+    return collectors, targets
+
+
+def run_readiness(spark, folder):
+    """All six collectors into their snapshot tables, twice; the second run adds nothing."""
+    collectors, targets = _readiness(spark, folder)
     first = readiness.run_readiness(spark, collectors, targets).withColumn("run", F.lit(1))
     second = readiness.run_readiness(spark, collectors, targets).withColumn("run", F.lit(2))
     return first.unionByName(second)
 
 
+def readiness_snapshots(spark, folder):
+    """What a run leaves in the snapshot tables of inventory and row counts."""
+    collectors, targets = _readiness(spark, folder)
+    wanted = ["table_inventory", "row_counts"]
+    readiness.run_readiness(spark, {n: collectors[n] for n in wanted}, targets)
+    inventory, counts = (spark.table(targets[n]) for n in wanted)
+    columns = ["collected_at", "catalog", "schema_name", "table_name", "cycle"]
+    both = inventory.select(*columns, "form_family").join(counts.select(*columns, "row_count"), columns[:-1], "left")
+    return zoneless(both.select(*columns[:-1], inventory["cycle"], "form_family", "row_count"))
+
+
 def path_expressions(spark, folder):
     """Path segments, file names, suffixes, list membership and JSON text on the pages' addresses."""
     p = table(spark, folder, "pages")
@@ -361,6 +381,7 @@ QUERIES = {
     "run_sql": run_sql,
     "readiness_report": readiness_report,
     "run_readiness": run_readiness,
+    "readiness_snapshots": readiness_snapshots,
     "path_expressions": path_expressions,
 }
 
@@ -454,11 +475,15 @@ SQL = {
         UNION ALL SELECT 'freshness', count(*) FROM ({_FRESHNESS_SQL})
         UNION ALL SELECT 'cycles', count(DISTINCT cycle) FROM ({_INVENTORY_SQL})
         UNION ALL SELECT 'schemas', count(DISTINCT schema_name) FROM ({_INVENTORY_SQL})""",
+    "readiness_snapshots": f"""
+        WITH lines AS (SELECT l_orderkey, count(*) AS row_count FROM lineitem GROUP BY 1)
+        SELECT {NOW_SQL} AS collected_at, 'lake' AS catalog, schema_name, table_name, cycle, form_family, row_count
+        FROM ({_INVENTORY_SQL}) LEFT JOIN lines ON l_orderkey = CAST(regexp_extract(table_name, '_(\\d+)_', 1) AS BIGINT)""",
     "run_readiness": f"""
         WITH added AS (
             SELECT 'run_status' AS collector, count(*) AS rows FROM events
             UNION ALL SELECT 'table_inventory', count(*) FROM orders
-            UNION ALL SELECT 'row_counts', count(*) FROM orders
+            UNION ALL SELECT 'row_counts', count(DISTINCT l_orderkey) FROM lineitem
             UNION ALL SELECT 'sentinels', count(*) FROM ({_MARKERS_SQL})
             UNION ALL SELECT 'schema_drift', count(*) FROM ({_DRIFT_SQL})
             UNION ALL SELECT 'freshness', count(*) FROM ({_FRESHNESS_SQL}))
