@@ -1,8 +1,8 @@
 """Quality rules by line: lines that fail are removed, documents that lose too much text are rejected.
 
 A line fails when it is navigation (marks between its words, or a few words with a link mark), when
-it is boilerplate (a fixed phrase), or when its punctuation is not that of prose (no mark at its end,
-or more marks than words allow). All measures are built-in expressions over one row; nothing moves.
+it is boilerplate (a fixed phrase), or when its punctuation is not that of prose (no sentence ends in it
+or at its end, or more marks than words allow). All measures are built-in expressions over one row; nothing moves.
 
 Null text has no words: all counts are 0, it fails and is not kept. Rows are kept as they are. An
 empty table gives an empty result. Columns of the input with the name of an output column are replaced.
@@ -36,8 +36,6 @@ BOILERPLATE = (
     "enable javascript",
     "click here",
     "sign up for",
-    "licensed under",
-    "under the mit license",
 )
 MOST_MARKS = 0.6
 MOST_LOST = 0.5
@@ -95,7 +93,9 @@ def line_fails(line: Column) -> Column:
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | low.contains(phrase)
-    punctuation = ~line.rlike(ENDINGS) | (_removed(line, MARKS) > words * MOST_MARKS + 3)
+    # a line that just goes on after a sentence is still prose
+    stops = line.rlike(ENDINGS) | line.rlike(r"\p{L}[.!?…]\x20")
+    punctuation = ~stops | (_removed(line, MARKS) > words * MOST_MARKS + 3)
     return navigation | boilerplate & (words <= 40) | punctuation
 
 

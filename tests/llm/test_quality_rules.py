@@ -45,6 +45,7 @@ def test_empty_and_clashing(spark):
     [
         ("This is a plain sentence with words.", False),
         ("He said so, and she agreed; it was fine!", False),
+        ("One sentence ends here. Another goes on", False),
         ("Home | About | Contact | Login", True),
         ("All rights reserved.", True),
         ("This line just stops without any mark", True),
