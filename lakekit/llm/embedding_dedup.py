@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import materialise, scratch_path
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 TREES = 4
 LEAF = 1_500
 # half the width of the overlap, in standard deviations of how far a linking pair is apart along a direction
