@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, quality_model, quality_rules, repeats, secrets
+from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, oracle, quality_model, quality_rules, repeats, secrets
 
-SQL: dict[str, str] = {}
+SQL = oracle.SQL
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
