@@ -412,35 +412,47 @@ def class_links(docs: DataFrame, heads: DataFrame, text_col: str, size: int, per
     return rows.groupBy("place", "low", "high").applyInArrow(join, "src binary, dst binary")
 
 
-def components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
-) -> DataFrame:
-    """`(id_col, n_shingles, component_id)`: the smallest id that links reach.
-
-    Two documents link when 100 times their shared n-grams of `size` words are `percent` times all
-    they have or more.
-    """
+def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """`(id, text_key, n, set_key, root, component)` of every document; stored steps lie behind it."""
     spark = docs.sparkSession
     order = sketch(docs, text_col, size)
     heads = materialise(_heads(docs, id_col, text_col, size, percent, order), scratch_path(spark, "ngram-heads"))
     links = materialise(class_links(docs, heads, text_col, size, percent, order), scratch_path(spark, "ngram-links"))
     ends = links.select(F.explode(F.array("src", "dst")).alias("id"))
     roots = connected_components(ends, links).select(F.col("id").alias("set_key"), F.col("component").alias("root"))
-    members = heads.select("id", "n", "set_key").join(roots, "set_key", "left")
+    members = heads.select("id", "text_key", "n", "set_key").join(roots, "set_key", "left")
     members = members.withColumn("root", F.coalesce("root", "set_key"))
     smallest = members.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    joined = members.join(smallest, "root", "left")
     alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return members.join(smallest, "root", "left").withColumn("component", alone).drop("least")
+
+
+def components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
+) -> DataFrame:
+    """`(id_col, n_shingles, component_id)`: the smallest id that links reach.
+
+    Two documents link when 100 times their shared n-grams of `size` words are `percent` times all
+    they have or more.
+    """
+    found = _members(docs, id_col, text_col, size, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs` with one document of each group: the one with the smallest id.
 
-    Rows with equal id and text are one document. Rows without an id are kept when their group has
-    none, one for each text.
+    Rows with equal id and text are one document; other rows of one id stay or go together. Of a group
+    without any id one text stays; texts without a word are groups of their own.
     """
-    found = components(docs, id_col, text_col, size, percent)
-    rest = found.filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("_kept")).distinct()
-    kept = docs.join(rest, docs[f"`{id_col}`"].eqNullSafe(rest["_kept"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    spark = docs.sparkSession
+    found = materialise(_members(docs, id_col, text_col, size, percent), scratch_path(spark, "ngram-members"))
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    chosen = found.filter("id = component").select(F.col("id").alias("_kept")).distinct()
+    # dealt by id for the join, which is enough to meet repeated rows as well
+    named = docs.filter(key.isNotNull()).join(chosen, key == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
+    nameless = found.filter("id is null and component is null")
+    of_groups = nameless.groupBy(F.coalesce("root", "text_key").alias("root")).agg(F.min("text_key").alias("_text_key")).select("_text_key")
+    keyed = docs.filter(key.isNull()).withColumn("_md5", F.unhex(F.md5(text)))
+    some = keyed.join(of_groups, F.col("_md5").eqNullSafe(F.col("_text_key")), "left_semi").dropDuplicates(["_md5"]).drop("_md5")
+    return named.unionByName(some)

@@ -88,6 +88,13 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5]
 
 
+def test_keep_one_without_ids(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "g h i j k"), (None, "g h i j k"), (None, "G h i j k"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    kept = ngram_join.keep_one(docs, size=3, percent=90).collect()
+    assert sorted(((r["doc_id"] or 0), (r["text"] or "").lower()) for r in kept) == [(0, ""), (0, "g h i j k"), (1, "a b c d e f")]
+
+
 SETS = st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=20), min_size=1, max_size=25)
 
 
