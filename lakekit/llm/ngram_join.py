@@ -4,7 +4,9 @@ A document's set is put in one order that all share: rare n-grams first, by the
 taken over all documents, then by hash. Two sets that are similar enough share an n-gram among the
 first few of each and are of similar size, so documents meet at keys of such an n-gram and a class of
 sizes; a set has keys for its own class and for the next one, where the shorter of two needs fewer
-n-grams. Which keys occur in two sets is told by packed blobs of hashes, and only these go on. The
+n-grams. Two such sets share several keys of a class, up to four, when as many more n-grams are looked at.
+Which keys occur in two sets is told by packed blobs of hashes; a set with too few of them in a class
+has no partner there, and only the others go on. The
 keys of one cluster of near copies are many; they are led to one meeting place by passing on smallest
 labels between keys and documents. Whatever the labels are, all documents of a key go to the place it
 names, so no pair is lost. Texts travel to their places; a table of bits of fixed size keeps most of
@@ -51,6 +53,8 @@ CHUNK_DOCS = 2_000
 # a key's bits that are sent besides its bucket
 KEY_BITS = 40
 BUCKET_KEYS = 1_000_000
+# n-grams that two similar sets share among their first ones, where they have so many
+SHARED = 4
 # Elements of a block at a meeting place: an even share of all, within these bounds.
 BLOCK_TOKENS = (20_000, 500_000)
 TOKEN_BITS = np.uint64(56)
@@ -118,25 +122,33 @@ def in_order(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort(classes[cells].astype(np.uint64) << TOKEN_BITS | hashes)
 
 
-def keys_of(ordered: np.ndarray, percent: int) -> np.ndarray:
-    """Keys at which a set in the global order meets every set that is similar enough.
+def keys_of(ordered: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys at which a set in the global order meets every set that is similar enough, and how many it must share.
 
     Sizes of such two differ by less than the width of a class, so their classes are equal or next to
     each other, and both have keys for the larger one. For the class above its own a set is the
-    smaller of the two: what it must share is more, and the n-grams to look at are fewer.
+    smaller of the two: what it must share is more, and the n-grams to look at are fewer. Of the
+    n-grams that two similar sets share, the first few all lie among the first of each when these
+    are as many more; `needed` says how many that is in a class. The last bit of a key is its class's,
+    by which the two classes of a set are told apart; the second result packs the needs of both.
     """
     n = len(ordered)
     if not n:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), 0
     width = math.log(100 / percent) + 1e-9
     size = math.floor(math.log(n) / width)
+
+    def needed(name: int) -> int:
+        least = max(math.ceil(math.exp(name * width) - 1e-6), 1)
+        return max(1, min(SHARED, -(-percent * least // 100)))
+
     above = max(math.ceil(math.exp((size + 1) * width) - 1e-6), n)
-    fewer = max(n - required(n, above, percent) + 1, 0)
-    keys = [
-        packing.mix(ordered[:many] ^ packing.mix(np.array([name], dtype=np.uint64)))
-        for name, many in ((size + 1, prefix_length(n, percent)), (size + 2, fewer))
-    ]
-    return np.unique(np.concatenate(keys)).astype(np.int64)
+    fewer = n - required(n, above, percent) + needed(size + 1)
+    parts = []
+    for name, many in ((size, prefix_length(n, percent) - 1 + needed(size)), (size + 1, fewer if required(n, above, percent) <= n else 0)):
+        hashed = packing.mix(ordered[:many] ^ packing.mix(np.array([name + 1], dtype=np.uint64)))
+        parts.append(hashed & ~np.uint64(1) | np.uint64(name & 1))
+    return np.unique(np.concatenate(parts)).astype(np.int64), size & 1 | needed(size) << 1 | needed(size + 1) << 9
 
 
 class Trie:
@@ -237,7 +249,7 @@ def links_of(sets: list[np.ndarray], blocks: list[int], percent: int) -> list[tu
 
 
 def _heads(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """`(id, text_key, n, set_key, head)` of every document: size and key of its set, and the keys to meet others at.
+    """`(id, text_key, n, set_key, head, need)` of every document: size and key of its set, and the keys to meet others at.
 
     A task gives the keys of equal sets once.
     """
@@ -247,11 +259,13 @@ def _heads(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for part in pieces(batches, 1):
-            keys, heads, sizes = [], [], []
+            keys, heads, sizes, needs = [], [], [], []
             for text in part.column(1).to_pylist():
                 ordered = in_order(shingles(text, size), classes)
                 key = hashlib.blake2b(ordered.tobytes(), digest_size=16).digest() if len(ordered) else None
-                heads.append(None if key is None or key in seen else keys_of(ordered, percent))
+                head, need = (None, 0) if key is None or key in seen else keys_of(ordered, percent)
+                heads.append(head)
+                needs.append(need)
                 keys.append(key)
                 sizes.append(len(ordered))
                 if key is not None:
@@ -262,15 +276,16 @@ def _heads(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
                 pa.array(sizes, type=pa.int64()),
                 pa.array(keys, type=pa.binary()),
                 pa.array(heads, type=pa.list_(pa.int64())),
+                pa.array(needs, type=pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n", "set_key", "head"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n", "set_key", "head", "need"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(head, f"id {kind}, text_key binary, n bigint, set_key binary, head array<bigint>")
+    return rows.mapInArrow(head, f"id {kind}, text_key binary, n bigint, set_key binary, head array<bigint>, need int")
 
 
 def shared_keys(heads: DataFrame) -> DataFrame:
-    """`(token, doc)`: keys that two sets have, with the hashes of these sets.
+    """`(token, doc)`: keys that two sets have, with the hashes of these sets, where there are as many as needed.
 
     Chunks of documents send their distinct keys, packed, to buckets; a bucket answers with a bit for
     each. The documents of a chunk move once, and their keys a few bytes each.
@@ -278,7 +293,7 @@ def shared_keys(heads: DataFrame) -> DataFrame:
     sums = heads.agg(F.count("head").alias("docs"), F.sum(F.size("head")).alias("keys")).first()
     chunks = max(repeats.LEAST_CHUNKS, -(-sums["docs"] // CHUNK_DOCS))
     bits = packing.bucket_bits(sums["keys"] or 0, BUCKET_KEYS)
-    rows = heads.filter("head is not null").select(F.xxhash64("set_key").alias("doc"), "head")
+    rows = heads.filter("head is not null").select(F.xxhash64("set_key").alias("doc"), "head", "need")
     by_chunk = rows.withColumn("chunk", spread(chunks, "doc", F.element_at("head", 1))).groupBy("chunk")
 
     def keys_in(table):
@@ -316,6 +331,19 @@ def shared_keys(heads: DataFrame) -> DataFrame:
         for b, answer in repeats.answers_of(answers, 2).items():
             shared[cuts[b] : cuts[b + 1]] = answer
         here = shared[np.cumsum(first) - 1] if len(keys) else np.zeros(0, dtype=bool)
+        keys, docs = keys[here], docs[here]
+        # keys of each document and class, and how many it needs
+        names, which = np.unique(docs, return_inverse=True)
+        everyone, needs = table.column("doc").to_numpy(), table.column("need").to_numpy()
+        order = np.argsort(everyone, kind="stable")
+        need = needs[order][np.searchsorted(everyone[order], names)]
+        group = which * 2 + (keys & np.uint64(1)).astype(np.int64)
+        there = np.bincount(group, minlength=2 * len(names))
+        wanted = np.empty(2 * len(names), dtype=np.int64)
+        own = need & 1
+        wanted[np.arange(len(names)) * 2 + own] = need >> 1 & 255
+        wanted[np.arange(len(names)) * 2 + 1 - own] = need >> 9
+        here = there[group] >= wanted[group]
         return pa.table({"token": pa.array(keys[here].astype(np.int64)), "doc": pa.array(docs[here].astype(np.int64))})
 
     blobs = by_chunk.applyInArrow(send, repeats.BLOBS)
@@ -330,9 +358,11 @@ def places(heads: DataFrame, classes: DataFrame) -> DataFrame:
     """
     spark = classes.sparkSession
     met = materialise(shared_keys(heads), scratch_path(spark, "ngram-postings"))
-    first = met.groupBy("token").agg(F.min("doc").alias("place"))
+    first = met.groupBy("token").agg(F.min("doc").alias("place"), F.max("doc").alias("other"))
+    # a key may have lost all documents but one
+    first = first.filter(F.col("place") < F.col("other")).select("token", "place")
     label = met.join(first, "token").groupBy("doc").agg(F.min("place").alias("label"))
-    moved = met.join(label, "doc").groupBy("token").agg(F.min("label").alias("place"))
+    moved = met.join(first.select("token"), "token").join(label, "doc").groupBy("token").agg(F.min("label").alias("place"))
     found = met.join(moved, "token").select("doc", "place").distinct()
     named = classes.select("set_key", F.xxhash64("set_key").alias("doc"))
     return named.join(found, "doc").select("set_key", "place")
