@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import delete_path, materialise, scratch_path
@@ -98,35 +98,28 @@ def append_absent(df: DataFrame, name: str, keys: Sequence[str]) -> int:
     spark = df.sparkSession
     table = current(spark, name)
     path = scratch_path(spark, "append")
+    ranged = table.schema[keys[0]].dataType.typeName() not in ("map", "array", "struct", "variant", "binary", "double", "float")
+    ends = [F.min(keys[0]).alias("least"), F.max(keys[0]).alias("most")] if ranged else []
+    seen = Observation()
     try:
-        incoming = materialise(aligned(df, table.columns), path)
-        observed = _observe()
-        fresh = absent_rows(_within(table, incoming, keys[0]), incoming, keys).observe(*observed)
+        # the ends are observed while the rows are written
+        counted = aligned(df, table.columns).observe(seen, F.count(F.lit(1)).alias("n"), *ends)
+        incoming = materialise(counted, path)
+        if not seen.get["n"]:
+            return 0
+        if ranged and seen.get["least"] is not None:
+            kind = table.schema[keys[0]].dataType
+            least, most = (F.lit(seen.get[e]).cast(kind) for e in ("least", "most"))
+            table = table.filter(F.col(keys[0]).isNull() | F.col(keys[0]).between(least, most))
+        added = Observation()
+        fresh = absent_rows(table, incoming, keys).observe(added, F.count(F.lit(1)).alias("n"))
         fresh.write.insertInto(physical_name(spark, name))
         spark.catalog.refreshTable(name)
-        return observed[0].get["n"]
+        return added.get["n"]
     finally:
         delete_path(spark, path)
 
 
-def _within(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows of `existing` whose `key` lies between the least and the greatest of `incoming`, or is NULL."""
-    if existing.schema[key].dataType.typeName() in ("map", "array", "struct", "binary", "double", "float"):
-        return existing
-    ends = incoming.agg(F.min(key).alias("least"), F.max(key).alias("most")).first()
-    if ends["least"] is None:
-        return existing
-    kind = existing.schema[key].dataType
-    least, most = F.lit(ends["least"]).cast(kind), F.lit(ends["most"]).cast(kind)
-    return existing.filter(F.col(key).isNull() | F.col(key).between(least, most))
-
-
-def _observe():
-    from pyspark.sql import Observation
-
-    return Observation(), F.count(F.lit(1)).alias("n")
-
-
 def merge_by_key(
     target: DataFrame, source: DataFrame, keys: Sequence[str], delete_flag: str | None = None
 ) -> DataFrame:
