@@ -27,7 +27,7 @@ from .common import pieces
 
 NONE = np.int32(2**31 - 1)
 # Bounds of what a worker remembers; they change the time only.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 48
 # Fixed value: the pattern for which `_matches` knows the common cases.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -234,7 +234,8 @@ class Encoder:
         used = set().union(*[c[1:] for c in cuts])
         missing = list(used.difference(self.seen))
         if len(self.seen) + len(missing) > CACHE_ENTRIES:
-            missing, self.seen = list(used), {}
+            # what these texts need stays, and with it what is frequent
+            self.seen = {p: self.seen[p] for p in used.intersection(self.seen)}
         known = self._encode_parts([f" {p}" for p in missing])
         self.seen.update(zip(missing, known.values()))
         get = self.seen.__getitem__
@@ -308,13 +309,17 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(rank_file, pattern)
-        for part in pieces(batches, at):
-            coded = encoder.encode([t or "" for t in part.column(at).to_pylist()])
-            offsets = np.zeros(len(coded) + 1, dtype=np.int32)
-            np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), type=pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
+        try:
+            for part in pieces(batches, at):
+                coded = encoder.encode([t or "" for t in part.column(at).to_pylist()])
+                offsets = np.zeros(len(coded) + 1, dtype=np.int32)
+                np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
+                values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), type=pa.int32())
+                ids = pa.ListArray.from_arrays(pa.array(offsets), values)
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
+        finally:
+            # a worker may wait long for its next task, which may be of another kind
+            encoder.seen = {}
 
     return held.mapInArrow(run, schema)
 
