@@ -5,6 +5,8 @@ err. Expectation-maximisation estimates how often each is right, and how common
 from the patterns of their votes over all documents. The posterior of a document's pattern is then
 the label from which a linear scorer learns, on hashed features that the labellers do not use as
 such: runs of character shapes, and how words and lines repeat. The scorer judges every document.
+Words repeat near by (within blocks of `BLOCK` words) or far apart (runs of `RUN` words that stood in
+the text before); both are taken over all words of a text of any length.
 
 There are at most three to the power of the labellers vote patterns, so their counts are small
 whatever the data is. The scorer learns from about `SAMPLE` documents chosen by a hash; this bound is
@@ -28,6 +30,8 @@ from .common import pieces
 
 SAMPLE = 8_000
 FEATURES = 1 << 12
+BLOCK = 1_500
+RUN = 5
 THRESHOLD = 0.5
 EM_ROUNDS = 200
 EPOCHS = 12
@@ -35,6 +39,18 @@ EPOCHS = 12
 BAD, GOOD, SILENT = 0, 1, 2
 
 
+def near_repeats(words: list) -> float:
+    """Share of the words that stood before in their block; blocks follow each other and cover the text."""
+    distinct = sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK))
+    return 1 - distinct / len(words)
+
+
+def far_repeats(words: list) -> float:
+    """Share of the runs of `RUN` words that stood before, anywhere in the text."""
+    runs = len(words) - RUN + 1
+    return 1 - len(set(map(hash, zip(*(words[i:] for i in range(RUN)))))) / runs if runs > 0 else 0.0
+
+
 # --- labellers ----------------------------------------------------------------------------------
 
 MARKS = b"!?#$%&*<>|^~=_{}\\@+"
@@ -184,9 +200,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     lines = [x for x in text.split("\n") if x.strip()]
     shares = (
         sum(a == b for a, b in zip(words, words[1:])) / len(words),
-        1 - len(set(words)) / len(words) if len(words) < 1500 else 1 - len(set(words[:1500] + words[-1500:])) / min(len(words), 3000),
+        near_repeats(words),
         1 - len(set(lines)) / len(lines),
         min(len(words) / max(len(lines), 1), 200) / 200,
+        far_repeats(words),
     )
     steps = np.array([k << 8 | int(x * 10) for k, x in enumerate(shares)])
     names = np.concatenate((names, _hashed(2, steps), [0]))

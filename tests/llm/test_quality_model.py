@@ -64,3 +64,32 @@ def test_empty_table_and_rerun(spark):
 def test_no_word_at_all(spark):
     docs = spark.createDataFrame([(1, None, None, None, 0), (2, " ", None, None, 0)], DOCS)
     assert [r["quality_score"] for r in q.classify(docs).collect()] == [0.0, 0.0]
+
+
+def random_words(n, seed=7, vocabulary=3_400):
+    return [f"w{i}" for i in np.random.default_rng(seed).integers(0, vocabulary, n)]
+
+
+def differing(a, b):
+    return set(q.features(" ".join(a))[0].tolist()) ^ set(q.features(" ".join(b))[0].tolist())
+
+
+def test_repeats_are_seen_in_the_middle_of_long_texts():
+    """Same ends, same character shapes, same lengths; only the words between repeat."""
+    plain = random_words(9_000)
+    three = plain[:1_500] + plain[1_500:1_503] * 2_000 + plain[-1_500:]
+    assert q.near_repeats(three) > q.near_repeats(plain) + 0.3
+    assert q.far_repeats(three) > 0.6 and q.far_repeats(plain) < 0.01
+    steps = {int(q._hashed(2, np.array([k << 8 | int(f(three) * 10)]))[0]) for k, f in ((1, q.near_repeats), (4, q.far_repeats))}
+    assert steps <= differing(plain, three)
+
+
+def test_a_passage_longer_than_a_block_is_seen_again():
+    passage = [f"w{i}" for i in range(2 * q.BLOCK)]
+    assert q.near_repeats(passage * 4) == 0 and q.far_repeats(passage * 4) > 0.7
+
+
+def test_repeats_do_not_grow_with_length():
+    shares = [q.near_repeats(random_words(n)) for n in (q.BLOCK, 2 * q.BLOCK, 6 * q.BLOCK, 60 * q.BLOCK)]
+    assert max(shares) - min(shares) < 0.03
+    assert q.near_repeats(["a", "b", "a"]) == 1 - 2 / 3 and q.far_repeats(["a", "b", "a"]) == 0
