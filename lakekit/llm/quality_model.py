@@ -3,8 +3,8 @@
 Several heuristic labellers look at every document and say good, bad or nothing; they overlap and
 err. Expectation-maximisation estimates how often each is right, and how common good documents are,
 from the patterns of their votes over all documents. The posterior of a document's pattern is then
-the label from which a linear scorer learns, on hashed features that the labellers do not use as
-such: runs of character shapes, and how words and lines repeat. The scorer judges every document.
+the label from which a linear scorer learns, on hashed features: runs of character shapes, which the
+labellers do not use, and how words and lines repeat. The scorer judges every document.
 Words repeat near by (within blocks of `BLOCK` words) or far apart (runs of `RUN` words that stood in
 the text before); both are taken over all words of a text of any length.
 
@@ -40,9 +40,10 @@ BAD, GOOD, SILENT = 0, 1, 2
 
 
 def near_repeats(words: list) -> float:
-    """Share of the words that stood before in their block; blocks follow each other and cover the text."""
-    distinct = sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK))
-    return 1 - distinct / len(words)
+    """Mean share of the words that stood before in their block; blocks cover the text, the last one ends with it."""
+    size = min(BLOCK, len(words))
+    starts = [*range(0, len(words) - size, size), len(words) - size]
+    return 1 - sum(len(set(words[i : i + size])) for i in starts) / (size * len(starts))
 
 
 def far_repeats(words: list) -> float:
@@ -72,18 +73,18 @@ def votes(text: str | None) -> tuple[int, ...]:
     if not n:
         return (BAD,) * LABELLERS
     lines = [x for x in map(bytes.strip, data.split(b"\n")) if x]
-    counted = Counter(words)
     marks = len(data) - len(data.translate(None, MARKS))
     capitals = len(data) - len(data.translate(None, CAPITALS)) + data.count(b"\xc3") - sum(data.count(b"\xc3" + bytes([c])) for c in SMALL)
     odd = sum(w[-1] in PUNCTUATION and (len(w) == 1 or w[-2] in PUNCTUATION) for w in words)
     ended = sum(x.endswith(ENDS) and (len(x) < 2 or x[-2] not in PUNCTUATION) for x in lines)
     twice = sum(map(eq, words, words[1:]))
-    top = max(counted.values())
+    top = max(Counter(words).values())
+    repeated = near_repeats(words)
     return (
         _vote(marks > 0.3 * n, marks < 0.1 * n),
         _vote(odd > 0.25 * n, odd < 0.1 * n),
         _vote(ended < 0.5 * len(lines), ended > 0.8 * len(lines)),
-        _vote(n >= 30 and len(counted) < 0.25 * min(n, 1000), n < 1000 and len(counted) > 0.4 * n),
+        _vote(n >= 30 and repeated > 0.75, repeated < 0.6),
         _vote(capitals > 0.25 * len(data), capitals < 0.1 * len(data)),
         _vote(n >= 10 and twice > 0.1 * n, twice < 0.02 * n),
         _vote(n >= 10 and top > 0.2 * n, top < 0.12 * n),

@@ -90,6 +90,14 @@ def test_a_passage_longer_than_a_block_is_seen_again():
 
 
 def test_repeats_do_not_grow_with_length():
-    shares = [q.near_repeats(random_words(n)) for n in (q.BLOCK, 2 * q.BLOCK, 6 * q.BLOCK, 60 * q.BLOCK)]
+    shares = [q.near_repeats(random_words(n)) for n in (q.BLOCK, q.BLOCK + 9, 2 * q.BLOCK, 6 * q.BLOCK, 60 * q.BLOCK)]
     assert max(shares) - min(shares) < 0.03
     assert q.near_repeats(["a", "b", "a"]) == 1 - 2 / 3 and q.far_repeats(["a", "b", "a"]) == 0
+
+
+def test_the_vocabulary_vote_is_the_same_at_every_length():
+    few, many = random_words(100_000, vocabulary=300), random_words(100_000)
+    for n in (2_000, 20_000, 100_000):
+        assert q.votes(" ".join(few[:n]))[3] == q.BAD
+        assert q.votes(" ".join(many[:n]))[3] == q.GOOD
+    assert q.votes("a b c d e " * 6)[3] == q.BAD and q.votes("a b c d e " * 5)[3] == q.SILENT
