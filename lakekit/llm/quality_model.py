@@ -9,9 +9,9 @@ Words repeat near by (within blocks of `BLOCK` words) or far apart (runs of `RUN
 the text before); both are taken over all words of a text of any length.
 
 There are at most three to the power of the labellers vote patterns, so their counts are small
-whatever the data is. The scorer learns from about `SAMPLE` documents chosen by a hash; this bound is
-a parameter. Documents without a word (null, empty, white space) are rejected with score 0. Rows are
-kept as they are; an empty table gives an empty result.
+whatever the data is. The scorer learns from the `SAMPLE` documents with the smallest hashes of id
+and text, equal rows once; this bound is a parameter. Documents without a word (null, empty, white
+space) are rejected with score 0. Rows are kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -237,33 +237,47 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, epoc
     return weights
 
 
-def learn_scorer(docs: DataFrame, model: LabelModel, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """The scorer's weights, learned from the posteriors of about `sample` documents (twice as many at most)."""
-    total = docs.count()
+def learning_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """`(place, names, values, votes)` of the `sample` documents with the smallest hashes of id and text.
+
+    Equal rows are one document. Features are made where the texts are, once per task and document.
+    """
     text = F.col(f"`{text_col}`").cast("string")
-    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(3)), F.lit(1 << 30))
-    some = docs.filter(place < int((1 << 30) * min(1.0, sample / max(total, 1)))) if total > sample else docs
-    chosen = some.select(text.alias("text"), place.alias("place")).limit(2 * sample)
+    placed = docs.select(text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(3)).alias("place"))
+    smallest = placed.select("place").distinct().orderBy("place").limit(sample)
+    last = smallest.agg(F.max("place").alias("place")).first()["place"]
+    chosen = placed.filter(F.col("place") <= F.lit(last).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in pieces(batches, 0):
-            texts = part.column(0).to_pylist()
+            fresh = {}
+            for at, place in enumerate(part.column(1).to_pylist()):
+                if place not in seen:
+                    seen.add(place)
+                    fresh[place] = at
+            texts = part.column(0).take(pa.array(list(fresh.values()), type=pa.int64())).to_pylist()
             found = [features(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(list(fresh), type=pa.int64()),
                     pa.array([n.tolist() for n, _ in found], type=pa.list_(pa.int64())),
                     pa.array([v.tolist() for _, v in found], type=pa.list_(pa.float32())),
                     pa.array([list(votes(t)) for t in texts], type=pa.list_(pa.int32())),
-                    part.column(1),
                 ],
-                names=["names", "values", "votes", "place"],
+                names=["place", "names", "values", "votes"],
             )
 
-    coded = chosen.mapInArrow(run, "names array<bigint>, values array<float>, votes array<int>, place bigint")
-    got = [r for r in coded.collect() if r["names"]]
+    coded = chosen.mapInArrow(run, "place bigint, names array<bigint>, values array<float>, votes array<int>")
+    return coded.dropDuplicates(["place"])
+
+
+def learn_scorer(docs: DataFrame, model: LabelModel, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
+    """The scorer's weights, learned from the posteriors of `sample` documents at most."""
+    got = [r for r in learning_rows(docs, id_col, text_col, sample).collect() if r["names"]]
     if not got:
         return np.zeros(FEATURES)
-    got.sort(key=lambda r: (r["place"], r["names"]))
+    got.sort(key=lambda r: r["place"])
     rows = [(np.array(r["names"]), np.array(r["values"], dtype=np.float32)) for r in got]
     return fit_scorer(rows, model.posterior(np.array([r["votes"] for r in got], dtype=np.int64)))
 

@@ -101,3 +101,16 @@ def test_the_vocabulary_vote_is_the_same_at_every_length():
         assert q.votes(" ".join(few[:n]))[3] == q.BAD
         assert q.votes(" ".join(many[:n]))[3] == q.GOOD
     assert q.votes("a b c d e " * 6)[3] == q.BAD and q.votes("a b c d e " * 5)[3] == q.SILENT
+
+
+def test_equal_rows_do_not_fill_the_sample(spark):
+    """One row that is there 3,000 times: the sample and the weights are those without its copies, on every run."""
+    texts = [" ".join(random_words(40, seed)) + "." * (seed % 3) for seed in range(300)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    copies = spark.range(3_000).selectExpr("cast(null as bigint) doc_id", "'the same text' text", "null lang", "null source", "0L n_chars")
+    model = q.learn_labels(docs)
+    plain = q.learn_scorer(docs.union(copies.limit(1)), model, sample=50)
+    for many in (docs.union(copies), copies.union(docs).repartition(7)):
+        places = [r["place"] for r in q.learning_rows(many, sample=50).collect()]
+        assert len(places) == len(set(places)) == 50
+        assert np.array_equal(q.learn_scorer(many, model, sample=50), plain)
