@@ -5,8 +5,8 @@ a block is every run of `STRETCH * n` consecutive words of a text; it meets the
 a share `threshold` of its distinct words or more. The frequencies of the templates' words are counted
 over all documents and put every template's words in one order, rare ones first. A text without one
 of a template's first words has no such block (prefix filter); nor has one with too few of the
-template's distinct words (length filter); nor a run whose rarest word stands too late in the order
-for what follows to suffice (positional filter). The runs that are left are counted exactly.
+template's distinct words (length filter). In the texts that are left every run is counted exactly;
+places in the order prune nothing more, since a run with enough words holds one of the first ones.
 
 Templates are a list given as a parameter, so their words and frequencies are of bounded size. Null
 texts are empty: no words, no labels, score 0. Rows are kept as they are. An empty table gives an
