@@ -230,8 +230,8 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def links_of(sets: list[np.ndarray], blocks: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all similar sets of one meeting place; of two blocks only pairs between them."""
+def links_of(sets: list[np.ndarray], blocks: list[int], percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links that connect all similar sets of one meeting place, or `every` one; of two blocks only pairs between them."""
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     ordered = [sets[i] for i in order]
     mine = [blocks[i] for i in order]
@@ -241,7 +241,7 @@ def links_of(sets: list[np.ndarray], blocks: list[int], percent: int) -> list[tu
         if across and mine[i] != min(mine):
             continue
         # of one block every pair is looked at from both sides, the second time both are connected or never will be
-        skip = lambda j: (across and mine[j] == mine[i]) or (not across and j <= i) or forest.find(j) == forest.find(i)
+        skip = lambda j: (across and mine[j] == mine[i]) or (not across and j <= i) or (not every and forest.find(j) == forest.find(i))
         for j in trie.similar(query, percent, skip):
             forest.join(i, j)
             links.append((order[i], order[j]))
@@ -411,8 +411,13 @@ def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     return likely.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").drop("text_key")
 
 
-def class_links(docs: DataFrame, heads: DataFrame, text_col: str, size: int, percent: int, order: np.ndarray) -> DataFrame:
-    """`(src, dst)`: links between classes, by set key, enough to connect all that are similar."""
+def class_links(
+    docs: DataFrame, heads: DataFrame, text_col: str, size: int, percent: int, order: np.ndarray, every: bool = False
+) -> DataFrame:
+    """`(src, dst)`: links between classes, by set key, enough to connect all that are similar.
+
+    With `every`, all similar pairs, in either order and once or more per place where they meet.
+    """
     spark = docs.sparkSession
     some = heads.filter("n > 0").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"))
     classes = materialise(some, scratch_path(spark, "ngram-classes"))
@@ -435,7 +440,7 @@ def class_links(docs: DataFrame, heads: DataFrame, text_col: str, size: int, per
     def join(table):
         keys = table.column("set_key").to_pylist()
         found = [in_order(shingles(t, size), order) for t in table.column("text").to_pylist()]
-        links = links_of(found, table.column("block").to_pylist(), percent)
+        links = links_of(found, table.column("block").to_pylist(), percent, every)
         ends = [[keys[link[side]] for link in links] for side in (0, 1)]
         return pa.table({"src": pa.array(ends[0], type=pa.binary()), "dst": pa.array(ends[1], type=pa.binary())})
 
@@ -457,6 +462,24 @@ def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     return members.join(smallest, "root", "left").withColumn("component", alone).drop("least")
 
 
+def similar_pairs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
+) -> DataFrame:
+    """`(src, dst, src_id, dst_id)`: every pair of similar classes once, by set key, with the smallest id of each.
+
+    A class is all documents with one set of n-grams; texts without a word are in none.
+    """
+    spark = docs.sparkSession
+    order = sketch(docs, text_col, size)
+    heads = materialise(_heads(docs, id_col, text_col, size, percent, order), scratch_path(spark, "ngram-heads"))
+    links = class_links(docs, heads, text_col, size, percent, order, every=True)
+    pairs = links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    least = heads.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("least"))
+    for side in ("src", "dst"):
+        pairs = pairs.join(least.select(F.col("set_key").alias(side), F.col("least").alias(f"{side}_id")), side)
+    return pairs.select("src", "dst", "src_id", "dst_id")
+
+
 def components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:

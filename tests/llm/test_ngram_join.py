@@ -134,3 +134,31 @@ def test_sizes_at_the_edge_meet(percent):
             a = np.concatenate((np.arange(n - need, dtype=np.uint64), common))
             b = np.concatenate((np.arange(5_000, 5_000 + m - need, dtype=np.uint64), common))
             assert meet(a, b, percent), (n, m)
+
+
+@pytest.mark.parametrize("tokens", [None, 600])
+def test_all_pairs_against_brute_force(spark, monkeypatch, tokens):
+    """Every similar pair of distinct sets once, also between sets that others connect already."""
+    if tokens:
+        monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", (tokens, tokens))
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [prose(rng, 200, vocabulary).split(" ") for _ in range(3)]
+    rows = []
+    for words_of_base in base:
+        for i in range(12):
+            near = list(words_of_base)
+            near[10 * i + 3] = f"changed{i}"
+            rows.append((len(rows), " ".join(near)))
+    rows += [(100 + i, t) for i, t in rows[:5]] + [(200, None), (201, "")]
+    sets = {}
+    for i, t in rows:
+        if grams(t, 5):
+            sets.setdefault(frozenset(grams(t, 5)), i)
+    expected = sorted(
+        (i, j) for a, i in sets.items() for b, j in sets.items() if i < j and 100 * len(a & b) >= 80 * len(a | b)
+    )
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    pairs = ngram_join.similar_pairs(docs, size=5, percent=80).collect()
+    assert sorted(tuple(sorted((r["src_id"], r["dst_id"]))) for r in pairs) == expected
+    assert len(expected) > 150
