@@ -25,6 +25,23 @@ _COMPONENTS = """
         UNION
         SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)"""
 
+# CRC-32 (reflected, 0xEDB88320): a table of one entry per byte, made by its rule, and a fold over the bytes
+_CRC_TABLE = """
+    crc_step(v, k, c) AS (
+        SELECT range, 0, range FROM range(256)
+        UNION ALL
+        SELECT v, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY v) AS entry FROM crc_step WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of `text`; needs a FROM with `crc`."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, length({digits}), 2), lambda i: CAST('0x' || substr({digits}, i, 2) AS BIGINT))"
+    return f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}),
+        lambda r, o: xor(r >> 8, entry[CAST((xor(r, o) & 255) + 1 AS BIGINT)])))"""
+
+
 _MARKS = "!?.,;:|#$%&*<>@~^=+_/\\\"()[]{}"
 
 
@@ -150,4 +167,32 @@ SQL = {
         least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
         SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, least(documents.doc_id, coalesce(b, documents.doc_id)) AS component_id
         FROM documents LEFT JOIN sizes ON documents.doc_id = sizes.doc_id LEFT JOIN least ON documents.doc_id = a""",
+    # near words meet as equal strings once a letter is taken out of the longer one, or the same place out of both
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        run AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+        counted AS (SELECT id, w, count(*) AS n FROM run GROUP BY ALL),
+        numbered AS (SELECT w, n, {_crc32("id || ':' || w")} AS h FROM counted, crc),
+        changed AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM numbered),
+        word AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        short AS (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM word)),
+        pair AS (
+            SELECT l.word AS a, r.word AS b, r.n FROM short l JOIN short r ON l.rest = r.rest AND l.i = r.i AND l.word <> r.word
+            UNION SELECT short.word, word.word, word.n FROM short JOIN word ON rest = word.word
+            UNION SELECT word.word, short.word, short.n FROM short JOIN word ON rest = word.word),
+        best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS top FROM pair GROUP BY a),
+        chosen AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN b END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+            FROM word LEFT JOIN best ON word = a),
+        walk(word, root) AS (
+            SELECT word, word FROM chosen
+            UNION ALL SELECT walk.word, form FROM walk JOIN chosen ON walk.root = chosen.word WHERE form IS NOT NULL),
+        last AS (SELECT walk.word, root FROM walk JOIN chosen ON root = chosen.word WHERE form IS NULL)
+        SELECT chosen.*, root FROM chosen JOIN last ON chosen.word = last.word""",
 }

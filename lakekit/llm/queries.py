@@ -5,11 +5,11 @@ from __future__ import annotations
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, oracle, quality_model, quality_rules, repeats, secrets
+from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, oracle, quality_model, quality_rules, repeats, secrets, spelling
 
 SQL = oracle.SQL
 
@@ -94,6 +94,18 @@ def op10_prefix_trees(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.components(documents(spark, folder).select("doc_id", "text"), size=3, percent=90)
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs whose number with their document's id is divisible by 97 lose one letter first."""
+    number = lambda run: F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+
+    def damaged(run: Column) -> Column:
+        place = (number(run) % F.char_length(run)).cast("int")
+        return F.when(number(run) % 97 == 0, F.concat(F.left(run, place), F.substring(run, place + 2, F.char_length(run)))).otherwise(run)
+
+    words = spelling.count_words(documents(spark, folder).select("doc_id", "text"), change=damaged)
+    return spelling.variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 QUERIES = {
     "op1_anchor_repeats": op1_anchor_repeats,
     "op2_weak_labels": op2_weak_labels,
@@ -105,4 +117,5 @@ QUERIES = {
     "op8_fair_mix": op8_fair_mix,
     "op9_projection_forest": op9_projection_forest,
     "op10_prefix_trees": op10_prefix_trees,
+    "op13_spelling_variants": op13_spelling_variants,
 }
