@@ -98,7 +98,53 @@ def _secrets() -> str:
         FROM documents LEFT JOIN listed ON documents.doc_id = listed.doc_id"""
 
 
+def _bottom_k() -> str:
+    """Sketches by SQL: 64-bit arithmetic is done in wider numbers and cut."""
+    from .fingerprints import K, MULTIPLIER, SCRAMBLE, SIZE
+
+    def sketches(source: str, text: str) -> str:
+        step = "CAST(0 AS HUGEINT)"
+        for i in range(SIZE):
+            value = f"lead(h, {i}) OVER f"
+            step = f"CASE WHEN {value} IS NULL THEN {step} ELSE ({step} * {MULTIPLIER} + {value}) % 18446744073709551616 END"
+        mixed = f"(CAST(xor(p, p >> 32) AS HUGEINT) * {SCRAMBLE}) % 18446744073709551616"
+        return f"""
+            SELECT place, list(DISTINCT v ORDER BY v)[1:{K}] AS s FROM (
+                SELECT place, xor(q, q >> 29) AS v FROM (
+                    SELECT place, CAST({mixed} AS UBIGINT) AS q FROM (
+                        SELECT place, CAST(p AS UBIGINT) AS p, i, many FROM (
+                            SELECT place, i, many, {step} AS p FROM (
+                                SELECT place, i, many, CAST('0x' || left(md5(w), 16) AS UBIGINT) AS h FROM (
+                                    SELECT place, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS many
+                                    FROM (SELECT place, {_WORDS.replace('text', text)} AS ws FROM {source})))
+                            WINDOW f AS (PARTITION BY place ORDER BY i))
+                        WHERE i = 1 OR i <= many - {SIZE - 1})))
+            GROUP BY place"""
+
+    def encoded(s: str) -> str:
+        return f"to_base64(unhex(list_aggregate(list_transform(coalesce({s}, []), lambda x: format('{{:016x}}', x)), 'string_agg', '')))"
+
+    def alike(a: str, b: str) -> str:
+        union = f"list_sort(list_distinct(list_concat(coalesce({a}, []), coalesce({b}, []))))[1:{K}]"
+        both = f"list_filter({union}, lambda x: list_contains({a}, x) AND list_contains({b}, x))"
+        return f"CASE WHEN len({union}) = 0 THEN 1.0 ELSE CAST(len({both}) AS DOUBLE) / len({union}) END"
+
+    return f"""
+        WITH placed AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS place, count(*) OVER () AS many FROM documents),
+        paired AS (
+            SELECT l.*, r.place AS next, left(l.text, length(l.text) - length(l.text) // 2) || left(r.text, length(l.text) // 2) AS edited
+            FROM placed l JOIN placed r ON r.place = l.place % l.many + 1),
+        plain AS ({sketches('placed', 'text')}),
+        changed AS ({sketches('paired', 'edited')})
+        SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {encoded('x.s')} AS fingerprint,
+               {encoded('y.s')} AS edited_fingerprint, {alike('x.s', 'y.s')} AS near_edited, {alike('x.s', 'z.s')} AS near_next
+        FROM paired LEFT JOIN plain x ON x.place = paired.place LEFT JOIN changed y ON y.place = paired.place LEFT JOIN plain z ON z.place = next"""
+
+
 SQL = {
+    "op11_bottom_k": _bottom_k(),
     "op6_secret_ledger": _secrets(),
     "op1_anchor_repeats": f"""
         WITH {_NUMBERED}, {_windows(35)},

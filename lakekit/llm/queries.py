@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from . import bpe, embedding_dedup, language, licenses, mixing, ngram_join, oracle, quality_model, quality_rules, repeats, secrets, spelling
+from . import bpe, embedding_dedup, fingerprints, language, licenses, mixing, ngram_join, oracle, quality_model, quality_rules, repeats, secrets, spelling
 
 SQL = oracle.SQL
 
@@ -94,6 +94,10 @@ def op10_prefix_trees(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.components(documents(spark, folder).select("doc_id", "text"), size=3, percent=90)
 
 
+def op11_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_edited(documents(spark, folder).select("doc_id", "text"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Runs whose number with their document's id is divisible by 97 lose one letter first."""
     number = lambda run: F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
@@ -117,5 +121,6 @@ QUERIES = {
     "op8_fair_mix": op8_fair_mix,
     "op9_projection_forest": op9_projection_forest,
     "op10_prefix_trees": op10_prefix_trees,
+    "op11_bottom_k": op11_bottom_k,
     "op13_spelling_variants": op13_spelling_variants,
 }
