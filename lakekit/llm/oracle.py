@@ -213,6 +213,37 @@ SQL = {
         least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
         SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, least(documents.doc_id, coalesce(b, documents.doc_id)) AS component_id
         FROM documents LEFT JOIN sizes ON documents.doc_id = sizes.doc_id LEFT JOIN least ON documents.doc_id = a""",
+    "op12_double_arrays": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        keyed AS (
+            SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS b
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, k, b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i FROM keyed),
+        ids AS (SELECT DISTINCT conv_id FROM own),
+        conv AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM ids, crc),
+        rebuilt AS (
+            SELECT conv.conv_id, i, k, b FROM conv JOIN own ON own.conv_id = base AND i <= h
+            UNION ALL SELECT conv_id, i, k, b FROM conv JOIN own USING (conv_id) WHERE i > h),
+        prefix AS (
+            SELECT conv_id, b, row_number() OVER f AS depth, md5(string_agg(k, '') OVER f) AS node FROM rebuilt
+            WINDOW f AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        member AS (
+            SELECT conv_id, b, depth, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent FROM prefix
+            UNION ALL SELECT conv_id, 0, 0, '', NULL FROM conv),
+        node AS (
+            SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n
+            FROM member GROUP BY node),
+        child AS (SELECT parent, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY parent),
+        last AS (SELECT conv_id, arg_max(node, depth) AS node FROM member GROUP BY conv_id),
+        ended AS (SELECT node, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM last GROUP BY node),
+        under AS (SELECT DISTINCT u.node AS top, v.node AS node FROM member u JOIN member v ON u.conv_id = v.conv_id AND v.depth >= u.depth),
+        summed AS (
+            SELECT top, count(*) FILTER (child.n IS NULL) AS n_leaves, sum((node.n - 1) * b) AS saved
+            FROM under JOIN node USING (node) LEFT JOIN child ON child.parent = node.node GROUP BY top)
+        SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children, n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM node JOIN summed ON top = node.node LEFT JOIN node up ON up.node = node.parent
+        LEFT JOIN child ON child.parent = node.node LEFT JOIN ended ON ended.node = node.node""",
     # near words meet as equal strings once a letter is taken out of the longer one, or the same place out of both
     "op13_spelling_variants": f"""
         WITH RECURSIVE {_CRC_TABLE},

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, scratch_path
 from .common import ship
-from . import bpe, embedding_dedup, fingerprints, language, licenses, mixing, ngram_join, oracle, quality_model, quality_rules, repeats, secrets, spelling
+from . import bpe, conversation_trie, embedding_dedup, fingerprints, language, licenses, mixing, ngram_join, oracle, quality_model, quality_rules, repeats, secrets, spelling
 
 SQL = oracle.SQL
 
@@ -98,6 +99,19 @@ def op11_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.with_edited(documents(spark, folder).select("doc_id", "text"))
 
 
+def op12_double_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Trie over conversations that begin with turns of the first one of their five."""
+    ship(spark)
+    own = conversation_trie.sequences(spark.read.parquet(f"{folder}/conversations.parquet"))
+    own = materialise(own, scratch_path(spark, "sequences"))
+    heads = own.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("head"))
+    borrowed = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    rebuilt = own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(heads, "base", "left")
+    head = F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), borrowed)
+    turns = F.concat(head, F.slice("turns", borrowed + 1, F.size("turns")))
+    return conversation_trie.nodes(rebuilt.select("conv_id", turns.alias("turns")))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Runs whose number with their document's id is divisible by 97 lose one letter first."""
     number = lambda run: F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
@@ -122,5 +136,6 @@ QUERIES = {
     "op9_projection_forest": op9_projection_forest,
     "op10_prefix_trees": op10_prefix_trees,
     "op11_bottom_k": op11_bottom_k,
+    "op12_double_arrays": op12_double_arrays,
     "op13_spelling_variants": op13_spelling_variants,
 }
