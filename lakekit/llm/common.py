@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import count, islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -51,6 +54,33 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = 4
             yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Returns what this process no longer uses to the system: Arrow's pool and the C heap's free pages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def light(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker gives memory back: it may wait long for a task, of another kind."""
+
+    def lighter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lighter
+
+
+def free_names(taken: Sequence[str], n: int) -> list[str]:
+    """`n` column names that differ from all of `taken`, whatever their case."""
+    used = {c.lower() for c in taken}
+    return list(islice((name for name in (f"_own{i}" for i in count()) if name not in used), n))
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of all texts: one scan on the JVM, one number back."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("n")).first()["n"]

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .common import free_names
 
 LEDGER = "blob string, scanned array<string>, spans array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -119,15 +120,33 @@ def find(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return gathered.select("blob", "scanned", spans.alias("spans"))
 
 
+def _matches(text: Column, rules: Sequence[Rule], todo: Column | None = None) -> Column:
+    """Whether some rule (of those in `todo`) matches; false for null text."""
+    some = F.lit(False)
+    for rule in rules:
+        one = text.rlike(rule.pattern)
+        some = some | (one if todo is None else F.array_contains(todo, rule.key) & one)
+    return F.coalesce(some, F.lit(False))
+
+
 def pending(versions: DataFrame, ledger: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
-    """`(blob, todo, text)`: blobs with rule versions that the ledger does not have for them."""
+    """`(blob, todo, text)`: blobs with rule versions that the ledger does not have for them.
+
+    Blobs in which none of these rules matches have null text: they are recorded, but need not move.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    blobs = versions.select(blob_id(text).alias("blob"), text.alias("text"))
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    done = ledger.select("blob", F.explode("scanned").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    rows = versions.select(blob_id(text).alias("blob"), text.alias("text"))
     wanted = F.array(*[F.lit(r.key) for r in rules])
+    if ledger.isEmpty():
+        found = rows.select("blob", F.when(_matches(F.col("text"), rules), F.col("text")).alias("text"))
+        return found.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text")).select("blob", wanted.alias("todo"), "text")
+    done = ledger.select("blob", F.explode("scanned").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    # hashes alone tell what is new; only texts of new blobs are looked at
+    new = rows.select("blob").distinct().join(done, "blob", "left")
     todo = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
-    return blobs.join(done, "blob", "left").select("blob", todo.alias("todo"), "text").filter(F.size("todo") > 0)
+    new = new.select("blob", todo.alias("todo")).filter(F.size("todo") > 0)
+    found = rows.join(new, "blob").select("blob", "todo", F.when(_matches(F.col("text"), rules, F.col("todo")), F.col("text")).alias("text"))
+    return found.groupBy("blob").agg(F.first("todo").alias("todo"), F.first("text", ignorenulls=True).alias("text"))
 
 
 def scan(versions: DataFrame, ledger_path: str, text_col: str = "text", rules: Sequence[Rule] = RULES) -> None:
@@ -193,23 +212,23 @@ def redacted(
     """`docs` with all findings of the ledger replaced in the texts, other columns as they were.
 
     Only texts in which some rule matches move to meet their findings; `length_col`, if there, is
-    renewed for texts that change.
+    renewed for texts that change. Columns may have any names.
     """
     text = F.col(f"`{text_col}`")
-    some = F.lit(False)
-    for rule in rules:
-        some = some | text.rlike(rule.pattern)
-    suspect = F.coalesce(some, F.lit(False))
-    known = findings(read_ledger(docs.sparkSession, ledger_path), rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    met = docs.filter(suspect).withColumn("_blob", blob_id(text)).join(known, "_blob", "left")
-    changed = F.col("_spans").isNotNull()
-    new = {text_col: F.when(changed, redact(text, F.col("_spans"), mark)).otherwise(text)}
-    out = met.withColumns(new)
+    row, blob, found, suspect = free_names(docs.columns, 4)
+    known = findings(read_ledger(docs.sparkSession, ledger_path), rules).select(F.col("blob").alias(blob), F.col("spans").alias(found))
+    tested = docs.withColumn(suspect, _matches(text, rules))
+    met = tested.filter(F.col(suspect)).withColumn(blob, blob_id(text)).join(known, blob, "left")
+    changed = F.col(found).isNotNull()
+    new = F.when(changed, redact(text, F.col(found), mark)).otherwise(text)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    replaced = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    done = met.select(*replaced, changed.alias(row))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        out = out.withColumn(length_col, F.when(changed, F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.filter(~suspect).select(*columns).unionByName(out.select(*columns))
+        length = F.when(F.col(row), F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`"))
+        done = done.select(*[length.alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns])
+    return tested.filter(~F.col(suspect)).select(*columns).unionByName(done.select(*columns))
 
 
 def span_list(spans: Column) -> Column:
