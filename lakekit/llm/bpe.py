@@ -21,9 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
-from .common import pieces
+from .common import light, pieces
 
 NONE = np.int32(2**31 - 1)
 # Bounds of what a worker remembers; they change the time only.
@@ -297,31 +297,49 @@ def _in_front(df: DataFrame, column: str, name: str, new: StructField) -> tuple[
 
 
 def encode(
-    docs: DataFrame, rank_file: bytes, pattern: str, text_col: str = "text", ids_col: str = "token_ids"
+    docs: DataFrame,
+    rank_file: bytes,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    slice_bytes: int = 4 << 20,
+    intact_col: str | None = None,
 ) -> DataFrame:
     """Adds `ids_col`, the token ids of `text_col`; `rank_file` is the content of a tiktoken rank file.
 
-    The file is a few hundred KB whatever the data is, and travels with the tasks.
+    The file is a few hundred KB whatever the data is, and travels with the tasks. Smaller slices
+    take less memory and a little more time. With `intact_col`, the ids are decoded again where they
+    are made, and that column says whether the text comes back.
     """
-    if ids_col == text_col:
-        raise ValueError("the ids need a column of their own")
-    held, schema, at = _in_front(docs, text_col, ids_col, StructField(ids_col, ArrayType(IntegerType())))
+    if len({ids_col, text_col, intact_col}) < 3:
+        raise ValueError("new columns need names of their own")
+    dropped = [c for c in docs.columns if c != intact_col]
+    held, schema, at = _in_front(docs.select(*[F.col(f"`{c}`") for c in dropped]), text_col, ids_col, StructField(ids_col, ArrayType(IntegerType())))
+    if intact_col:
+        schema = StructType([*schema.fields, StructField(intact_col, BooleanType())])
+
+    def intact(texts: list[str], coded: list[bytes], table: list[bytes]) -> pa.Array:
+        back = (b"".join([table[i] for i in np.frombuffer(c, dtype="<i4").tolist()]) for c in coded)
+        return pa.array([b == t.encode("utf-8") for b, t in zip(back, texts)], type=pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(rank_file, pattern)
         try:
-            for part in pieces(batches, at):
-                coded = encoder.encode([t or "" for t in part.column(at).to_pylist()])
+            for part in pieces(batches, at, slice_bytes):
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                coded = encoder.encode(texts)
                 offsets = np.zeros(len(coded) + 1, dtype=np.int32)
                 np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), type=pa.int32())
-                ids = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
+                new = [pa.ListArray.from_arrays(pa.array(offsets), values)]
+                if intact_col:
+                    new.append(intact(texts, coded, _decoder(rank_file)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
         finally:
             # a worker may wait long for its next task, which may be of another kind
             encoder.seen = {}
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(light(run), schema)
 
 
 def decode(ids: DataFrame, rank_file: bytes, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -339,7 +357,7 @@ def decode(ids: DataFrame, rank_file: bytes, ids_col: str = "token_ids", bytes_c
                 out = pa.array(texts, type=pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, bytes_col])
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(light(run), schema)
 
 
 def digests(encoded: DataFrame, rank_file: bytes, ids_col: str = "token_ids") -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import materialise, scratch_path
 from . import packing, repeats
-from .common import pieces, spread
+from .common import free_names, light, pieces, spread
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -108,7 +108,7 @@ def sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([classes.tobytes()], type=pa.binary())})
 
     kind = "slice int, counts binary"
-    counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, kind)
+    counted = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(light(count), kind)
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
     # SLICES rows, together 1 << SKETCH_BITS bytes whatever the data is
     for row in counted.groupBy("slice").applyInArrow(add, kind).collect():
@@ -281,7 +281,7 @@ def _heads(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n", "set_key", "head", "need"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(head, f"id {kind}, text_key binary, n bigint, set_key binary, head array<bigint>, need int")
+    return rows.mapInArrow(light(head), f"id {kind}, text_key binary, n bigint, set_key binary, head array<bigint>, need int")
 
 
 def shared_keys(heads: DataFrame) -> DataFrame:
@@ -390,7 +390,7 @@ def key_filter(wanted: DataFrame) -> np.ndarray:
 
     kind = "slice int, bits binary"
     out = np.zeros((SLICES, (1 << FILTER_BITS) // SLICES // 8), dtype=np.uint8)
-    for row in wanted.select("text_key").mapInArrow(mark, kind).groupBy("slice").applyInArrow(either, kind).collect():
+    for row in wanted.select("text_key").mapInArrow(light(mark), kind).groupBy("slice").applyInArrow(either, kind).collect():
         out[row["slice"]] = np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
     return out.reshape(-1)
 
@@ -407,7 +407,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     keyed = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    likely = keyed.mapInArrow(some, "text_key binary, text string")
+    likely = keyed.mapInArrow(light(some), "text_key binary, text string")
     return likely.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").drop("text_key")
 
 
@@ -501,11 +501,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     spark = docs.sparkSession
     found = materialise(_members(docs, id_col, text_col, size, percent), scratch_path(spark, "ngram-members"))
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
-    chosen = found.filter("id = component").select(F.col("id").alias("_kept")).distinct()
+    kept, mine, other = free_names(docs.columns, 3)
+    chosen = found.filter("id = component").select(F.col("id").alias(kept)).distinct()
     # dealt by id for the join, which is enough to meet repeated rows as well
-    named = docs.filter(key.isNotNull()).join(chosen, key == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
+    named = docs.filter(key.isNotNull()).join(chosen, key == F.col(kept), "left_semi").dropDuplicates([id_col, text_col])
     nameless = found.filter("id is null and component is null")
-    of_groups = nameless.groupBy(F.coalesce("root", "text_key").alias("root")).agg(F.min("text_key").alias("_text_key")).select("_text_key")
-    keyed = docs.filter(key.isNull()).withColumn("_md5", F.unhex(F.md5(text)))
-    some = keyed.join(of_groups, F.col("_md5").eqNullSafe(F.col("_text_key")), "left_semi").dropDuplicates(["_md5"]).drop("_md5")
+    of_groups = nameless.groupBy(F.coalesce("root", "text_key").alias("root")).agg(F.min("text_key").alias(other)).select(other)
+    keyed = docs.filter(key.isNull()).withColumn(mine, F.unhex(F.md5(text)))
+    some = keyed.join(of_groups, F.col(mine).eqNullSafe(F.col(other)), "left_semi").dropDuplicates([mine]).drop(mine)
     return named.unionByName(some)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import light, pieces
 
 SAMPLE = 8_000
 FEATURES = 1 << 12
@@ -147,7 +147,7 @@ def learn_labels(docs: DataFrame, text_col: str = "text") -> LabelModel:
         yield pa.RecordBatch.from_arrays(columns, names=["votes", "n"])
 
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = texts.mapInArrow(run, "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
+    found = texts.mapInArrow(light(run), "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     patterns = np.array([r["votes"] for r in found], dtype=np.int64).reshape(-1, LABELLERS)
     return fit_labels(patterns, np.array([r["n"] for r in found], dtype=np.float64))
 
@@ -268,7 +268,7 @@ def learning_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 names=["place", "names", "values", "votes"],
             )
 
-    coded = chosen.mapInArrow(run, "place bigint, names array<bigint>, values array<float>, votes array<int>")
+    coded = chosen.mapInArrow(light(run), "place bigint, names array<bigint>, values array<float>, votes array<int>")
     return coded.dropDuplicates(["place"])
 
 
@@ -299,7 +299,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_co
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, type=pa.float64())], names=[*kept, score_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
-    return held.mapInArrow(run, f"{fields}, `{score_col}` double")
+    return held.mapInArrow(light(run), f"{fields}, `{score_col}` double")
 
 
 def classify(
