@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
-from .common import word_count
+from .common import free_names, word_count
 
 # Fixed values of the mix: shares by the source's place, share of all sizes, rounds through a source.
 WEIGHTS = (5, 2, 1)
@@ -160,10 +160,11 @@ def apply_mix(
     sizes = materialise(measured(docs, id_col, text_col, source_col, seed), scratch_path(spark, "mix-sizes"))
     shares = materialise(targets(sizes), scratch_path(spark, "mix-shares"))
     cuts = materialise(plan(sizes, shares), scratch_path(spark, "mix-plan"))
-    chosen = _small(cuts.select(F.struct("*").alias("_plan")))
-    keyed = docs.withColumn("_key", order_key(id_col, text_col, seed))
-    joined = keyed.join(chosen, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_plan.source")))
-    parts = [F.when(F.col("_key") <= F.col(f"_plan.cut_{r + 1}"), 1).otherwise(0) for r in range(ROUNDS)]
-    repeated = joined.withColumn("_times", sum(parts[1:], parts[0])).filter("_times > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return repeated.withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plans, key, times, copy = free_names(docs.columns, 4)
+    chosen = _small(cuts.select(F.struct("*").alias(plans)))
+    keyed = docs.withColumn(key, order_key(id_col, text_col, seed))
+    joined = keyed.join(chosen, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(f"{plans}.source")))
+    parts = [F.when(F.col(key) <= F.col(f"{plans}.cut_{r + 1}"), 1).otherwise(0) for r in range(ROUNDS)]
+    repeated = joined.withColumn(times, sum(parts[1:], parts[0])).filter(F.col(times) > 0)
+    copies = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return repeated.withColumn(copy, copies).select(*[F.col(f"`{c}`") for c in docs.columns])

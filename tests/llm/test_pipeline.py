@@ -51,8 +51,23 @@ def test_stages_take_effect(spark):
     assert all(r["intact"] and r["token_ids"] == library.encode_ordinary(texts[r["doc_id"]]) for r in out)
 
 
-def test_hard_rows_and_empty_table(spark):
-    for docs in (hard_docs(spark), empty_docs(spark)):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, "")
-        assert docs.count() >= 0
+def test_hard_rows_keep_their_columns(spark):
+    """Null ids, repeated rows and columns with the names that operators use inside go through all stages."""
+    clash = [f"_own{i}" for i in range(6)] + ["_plan", "_key", "_times", "_copy", "_blob", "_spans", "_kept", "_md5", "_text_key", "_quality"]
+    docs = hard_docs(spark).select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.md5("text"), F.lit("none"))).alias(c) for c in clash])
+    texts = {r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[5:] == clash, name
+        for r in docs.collect():
+            assert len({r[c].split(" of ")[1] for c in clash}) == 1 and all(r[c].split(" of ")[0] == c for c in clash), name
+            assert r["text"] in texts or "[REDACTED]" in r["text"], name
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert coded.count() == docs.count() > 10 and coded.filter("not intact").count() == 0
+
+
+def test_empty_table(spark):
+    docs = empty_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0, name
