@@ -80,7 +80,7 @@ def stream_upsert(spark, folder):
 
 
 def stream_sustained(spark, folder):
-    """Closed alert intervals; the samples of the last ten minutes still wait for the watermark."""
+    """Closed alert intervals; slices of a second that end in the last ten minutes still wait for the watermark."""
     path = scratch_path(spark, "stream-sustained")
     alerts = run_alerts(
         _stream(spark, folder, "events"), "event_type", "ts", F.col("value") > 5, "30 minutes", path
@@ -138,7 +138,8 @@ SQL = {
     "stream_upsert": """
         SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1""",
     "stream_sustained": """
-        WITH ready AS (SELECT * FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)),
+        WITH ready AS (
+            SELECT * FROM events WHERE date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)),
         marked AS (
             SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts)
                       - row_number() OVER (PARTITION BY event_type, value > 5 ORDER BY ts) AS run,

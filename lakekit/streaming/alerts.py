@@ -1,83 +1,122 @@
-"""Sustained-condition alerts on a stream."""
+"""Sustained-condition alerts on a stream.
+
+Two stateful steps of one query, both with Spark's own watermark, state and checkpoint. The first
+gathers the samples of a series in short time slices; a slice comes out when the watermark has passed
+its end, so slices reach the second step in the order of time, whatever order their samples came in.
+The second keeps one row per series, the interval that is open, and takes the slices one after the
+other. A busy series is spread over tasks by slice where its samples are, and only the few slices of
+a batch meet at its state.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
+
+from ..operators.metrics import micros
+from ..session import settings
+from .ingest import start_append
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# the open interval of a series, in microseconds; `told` says that it has been reported as firing
+STATE = "start bigint, fired_at bigint, last bigint, told boolean"
+
+
+def time_slices(sdf: DataFrame, keys: Sequence[str], ts: str, cond: Column | str, delay: str, slice_length: str) -> DataFrame:
+    """`keys, slice, samples`: the samples of a slice in order of time, once it is complete.
+
+    Equal timestamps are one sample, which holds when all of them do. Of samples in a row that do
+    not hold the first is enough.
+    """
+    held = cond if isinstance(cond, Column) else F.col(cond)
+    timed = sdf.select(*keys, F.col(ts).cast("timestamp").alias("_ts"), F.coalesce(held, F.lit(False)).alias("_c"))
+    timed = timed.filter(F.col("_ts").isNotNull()).withWatermark("_ts", delay)
+    sample = F.struct(F.unix_micros("_ts").alias("t"), F.col("_c").alias("c"))
+    gathered = timed.groupBy(F.window("_ts", slice_length).alias("_w"), *keys).agg(F.sort_array(F.collect_set(sample)).alias("_all"))
+
+    def differs(samples: Column, keep) -> Column:
+        return F.filter(samples, lambda x, i: (i == 0) | keep(F.get(samples, i - 1), x))
+
+    # false sorts first, so a true sample of the same time comes behind it and is passed over
+    single = gathered.withColumn("_one", differs(F.col("_all"), lambda before, x: before["t"] != x["t"]))
+    short = differs(F.col("_one"), lambda before, x: before["c"] | x["c"])
+    return single.select(*keys, F.unix_micros("_w.start").alias("_slice"), short.alias("_samples"))
 
-from ..operators.metrics import micros, sustained
-from ..session import delete_path
 
+class _Follower(StatefulProcessor):
+    """The second step: slices of one series, in order, against the interval that is open."""
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    def __init__(self, wait: int, names: list[str]):
+        self.wait, self.names = wait, names
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", STATE)
 
-def alert_batch(
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.open.exists()
+        start, fired, last, told = self.open.get() if known else (None, None, None, False)
+        # by position: keys may have any names
+        slices = sorted(((s, x) for frame in rows for s, x in zip(frame.iloc[:, -2], frame.iloc[:, -1])), key=lambda p: p[0])
+        t = np.array([x["t"] for _, samples in slices for x in samples], dtype=np.int64)
+        c = np.array([x["c"] for _, samples in slices for x in samples], dtype=bool)
+        out = []
+        for run in np.split(np.arange(len(t)), np.flatnonzero(c[1:] != c[:-1]) + 1) if len(t) else []:
+            if not c[run[0]]:
+                if start is not None:
+                    out.append((*key, start, last, fired, "closed"))
+                start, fired, last, told = None, None, None, False
+                continue
+            times = t[run]
+            start = int(times[0]) if start is None else start
+            at = int(np.searchsorted(times, start + self.wait))
+            if fired is None and at < len(times):
+                fired = int(times[at])
+            last = int(times[-1])
+        if start is not None:
+            if fired is not None and not told:
+                told = True
+                out.append((*key, start, None, fired, "firing"))
+            self.open.update((start, fired, last, told))
+        elif known:
+            self.open.clear()
+        yield pd.DataFrame(out, columns=self.names).astype({c: "Int64" for c in ("start", "end", "fired_at")})
+
+    def close(self) -> None:
+        pass
+
+
+def sustained_alerts(
+    sdf: DataFrame,
     key: str | Sequence[str],
     ts: str,
     cond: Column | str,
     hold: str,
-    state: str,
-    out: str,
     delay: str = "10 minutes",
-    slice_length: str = "1 day",
-):
-    """Function for `foreachBatch` that turns samples into alert rows at `out`.
-
-    Samples wait until the watermark (newest time seen minus `delay`) has passed them and are then
-    processed in time order, whatever order they came in; later ones are dropped. What an open
-    interval needs afterwards is three of its samples (start, firing, last), which join the next
-    batch as ordinary samples, so the batch operator does all the work and a busy series is
-    sliced like there.
-
-    Rows of `out`: `status` is `firing` once per interval, in the batch in which the hold time is
-    reached while the interval goes on, and `closed` when it ends. Everything of a batch is written
-    under its id, so a replayed batch replaces its own rows.
+    slice_length: str = "1 second",
+) -> DataFrame:
+    """Stream of alert rows: `key, start, end, fired_at, status`, to be written in append mode by a
+    session whose state store is RocksDB.
+
+    `status` is `firing` once per interval, in the batch in which the hold time is reached while the
+    interval goes on, and `closed` when a sample that does not hold ends it. Samples later than the
+    watermark, `delay` behind the newest time, are dropped. `fired_at` is the first sample at least
+    `hold` after the start; an interval that ends before has none.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    held = cond if isinstance(cond, Column) else F.col(cond)
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        here, before = f"{state}/{batch_id}", f"{state}/{batch_id - 1}"
-        samples = batch.select(*keys, F.col(ts).cast("timestamp").alias(ts), held.alias("cond"))
-        mark = None
-        if _exists(spark, f"{before}/mark"):
-            mark = spark.read.parquet(f"{before}/mark").first()["mark"]
-            waiting = spark.read.schema(samples.schema).parquet(f"{before}/staged")
-            at = F.unix_micros(ts)
-            samples = samples.filter(at > mark).unionByName(waiting.filter(at > mark))
-        samples.filter(F.col(ts).isNotNull()).write.mode("overwrite").parquet(f"{here}/staged")
-        staged = spark.read.schema(samples.schema).parquet(f"{here}/staged")
-        newest = staged.agg(F.max(F.unix_micros(ts))).first()[0]
-        old_mark = mark if mark is not None else -(2**62)
-        new_mark = old_mark if newest is None else max(old_mark, newest - micros(delay))
-        ready = staged.filter(F.unix_micros(ts) <= new_mark)
-        if mark is not None:
-            carried = spark.read.parquet(f"{before}/intervals").filter("open")
-            points = F.explode(F.array_distinct(F.filter(F.array("start", "fired_at", "end"), lambda t: t.isNotNull())))
-            ready = ready.unionByName(carried.select(*keys, points.alias(ts), F.lit(True).alias("cond")))
-        found = sustained(ready, keys, ts, "cond", hold, slice_length).drop("samples")
-        found.write.mode("overwrite").parquet(f"{here}/intervals")
-        intervals = spark.read.parquet(f"{here}/intervals")
-        started_firing = F.col("open") & (F.unix_micros("fired_at") > old_mark)
-        status = F.when(~F.col("open"), "closed").when(started_firing, "firing")
-        (
-            intervals.withColumn("status", status)
-            .filter(F.col("status").isNotNull())
-            .select(*keys, "start", F.when(~F.col("open"), F.col("end")).alias("end"), "fired_at", "status")
-            .write.mode("overwrite")
-            .parquet(f"{out}/batch={batch_id}")
-        )
-        spark.createDataFrame([(new_mark,)], "mark bigint").coalesce(1).write.mode("overwrite").parquet(f"{here}/mark")
-        # a replay of this batch still needs the one before it
-        delete_path(spark, f"{state}/{batch_id - 2}")
-
-    return process
+    slices = time_slices(sdf, keys, ts, cond, delay, slice_length)
+    names = [*keys, "start", "end", "fired_at", "status"]
+    out = StructType([*[sdf.schema[k] for k in keys]]).add("start", "long").add("end", "long").add("fired_at", "long").add("status", "string")
+    step = _Follower(micros(hold), names)
+    found = slices.groupBy(*keys).transformWithStateInPandas(step, out, "Append", "None")
+    times = {c: F.timestamp_micros(c) for c in ("start", "end", "fired_at")}
+    return found.withColumns(times)
 
 
 def stream_sustained(
@@ -88,15 +127,16 @@ def stream_sustained(
     hold: str,
     path: str,
     delay: str = "10 minutes",
-    slice_length: str = "1 day",
+    slice_length: str = "1 second",
 ) -> DataFrame:
-    """Run the alert stream over what is available; returns all alert rows under `path` so far."""
-    process = alert_batch(key, ts, cond, hold, f"{path}/state", f"{path}/alerts", delay, slice_length)
-    query = (
-        sdf.writeStream.foreachBatch(process)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Run the alert stream over what is available; returns all alert rows under `path` so far.
+
+    The checkpoint below `path` carries watermark and state over restarts; a batch that is run
+    again replaces its own files.
+    """
+    alerts = sustained_alerts(sdf, key, ts, cond, hold, delay, slice_length)
+    # the state of arbitrary operators needs this store; the query keeps the settings it is started with
+    with settings(sdf.sparkSession, {STORE: ROCKSDB}):
+        query = start_append(alerts, f"{path}/alerts", f"{path}/checkpoint")
     query.awaitTermination()
-    return sdf.sparkSession.read.parquet(f"{path}/alerts").drop("batch")
+    return sdf.sparkSession.read.schema(alerts.schema).parquet(f"{path}/alerts")

@@ -15,6 +15,15 @@ from ..sources.catalog import VERSION_MARK, quoted, view_properties
 from ..sources.files import stream_path
 
 
+def start_append(sdf: DataFrame, path: str, checkpoint: str, trigger: str = "availableNow", fmt: str = "parquet", partition_by=()):
+    """Start to append a stream to files at `path`; returns the running query."""
+    writer = sdf.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    timed = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
+    return timed.start(path)
+
+
 def stream_to_table(
     sdf: DataFrame, path: str, checkpoint: str, trigger: str = "availableNow", fmt: str = "parquet", partition_by=()
 ):
@@ -23,13 +32,9 @@ def stream_to_table(
     `availableNow` processes what is there and returns when done; any other trigger is a
     processing-time interval and returns the running query. A missing checkpoint starts clean.
     """
-    writer = sdf.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if trigger != "availableNow":
-        return writer.trigger(processingTime=trigger).start(path)
-    query = writer.trigger(availableNow=True).start(path)
-    query.awaitTermination()
+    query = start_append(sdf, path, checkpoint, trigger, fmt, partition_by)
+    if trigger == "availableNow":
+        query.awaitTermination()
     return query
 
 
