@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.types import type_kind
-from ..operators import descriptors, merge, tables
+from ..operators import buckets, descriptors, merge, tables
 from ..sources import catalog, files
 from .common import fresh_table, table
 
@@ -181,6 +181,20 @@ def merge_touched(spark, folder):
     return spark.table(name)
 
 
+def keyed_upsert(spark, folder):
+    """Orders in hash buckets: corrections of one order in a hundred, some of them removals, and more buckets in the end."""
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "bucketed")
+    buckets.create_keyed(spark, name, o.schema, root, ["o_orderkey"], buckets=8)
+    buckets.upsert(o, name)
+    some = o.filter(F.col("o_orderkey") % 100 == 0)
+    changed = some.withColumn("o_totalprice", F.col("o_totalprice") * 2).withColumn("gone", F.col("o_orderstatus") == "P")
+    buckets.upsert(changed, name, delete_flag="gone")
+    buckets.grow(spark, name, 16)
+    buckets.upsert(some.filter(F.col("o_orderstatus") == "F").withColumn("o_orderpriority", F.lit("0-NOW")), name)
+    return spark.table(name)
+
+
 def keyed_export(spark, folder):
     e = table(spark, folder, "events")
     name, root = fresh_table(spark, "exported")
@@ -374,6 +388,7 @@ QUERIES = {
     "append_absent": append_absent,
     "merge_by_key": merge_by_key,
     "merge_touched": merge_touched,
+    "keyed_upsert": keyed_upsert,
     "keyed_export": keyed_export,
     "keyed_export_upsert": keyed_export_upsert,
     "multiset_diff": multiset_diff,
@@ -422,6 +437,11 @@ SQL = {
     "merge_touched": """
         SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P' THEN o_totalprice * 2
                                ELSE o_totalprice END AS o_totalprice) FROM orders""",
+    "keyed_upsert": """
+        SELECT * REPLACE (
+            CASE WHEN o_orderkey % 100 = 0 AND o_orderstatus <> 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+            CASE WHEN o_orderkey % 100 = 0 AND o_orderstatus = 'F' THEN '0-NOW' ELSE o_orderpriority END AS o_orderpriority)
+        FROM orders WHERE NOT (o_orderkey % 100 = 0 AND o_orderstatus = 'P')""",
     "keyed_export": """
         SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1""",
     "keyed_export_upsert": """

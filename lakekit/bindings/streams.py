@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tables
+from ..operators import buckets
 from ..session import scratch_path
 from ..sources.files import stream_path
 from ..streaming.alerts import stream_sustained as run_alerts
@@ -67,7 +67,7 @@ def stream_upsert(spark, folder):
     path = scratch_path(spark, "stream-upsert")
     events = _stream(spark, folder, "events")
     name, root = fresh_table(spark, "newest")
-    tables.create_table(spark, name, events.schema, root)
+    buckets.create_keyed(spark, name, events.schema, root, ["user_id"])
     sink = foreach_batch_upsert(name, ["user_id"], newest_by="ts")
     query = (
         events.writeStream.foreachBatch(sink)

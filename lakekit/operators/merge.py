@@ -178,13 +178,14 @@ def merge_by_key(
 
 
 def merge_into(
-    df: DataFrame, name: str, keys: Sequence[str], delete_flag: str | None = None, touched_only: bool = False
+    df: DataFrame, name: str, keys: Sequence[str], delete_flag: str | None = None, touched_only: bool | None = None
 ) -> None:
-    """Merge `df` into table `name`; readers see the old or the new rows, never a mixture.
+    """Merge `df` into table `name`.
 
     `touched_only` reads and rewrites only the partitions that `df` has rows for, which is enough
-    when the partition columns are among the keys. It works in place, so a reader may see it
-    partition by partition. The whole table is still rewritten when a partition would lose all its
+    when the partition columns are among the keys and then is the default. It works in place, so a
+    reader may see it partition by partition; with `touched_only=False` readers see the old or the
+    new rows, never a mixture. The whole table is still rewritten when a partition would lose all its
     rows. `df` is worked out once, into the shared folder.
     """
     spark = df.sparkSession
@@ -195,6 +196,9 @@ def merge_into(
     if missing:
         raise ValueError(f"source lacks {missing}")
     aligned(df, table.columns, flag)
+    if touched_only is None:
+        parts = partition_list(spark, name)
+        touched_only = bool(parts) and set(parts) <= set(keys)
     path = scratch_path(spark, "merge")
     try:
         source = materialise(df, f"{path}/source")

@@ -259,6 +259,7 @@ def write_table(
     properties: dict[str, str] | None = None,
     base: Base | None = None,
     honour_explicit: bool = True,
+    shown: Sequence[str] | None = None,
 ) -> None:
     """Write `df` as a new version of `name` and publish it after its row count was verified.
 
@@ -267,7 +268,7 @@ def write_table(
 
     `properties` are published together with the rows, in the same statement. `base` is the state
     that `df` was computed from, if it was computed from this table. `honour_explicit=False` lets
-    the session's default format win over `fmt`.
+    the session's default format win over `fmt`. Readers see the columns `shown`, by default all.
 
     A partitioned write is rebalanced by the partition columns, which bounds the number of files
     and lets adaptive execution split a partition value that holds much of the rows.
@@ -287,7 +288,7 @@ def write_table(
         raise ValueError("a new table needs a root")
     fmt = resolve_format(fmt or props.get(FORMAT_KEY), spark.conf.get("spark.sql.sources.default"), honour_explicit)
     parts = list(_partitions(props) if partition_by is None else partition_by)
-    _write_version(df, name, root, fmt, parts, True, properties, base)
+    _write_version(df, name, root, fmt, parts, True, properties, base, shown)
 
 
 def _write_version(
@@ -299,6 +300,7 @@ def _write_version(
     rebalance: bool,
     extra: dict[str, str] | None = None,
     base: Base | None = None,
+    shown: Sequence[str] | None = None,
 ) -> None:
     spark = df.sparkSession
     physical, location = _register(spark, name, _nullable(df.schema), fmt, parts, root)
@@ -309,7 +311,7 @@ def _write_version(
         found = spark.table(physical).count()
         if found != written:
             raise RuntimeError(f"{name}: wrote {written} rows, read {found}")
-        publish(spark, name, physical, location, df.columns, fmt, parts, root, extra, base)
+        publish(spark, name, physical, location, shown or df.columns, fmt, parts, root, extra, base)
     except BaseException:
         _discard(spark, physical, location)
         raise
