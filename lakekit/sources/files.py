@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,6 +65,24 @@ def with_path_keys(df: DataFrame, keys: Mapping[str, str], path: str = "path") -
 TABLE_PATTERN = r"/([^/]+)/([^/]+)/(?:(?:[0-9]{20}[0-9a-f]{8}|[0-9a-f]{32})/)?(?:[^/=]+=[^/]*/)*[^/]+$"
 
 
+# Parquet by the reader that takes counts out of the footers
+FOOTER_COUNTS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_count(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """`n`, the rows of all Parquet files below `path`, by their footers alone: a count costs as much as there are files.
+
+    Reads in a session of its own, so the settings of the caller's stay as they are.
+    """
+    own = spark.newSession()
+    for key, value in FOOTER_COUNTS.items():
+        own.conf.set(key, value)
+    reader = own.read.schema("_none string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    counted = reader.option("ignoreCorruptFiles", skip_corrupt).parquet(path).agg(F.count("*").alias("n"))
+    # files without a row group give nothing to add up
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def row_counts(
     spark: SparkSession,
     root: str,
@@ -72,47 +91,57 @@ def row_counts(
 ) -> DataFrame:
     """Rows per table directory below `root/<schema>/<table>/`, all tables in one job.
 
-    Below the table's directory there may be a version folder of this package and partition folders.
+    Below the table's directory there may be a version folder of this package and partition folders;
+    a match of `table_pattern` begins with the two names. Columns: `(schema_name, table_name, row_count,
+    files, corrupt_skipped)`. A table whose files are all empty counts 0; a table without files has
+    no row here. An unreadable file is an error; with `skip_corrupt` such files are passed over and
+    their table is flagged, which is found out at once.
 
-    The read projects no column, so Parquet serves the counts from the footers. Columns:
-    `(schema_name, table_name, row_count, files, files_without_rows, corrupt_skipped)`. A table
-    whose files are all empty counts 0; a table without files has no row here. With `skip_corrupt`
-    unreadable files are passed over and the table is flagged: `corrupt_skipped` says that at
-    least one of its files gave no row.
+    Counts come from footers. The driver knows one path per table, as the catalog does.
     """
-    files = list_files(spark, root, "*.parquet")
-    table_of = {
-        "schema_name": lambda c: F.regexp_extract(c, table_pattern, 1),
-        "table_name": lambda c: F.regexp_extract(c, table_pattern, 2),
-    }
-    listed = (
-        files.select(*[f(F.col("path")).alias(n) for n, f in table_of.items()])
-        .groupBy("schema_name", "table_name")
-        .agg(F.count("*").alias("files"))
-    )
-    per_file = (
-        spark.read.schema("_none string")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .option("ignoreCorruptFiles", skip_corrupt)
-        .parquet(root)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.count("*").alias("n"))
-    )
-    counted = (
-        per_file.select(*[f(F.col("path")).alias(n) for n, f in table_of.items()], "n")
-        .groupBy("schema_name", "table_name")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("with_rows"))
+    named = list_files(spark, root, "*.parquet").select(
+        F.regexp_extract("path", table_pattern, 1).alias("schema_name"),
+        F.regexp_extract("path", table_pattern, 2).alias("table_name"),
+        "path",
     )
-    silent = F.col("files") - F.coalesce("with_rows", F.lit(0))
-    return listed.join(counted, ["schema_name", "table_name"], "left").select(
-        "schema_name",
-        "table_name",
-        F.coalesce("n", F.lit(0)).alias("row_count"),
-        "files",
-        silent.alias("files_without_rows"),
-        (F.lit(skip_corrupt) & (silent > 0)).alias("corrupt_skipped"),
+    before = F.substring("path", F.lit(1), F.regexp_instr("path", F.lit(table_pattern)) - 1)
+    folders = (
+        named.filter("schema_name <> ''")
+        .select("schema_name", "table_name", F.concat_ws("/", before, "schema_name", "table_name").alias("folder"))
+        .groupBy("schema_name", "table_name", "folder")
+        .agg(F.count("*").alias("files"))
+        .collect()
     )
+    schema = "schema_name string, table_name string, row_count bigint, files bigint, corrupt_skipped boolean"
+
+    def counted(folder: Row, skip: bool) -> DataFrame:
+        n = footer_count(spark, folder["folder"], skip).select(F.col("n").alias("row_count"))
+        fixed = {"schema_name": folder["schema_name"], "table_name": folder["table_name"], "files": folder["files"], "corrupt_skipped": skip}
+        return n.withColumns({c: F.lit(v) for c, v in fixed.items()}).select(*[f.split(" ")[0] for f in schema.split(", ")])
+
+    def all_of(found: list[DataFrame]) -> DataFrame:
+        # halves, so that the plan is as deep as the logarithm of their number
+        while len(found) > 1:
+            found = [a.unionByName(b) for a, b in zip(found[::2], found[1::2])] + found[len(found) & ~1 :]
+        one = ["schema_name", "table_name"]
+        sums = [F.sum("row_count").alias("row_count"), F.sum("files").alias("files"), F.bool_or("corrupt_skipped").alias("corrupt_skipped")]
+        return found[0].groupBy(*one).agg(*sums)
+
+    if not folders:
+        return spark.createDataFrame([], schema)
+    if not skip_corrupt:
+        return all_of([counted(f, False) for f in folders])
+
+    def readable(folder: Row) -> bool:
+        try:
+            footer_count(spark, folder["folder"]).collect()
+        except Exception:
+            return False
+        return True
+
+    with ThreadPoolExecutor(8) as pool:
+        whole = list(pool.map(readable, folders))
+    return all_of([counted(f, not ok) for f, ok in zip(folders, whole)])
 
 
 def rows(spark: SparkSession, data: Sequence[tuple], schema: StructType | str) -> DataFrame:

@@ -62,6 +62,22 @@ def test_row_counts(spark, root):
     assert skipped["full"] == (7, True) and skipped["parts"] == (6, False)
 
 
+def test_row_counts_need_nothing_but_footers(spark, root):
+    base = local(root)
+    spark.range(50).coalesce(1).write.parquet(f"{base}/s/t")
+    before = {k: spark.conf.get(k, None) for k in files.FOOTER_COUNTS}
+    assert {k: spark.conf.get(k, None) for k in files.FOOTER_COUNTS} == before
+    # only the footer is left of the file: its pages are overwritten, and the count is still right
+    part = next(f for f in os.listdir(f"{base}/s/t") if f.endswith(".parquet"))
+    with open(f"{base}/s/t/{part}", "r+b") as data:
+        data.seek(4)
+        data.write(b"\0" * 64)
+    crc = f"{base}/s/t/.{part}.crc"
+    os.path.exists(crc) and os.remove(crc)
+    assert files.row_counts(spark, base).first()["row_count"] == 50
+    assert rows(files.row_counts(spark, base, skip_corrupt=True), "row_count", "corrupt_skipped") == [(50, False)]
+
+
 def test_typed_rows(spark):
     df = files.rows(spark, [("a", 1.5, 2)], "id string, score float, count int")
     assert [f.dataType.simpleString() for f in df.schema] == ["string", "float", "int"]
