@@ -183,6 +183,16 @@ def points_in_polygons(spark, folder):
     return spatial.points_in_polygons(_points(spark, folder), _polygons(spark, folder), 1.0)
 
 
+def points_in_wide_polygons(spark, folder):
+    """Diamonds from narrow to wider than all points, with cells of a thousandth of the widest and less."""
+    n = table(spark, folder, "nation")
+    x, y, half = F.col("n_nationkey") * 4.0, F.col("n_regionkey") * 6.0, F.pow(F.lit(4.0), F.col("n_regionkey"))
+    corner = lambda dx, dy: F.struct((x + dx * half).alias("x"), (y + dy * half).alias("y"))
+    ring = F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1))
+    inside = spatial.points_in_polygons(_points(spark, folder), n.select(F.col("n_nationkey").alias("poly_id"), ring.alias("ring")), 0.25)
+    return inside.groupBy("poly_id").agg(F.count("*").alias("points"), F.sum("point_id").alias("id_sum"))
+
+
 def _places(spark, folder, name, key):
     d = table(spark, folder, name)
     c = name[0]
@@ -228,6 +238,7 @@ QUERIES = {
     "linkage_estimate": linkage_estimate,
     "cells": cells,
     "points_in_polygons": points_in_polygons,
+    "points_in_wide_polygons": points_in_wide_polygons,
     "within": within,
     "polygon_measures": polygon_measures,
 }
@@ -337,6 +348,11 @@ SQL = {
         SELECT o_orderkey AS point_id, n_nationkey AS poly_id FROM orders JOIN nation
           ON abs(o_totalprice / 5000 - n_nationkey * 4.0)
              + abs(date_diff('day', DATE '1995-01-01', o_orderdate::DATE) / 100.0 - n_regionkey * 6.0) <= 3""",
+    "points_in_wide_polygons": """
+        SELECT n_nationkey AS poly_id, count(*) AS points, CAST(sum(o_orderkey) AS BIGINT) AS id_sum FROM orders JOIN nation
+          ON abs(o_totalprice / 5000 - n_nationkey * 4.0)
+             + abs(date_diff('day', DATE '1995-01-01', o_orderdate::DATE) / 100.0 - n_regionkey * 6.0) <= 4 ** n_regionkey
+        GROUP BY n_nationkey""",
     "within": f"""
         WITH a AS (SELECT s_suppkey AS id, s_acctbal / 100 AS lon, s_nationkey * 3.0 - 30 AS lat FROM supplier),
         b AS (SELECT c_custkey AS id, c_acctbal / 100 AS lon, c_nationkey * 3.0 - 30 AS lat FROM customer)

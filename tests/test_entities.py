@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 from itertools import combinations
 
 import pytest
@@ -194,6 +195,53 @@ def test_points_in_polygons_edges(spark):
         assert got == [(1, 0), (2, 0), (3, 0), (6, 1), (7, 1), (8, 2), (9, 2), (12, 0)]
 
 
+def in_ring(ring, x, y):
+    """Even-odd rule with exact fractions; edges count as inside."""
+    x, y = Fraction(x), Fraction(y)
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        ax, ay, bx, by = map(Fraction, (ax, ay, bx, by))
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if cross == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        if (ay > y) != (by > y) and (cross > 0) == (by > ay):
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("res", [0.01, 0.5, 7.0])
+def test_points_in_rings_of_any_size(spark, res):
+    """Wide, narrow, jagged, repeated and negative rings against every point; corners, edges and cell borders among them."""
+    rnd = random.Random(6)
+    star = [(50 + r * math.cos(a), -20 + r * math.sin(a)) for i in range(24) for r, a in [((40, 9)[i % 2], i * math.pi / 12)]]
+    rings = [[(-180, -90), (180, -90), (180, 90), (-180, 90)], star, [(0, 0), (0.001, 0), (0, 0.001)], [(-8, -8), (8, -8), (8, 8), (-8, 8)]]
+    rings += [[(rnd.uniform(-60, 60), rnd.uniform(-60, 60)) for _ in range(5)] for _ in range(4)]
+    spots = [(rnd.uniform(-100, 100), rnd.uniform(-95, 95)) for _ in range(150)]
+    spots += [p for ring in rings for p in ring] + [(0.0, 0.0005), (8.0, 0.0), (8.000001, 0.0), (-8.0, -8.0), (0.5, 0.5), (180.0, 0.0), (0.0, 90.0)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "point_id int, lon double, lat double")
+    got = rows(spatial.points_in_polygons(points, polygon(spark, *rings), res))
+    assert got == sorted((i, k) for i, s in enumerate(spots) for k, ring in enumerate(rings) if in_ring(ring, *s))
+
+
+def test_a_globe_has_a_bounded_cover(spark):
+    globe = [(-180, -90), (180, -90), (180, 90), (-180, 90)]
+    diamond = [(-180, 0), (0, -90), (180, 0), (0, 90)]
+    for ring in (globe, diamond):
+        counts = [spatial.polygon_cover(polygon(spark, ring), res).groupBy("inner").count().collect() for res in (1e-6, 1e-3)]
+        for found in counts:
+            n = {r["inner"]: r["count"] for r in found}
+            assert sum(n.values()) <= 4 * 16**spatial.ROUNDS and n[False] < 1200 and n[True] > 50
+
+
+def test_empty_sides_of_a_polygon_join(spark):
+    points = spark.createDataFrame([(1, 1.0, 1.0)], "point_id int, lon double, lat double")
+    square = polygon(spark, [(0, 0), (2, 0), (2, 2), (0, 2)])
+    assert rows(spatial.points_in_polygons(points.limit(0), square, 1.0)) == []
+    assert rows(spatial.points_in_polygons(points, square.limit(0), 1.0)) == []
+    twice = square.unionByName(square).unionByName(polygon(spark, [(5, 5), (6, 5), (6, 6)]))
+    assert rows(spatial.points_in_polygons(points, twice, 1.0)) == [(1, 0), (1, 0)]
+
+
 def haversine(a, b):
     (lon1, lat1), (lon2, lat2) = [(math.radians(x), math.radians(y)) for x, y in (a, b)]
     h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
