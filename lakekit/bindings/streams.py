@@ -9,6 +9,8 @@ from ..session import scratch_path
 from ..sources.files import stream_path
 from ..streaming.alerts import stream_sustained as run_alerts
 from ..streaming.ingest import Derived, refresh, stream_sentinels, stream_to_table
+from ..streaming import rollups
+from ..streaming.rollups import Rollup
 from ..streaming.upsert import foreach_batch_upsert
 from ..streaming.windows import stream_rate as rate
 from .common import fresh_table, table, zoneless
@@ -104,6 +106,42 @@ def refresh_derived(spark, folder):
     return spark.table(spec.name)
 
 
+def refresh_rollup(spark, folder):
+    """Measures per flag and status from three lots of line items, each read once, merged in between."""
+    lines = table(spark, folder, "lineitem")
+    path = scratch_path(spark, "rollup")
+    spec = Rollup(
+        name=f"default.line_totals_{path[-12:]}",
+        source=f"{path}/in",
+        source_schema=lines.schema,
+        keys=["l_returnflag", "l_linestatus"],
+        measures={
+            "lines": ("count", "*"), "discounted": ("count", "nullif(l_discount, 0)"), "quantity": ("sum", "l_quantity"),
+            "first_ship": ("min", "l_shipdate"), "last_ship": ("max", "l_shipdate"), "tax": ("avg", "l_tax"),
+            "orders": ("distinct", "l_orderkey"), "price": ("quantiles", "l_extendedprice"),
+        },
+        root=path,
+        transform=lambda df: df.filter("l_quantity > 2"),
+    )
+    for lot in range(3):
+        lines.filter(F.col("l_orderkey") % 3 == lot).write.mode("append").parquet(f"{path}/in")
+        rollups.refresh_rollup(spark, spec)
+        if lot == 1:
+            rollups.compact_rollup(spark, spec)
+    exact = table(spark, folder, "lineitem").filter("l_quantity > 2").groupBy("l_returnflag", "l_linestatus")
+    exact = exact.agg(F.count_distinct("l_orderkey").alias("n"), F.percentile("l_extendedprice", [0.05, 0.5, 0.95]).alias("q"))
+    # estimates are compared with what they estimate
+    close = lambda a, b, share: F.abs(a - b) <= share * b
+    near = [close(F.col("price")[i], F.col("q")[i], 0.1) for i in range(3)]
+    return (
+        spark.table(spec.name)
+        .join(exact, ["l_returnflag", "l_linestatus"])
+        .withColumn("estimates", close(F.col("orders"), F.col("n"), 0.05) & near[0] & near[1] & near[2])
+        .withColumn("tax", F.round("tax", 9))
+        .drop("orders", "price", "n", "q")
+    )
+
+
 QUERIES = {
     "stream_append": stream_append,
     "stream_rate": stream_rate,
@@ -112,6 +150,7 @@ QUERIES = {
     "stream_upsert": stream_upsert,
     "stream_sustained": stream_sustained,
     "refresh": refresh_derived,
+    "refresh_rollup": refresh_rollup,
 }
 
 # a window is out once the watermark, ten minutes behind the newest event, has reached its end
@@ -149,5 +188,9 @@ SQL = {
         SELECT event_type, started_at, max(ts) AS ended_at,
                min(ts) FILTER (ts - started_at >= INTERVAL 30 MINUTES) AS fired_at
         FROM started GROUP BY event_type, started_at HAVING NOT bool_or(ts = newest)""",
+    "refresh_rollup": """
+        SELECT l_returnflag, l_linestatus, count(*) AS lines, count(nullif(l_discount, 0)) AS discounted, sum(l_quantity) AS quantity,
+               min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, round(avg(l_tax), 9) AS tax, true AS estimates
+        FROM lineitem WHERE l_quantity > 2 GROUP BY 1, 2""",
     "refresh": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000",
 }
