@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.types import type_kind
 from ..operators import buckets, descriptors, merge, tables
 from ..sources import catalog, files
+from ..session import scratch_path
 from .common import fresh_table, table
 
 # --- writing, replacing, overwriting ------------------------------------------------------------
@@ -138,12 +139,66 @@ def drop_recreate(spark, folder):
 
 def explicit_format(spark, folder):
     """A requested format that does not count: the session's default is used, the rows are the same."""
-    n = table(spark, folder, "nation")
+    o = table(spark, folder, "orders")
     name, root = fresh_table(spark, "formatted")
-    tables.write_table(n, name, "create", root, fmt="csv", honour_explicit=False)
+    tables.write_table(o, name, "create", root, fmt="csv", honour_explicit=False)
     return spark.table(name).withColumn("format", F.lit(catalog.provider(spark, name)))
 
 
+def failed_write(spark, folder):
+    """A replacement that fails on the way: the table keeps its rows, and neither an entry nor files of the failure stay."""
+    o = table(spark, folder, "orders")
+    name, root = fresh_table(spark, "failing")
+    tables.write_table(o.filter(F.col("o_orderstatus") == "F"), name, "create", root)
+    files_before = files.list_files(spark, root).select("path").collect()
+    stop = F.when(F.col("o_orderstatus") == "P", F.raise_error(F.lit("stopped"))).otherwise(F.col("o_totalprice"))
+    try:
+        tables.write_table(o.withColumn("o_totalprice", stop.cast("double")), name, "replace")
+        failed = False
+    except Exception as error:
+        failed = "stopped" in str(error)
+    clean = sorted(files_before) == sorted(files.list_files(spark, root).select("path").collect())
+    single = len(tables.versions(spark, name)) == 1
+    return spark.table(name).withColumns({"failed": F.lit(failed), "cleaned": F.lit(clean and single)})
+
+
+def catalog_listing(spark, folder):
+    """A schema with a table per order status and its run's properties, listed with what they say and hold."""
+    o = table(spark, folder, "orders")
+    root = scratch_path(spark, "catalog")
+    schema = f"shop_{root[-12:]}"
+    states = [r[0] for r in o.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{root}' WITH DBPROPERTIES ('pipeline.last_run_table_count' = '{len(states)}')")
+    for state in states:
+        tables.write_table(o.filter(F.col("o_orderstatus") == state), f"{schema}.orders_{state.lower()}", "create", root)
+    listed = catalog.catalog_tables(spark, [schema])
+    said = catalog.schema_properties(spark, [schema]).select(
+        F.col("name").alias("schema_name"), F.col("properties")["pipeline.last_run_table_count"].cast("int").alias("said_tables")
+    )
+    counts = files.row_counts(spark, root, rf"/({root.rsplit('/', 1)[-1]})/([^/]+)/").select("table_name", "row_count")
+    return listed.join(said, "schema_name").join(counts, "table_name").select("table_name", "table_type", "said_tables", "row_count")
+
+
+def typed_rows(spark, folder):
+    """Orders per priority group of an in-memory table."""
+    groups = files.rows(spark, [("1-URGENT", "soon", 1.5), ("2-HIGH", "soon", 1.0), ("5-LOW", None, 0.25)], "priority string, grp string, weight double")
+    o = table(spark, folder, "orders").join(F.broadcast(groups), F.col("o_orderpriority") == F.col("priority"))
+    return o.groupBy("grp").agg(F.count("*").alias("orders"), F.sum("weight").alias("weight"))
+
+
+def describe_tables(spark, folder):
+    """Descriptors of three tables, with the number of values that each column has."""
+    out = None
+    schemas = {t: table(spark, folder, t) for t in ("orders", "part", "events")}
+    described = descriptors.describe_schema(spark, {t: d.schema for t, d in schemas.items()}, {"orders": ["o_orderstatus"]})
+    for name, d in schemas.items():
+        counts = d.agg(*[F.count(c).alias(c) for c in d.columns]).unpivot([], d.columns, "column_name", "filled")
+        part = counts.withColumn("table_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    columns = ["table_name", "column_name", "type_text", "type_name", "position", "partition_index", "format", "filled"]
+    return described.join(out, ["table_name", "column_name"]).select(*columns)
+
+
 # --- key-wise writes ----------------------------------------------------------------------------
 
 
@@ -385,6 +440,10 @@ QUERIES = {
     "list_files": list_files,
     "drop_recreate": drop_recreate,
     "explicit_format": explicit_format,
+    "failed_write": failed_write,
+    "catalog_listing": catalog_listing,
+    "typed_rows": typed_rows,
+    "describe_tables": describe_tables,
     "append_absent": append_absent,
     "merge_by_key": merge_by_key,
     "merge_touched": merge_touched,
@@ -402,10 +461,39 @@ QUERIES = {
     "orphans": orphans,
 }
 
+def _describe_sql():
+    """Names, types and places are the tables' declared ones; numbers of values are counted."""
+    declared = {
+        "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+        "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+        "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    }
+    kinds = {"BIGINT": "LONG"}
+    rows = []
+    for name, columns in declared.items():
+        for i, (column, kind) in enumerate(c.split(" ") for c in columns.split(", ")):
+            index = "0" if column == "o_orderstatus" else "NULL"
+            rows.append(
+                f"SELECT '{name}' AS table_name, '{column}' AS column_name, '{kind}' AS type_text, '{kinds.get(kind, kind)}' AS type_name, "
+                f"CAST({i} AS INTEGER) AS position, CAST({index} AS INTEGER) AS partition_index, 'parquet' AS format, count({column}) AS filled FROM {name}"
+            )
+    return " UNION ALL ".join(rows)
+
+
 SQL = {
     "list_files": "SELECT DISTINCT l_returnflag, l_linestatus, true AS filled FROM lineitem",
     "drop_recreate": "SELECT * FROM orders WHERE o_orderstatus = 'P'",
-    "explicit_format": "SELECT *, 'parquet' AS format FROM nation",
+    "explicit_format": "SELECT *, 'parquet' AS format FROM orders",
+    "failed_write": "SELECT *, true AS failed, true AS cleaned FROM orders WHERE o_orderstatus = 'F'",
+    "catalog_listing": """
+        SELECT 'orders_' || lower(o_orderstatus) AS table_name, 'VIEW' AS table_type,
+               CAST((SELECT count(DISTINCT o_orderstatus) FROM orders) AS INTEGER) AS said_tables, count(*) AS row_count
+        FROM orders GROUP BY o_orderstatus""",
+    "typed_rows": """
+        SELECT grp, count(*) AS orders, sum(weight) AS weight
+        FROM orders JOIN (VALUES ('1-URGENT', 'soon', 1.5::DOUBLE), ('2-HIGH', 'soon', 1.0), ('5-LOW', NULL, 0.25)) g(priority, grp, weight)
+          ON o_orderpriority = priority GROUP BY grp""",
+    "describe_tables": _describe_sql(),
     "create_replace_roundtrip": "SELECT * FROM orders",
     "bootstrap_append": "SELECT * FROM lineitem",
     "truncate": "SELECT * FROM orders WHERE o_orderstatus = 'P'",

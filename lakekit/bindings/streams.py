@@ -34,6 +34,15 @@ def stream_append(spark, folder):
     return spark.read.schema(kept.schema).parquet(f"{path}/rows")
 
 
+def stream_clean_start(spark, folder):
+    """A stream whose checkpoint and target do not exist yet, below folders that do not either; started twice."""
+    path = f"{scratch_path(spark, 'stream-clean')}/not/there"
+    errors = _stream(spark, folder, "events").filter(F.col("event_type") == "error").select("event_id", "user_id", "value")
+    for _ in range(2):
+        stream_to_table(errors, f"{path}/rows", f"{path}/deeper/checkpoint")
+    return spark.read.schema(errors.schema).parquet(f"{path}/rows")
+
+
 def _rates(spark, folder, window, slide):
     path = scratch_path(spark, "stream-rate")
     rates = rate(_stream(spark, folder, "events"), "event_type", "ts", "value", window, slide)
@@ -144,6 +153,7 @@ def refresh_rollup(spark, folder):
 
 QUERIES = {
     "stream_append": stream_append,
+    "stream_clean_start": stream_clean_start,
     "stream_rate": stream_rate,
     "stream_rate_sliding": stream_rate_sliding,
     "stream_sentinels": stream_sentinel_feed,
@@ -158,6 +168,7 @@ _CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
 
 SQL = {
     "stream_append": "SELECT * EXCLUDE (props) FROM events WHERE event_type <> 'view'",
+    "stream_clean_start": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error'",
     "stream_rate": f"""
         SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start,
                time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES AS window_end, event_type,

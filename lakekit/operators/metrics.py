@@ -361,6 +361,21 @@ def stage_summary(tasks: DataFrame) -> DataFrame:
     )
 
 
+def stage_sketches(tasks: DataFrame) -> DataFrame:
+    """Per application log and stage: `tasks` and `durations`, a quantile sketch of some hundred values that merges.
+
+    To be stored once per run; `merged_quantiles` answers over any of the stored runs.
+    """
+    return tasks.groupBy("app_log", "stage_id").agg(F.count("duration_ms").alias("tasks"), F.kll_sketch_agg_bigint("duration_ms").alias("durations"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str] = ("stage_id",), shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """`by`, `tasks` and `quantiles` (milliseconds, one per share) over the stored sketches; ranks err by about 1.3 %."""
+    merged = sketches.groupBy(*by).agg(F.sum("tasks").alias("tasks"), F.kll_merge_agg_bigint("durations").alias("_merged"))
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
+    return merged.select(*by, "tasks", F.kll_sketch_get_quantile_bigint("_merged", wanted).alias("quantiles"))
+
+
 def job_summary(jobs: DataFrame) -> DataFrame:
     """Per application log: jobs, active, failed and succeeded ones, and total duration."""
     ended = F.col("ended_at").isNotNull()
