@@ -9,17 +9,18 @@ published only while that table is as it was; otherwise `Conflict` is raised and
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import delete_path
+from ..session import delete_path, materialise, scratch_path
 from ..sources.catalog import (
     FILE_FORMATS,
     NAME,
@@ -48,6 +49,8 @@ ROOT_KEY, FORMAT_KEY, PARTITION_KEY, LOCATION_KEY = (
 
 # Fixed value: the property of a table that is refreshed from a stream; a rewrite ends that.
 GENERATION_KEY = "lakekit.generation"
+# partitions that may be named in a filter
+LISTED = 1000
 OWN_KEYS = (TABLE_KEY, ROOT_KEY, FORMAT_KEY, PARTITION_KEY, LOCATION_KEY, GENERATION_KEY)
 
 
@@ -468,52 +471,139 @@ def with_maps(df: DataFrame, schema: StructType) -> DataFrame:
     return df.withColumns({c: F.map_from_entries(F.col(f"`{c}`")) for c in maps}) if maps else df
 
 
+def fingerprints(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`by, n, xor, total`: number of rows and two order-free combinations of their hashes, per value of `by`.
+
+    Rows do not move: every task sends one row per value of `by`. Equal multisets have equal
+    fingerprints; the reverse holds but for a chance of about 2^-64.
+    """
+    flat = without_maps(df)
+    hashed = flat.select(*by, F.xxhash64(*[F.col(f"`{c}`") for c in flat.columns]).alias("_h"))
+    total = F.sum(F.col("_h").cast("decimal(20,0)")).cast("string").alias("total")
+    return hashed.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor("_h").alias("xor"), total)
+
+
+def differing_partitions(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Values of `by` whose rows are not the same multiset on both sides; one row without columns in use if `by` is empty."""
+    sides = fingerprints(left, by).withColumn("_side", F.lit(1)).unionByName(fingerprints(right, by).withColumn("_side", F.lit(-1)))
+    odd = sides.groupBy(*by, "n", "xor", "total").agg(F.sum("_side").alias("_odd")).filter(F.col("_odd") != 0)
+    return odd.select(*by).distinct() if by else odd.select("n").limit(1)
+
+
 def verify_write(expected: DataFrame, name: str, key: Sequence[str] | None = None, exact: bool = False) -> int:
     """Fail unless table `name` holds as many rows as `expected`; returns the count.
 
-    `key` compares the key columns as multisets as well, `exact` all columns.
+    `key` compares the key columns as multisets as well, `exact` all columns. That is done by
+    fingerprints, per partition of the table where its partition columns are compared: both sides are
+    read once and nothing is shuffled but a row per partition. Only the rows of partitions that differ are compared one by one.
     """
-    table = expected.sparkSession.table(name)
+    spark = expected.sparkSession
+    table = spark.table(name)
     wanted, found = expected.count(), table.count()
     if wanted != found:
         raise RuntimeError(f"{name}: expected {wanted} rows, found {found}")
     columns = expected.columns if exact else list(key or ())
-    if columns and multiset_diff(expected.select(*columns), table.select(*columns)).limit(1).count():
-        raise RuntimeError(f"{name}: rows differ in {columns}")
+    if columns:
+        parts = _partitions(view_properties(spark, name)) if view_properties(spark, name).get(TABLE_KEY) else []
+        by = [p for p in parts if p in columns]
+        left, right = expected.select(*columns), table.select(*columns)
+        odd = differing_partitions(left, right, by)
+        values = [tuple(r) for r in odd.limit(LISTED + 1).collect()]
+        if values and by and len(values) <= LISTED:
+            # by literals, so that the scans prune all other partitions
+            same = [reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(by, row)]) for row in values]
+            left, right = (side.filter(reduce(lambda a, b: a | b, same)) for side in (left, right))
+        if values and multiset_diff(left, right).limit(1).count():
+            raise RuntimeError(f"{name}: rows differ in {columns}")
     return found
 
 
-def compact(spark: SparkSession, name: str, target_bytes: int = 256 * 1024 * 1024) -> int:
-    """Rewrite `name` into files of about `target_bytes`; returns how many files were asked for.
+def interleaved(df: DataFrame, columns: Sequence[str], bits: int = 12) -> Column:
+    """Bits of the scaled values of `columns` in turns, the highest first; NULL sorts with the least.
 
-    Unpartitioned rows are dealt round-robin. In a partitioned table every partition value gets
-    as many files as its share of the rows needs, so a value with a third of all rows is written
-    by many tasks. Row counts come from the footers.
+    Rows near each other in this order are near in every column, so files cut along it can be skipped
+    by filters on any of them. Numbers, dates and timestamps; one aggregate over `df` finds their ends.
+    """
+
+    def number(c: str) -> Column:
+        kind, col = df.schema[c].dataType.typeName(), F.col(f"`{c}`")
+        if kind in ("timestamp", "timestamp_ntz"):
+            return F.unix_micros(col.cast("timestamp")).cast("double")
+        return (F.unix_date(col) if kind == "date" else col).cast("double")
+
+    ends = df.agg(*[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("least", F.min), ("most", F.max))]).first()
+    scaled = []
+    for i, c in enumerate(columns):
+        least, most = ends[f"least{i}"], ends[f"most{i}"]
+        span = (most - least) if least is not None and most > least else 1.0
+        level = F.floor((number(c) - F.lit(least or 0.0)) / F.lit(span) * ((1 << bits) - 1))
+        scaled.append(F.coalesce(level, F.lit(0)).cast("bigint"))
+    out = F.lit(0).cast("bigint")
+    for bit in range(bits - 1, -1, -1):
+        for level in scaled:
+            out = F.shiftleft(out, 1).bitwiseOR(F.shiftright(level, bit).bitwiseAND(F.lit(1)))
+    return out
+
+
+def compact(spark: SparkSession, name: str, target_bytes: int = 256 * 1024 * 1024, cluster_by: Sequence[str] = ()) -> int:
+    """Bring the files of `name` to about `target_bytes`; returns how many files were asked for.
+
+    Partitions whose files are well sized (all within a factor of two, or a single smaller one) are
+    left as they are; the others are rewritten in place, so a reader may see the table partition by
+    partition. A table without partitions is left alone or written anew as a version. Every partition
+    value gets as many files as its share of the bytes needs, so a value with a third of all rows is
+    written by many tasks. With `cluster_by`, rows are put into files by the interleaved bits of those
+    columns, and partitions of several files are always rewritten.
     """
     base = base_of(spark, name)
     props = _properties(spark, name)
     parts = _partitions(props)
-    size = list_files(spark, props[LOCATION_KEY]).agg(F.sum("length")).first()[0] or 0
-    table = spark.table(name)
-    wanted = max(1, math.ceil(size / target_bytes))
+    sizes = list_files(spark, props[LOCATION_KEY]).select("length", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"))
+    wrong = F.max(F.col("length")) > 2 * target_bytes
+    small = F.count_if(F.col("length") < target_bytes / 2)
+    crowded = (F.count("*") > 1) & (small > 0) if not cluster_by else F.count("*") > 1
+    folders = sizes.groupBy("folder").agg(F.sum("length").alias("bytes"), (wrong | crowded).alias("wrong")).filter("wrong")
+    wanted = F.greatest(F.ceil(F.col("bytes") / target_bytes), F.lit(1)).cast("int").alias("files")
+    # metadata: one row per partition to rewrite
+    todo = folders.select("folder", wanted).collect()
+    if not todo:
+        return 0
+    table = current(spark, name)
+    order = interleaved(table, cluster_by) if cluster_by else None
+    asked = sum(r["files"] for r in todo)
     if not parts:
-        spread = table.repartition(wanted)
-    else:
-        counts = table.groupBy(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(parts)]).agg(F.count("*").alias("_n"))
-        total = table.count()
-        share = F.ceil(F.col("_n") * F.lit(size / max(total, 1) / target_bytes))
-        sized = counts.select(*[f"_p{i}" for i in range(len(parts))], F.greatest(share, F.lit(1)).alias("_files"))
-        wanted = sized.agg(F.sum("_files")).first()[0] or 1
-        same = F.lit(True)
-        for i, p in enumerate(parts):
-            same = same & F.col(p).eqNullSafe(F.col(f"_p{i}"))
+        spread = table.repartition(asked) if order is None else table.withColumn("_order", order).repartitionByRange(asked, "_order").sortWithinPartitions("_order").drop("_order")
+        _write_version(spread, name, props[ROOT_KEY], props[FORMAT_KEY], parts, rebalance=False, base=base)
+        return asked
+    first = [0, *accumulate(r["files"] for r in todo)]
+    place = spark.createDataFrame([(r["folder"], r["files"], at) for r, at in zip(todo, first)], "_folder string, _files int, _first int")
+    # as listings write it: names as they are, one slash behind the scheme of local files
+    written = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(F.regexp_replace(written, "^file:/+", "file:/"), r"^(.*)/[^/]*$", 1)
+    # the few partitions to rewrite are known by folder; the values of their rows prune the scan
+    values = [tuple(r) for r in table.withColumn("_folder", folder).join(F.broadcast(place), "_folder").select(*parts).distinct().limit(LISTED + 1).collect()]
+    chosen = table.withColumn("_folder", folder)
+    if len(values) <= LISTED:
+        same = [reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, row)]) for row in values]
+        chosen = chosen.filter(reduce(lambda a, b: a | b, same))
+    path = scratch_path(spark, "compact")
+    try:
         # rows of a scan keep their order when a task is re-run, so the deal is repeatable
-        dealt = table.withColumn("_deal", F.monotonically_increasing_id()).join(sized, same)
-        spread = dealt.repartition(
-            int(wanted), *parts, F.pmod(F.col("_deal"), F.col("_files"))
-        ).select(*table.columns)
-    _write_version(spread, name, props[ROOT_KEY], props[FORMAT_KEY], parts, rebalance=False, base=base)
-    return int(wanted)
+        deal = (F.col("_first") + F.pmod(F.monotonically_increasing_id(), F.col("_files"))).cast("int") if order is None else order
+        dealt = chosen.join(F.broadcast(place), "_folder").withColumn("_deal", deal).drop("_folder")
+        stored = materialise(dealt, path)
+        if order is None:
+            spread = stored.repartitionById(asked, F.col("_deal"))
+        else:
+            spread = stored.repartitionByRange(asked, *parts, "_deal").sortWithinPartitions(*parts, "_deal")
+        if base_of(spark, name) != base:
+            raise Conflict(f"{name} has changed meanwhile")
+        _save(spread.select(*table.columns), props[FORMAT_KEY], props[LOCATION_KEY], parts, False, mode="overwrite")
+        spark.catalog.refreshTable(props[TABLE_KEY])
+        spark.catalog.refreshTable(name)
+    finally:
+        delete_path(spark, path)
+    return asked
 
 
 def convert(spark: SparkSession, name: str, fmt: str) -> None:
