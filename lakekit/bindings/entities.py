@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, cell
 from ..operators import graph, linkage, spatial
+from ..session import materialise, scratch_path
 from .common import table
 
 # --- graph --------------------------------------------------------------------------------------
@@ -68,6 +69,20 @@ def components_hubs(spark, folder):
     return graph.connected_components(nodes, edges)
 
 
+def components_added(spark, folder):
+    """The customers' chains in two steps: labels of three links of four are stored, the others join them."""
+    c = table(spark, folder, "customer")
+    nodes = c.select(F.col("c_custkey").alias("id"))
+    key = F.col("c_custkey")
+    links = c.filter(F.col("c_acctbal") >= 0).select(key.alias("src"), (key + 1).alias("dst"))
+    whole, _ = graph.split_edges(nodes, links)
+    old = nodes.filter(F.col("id") % 10 != 7)
+    first, _ = graph.split_edges(old, whole.filter(F.col("src") % 4 != 0))
+    labels = graph.connected_components(old, first)
+    labels = materialise(labels, scratch_path(spark, "labels"))
+    return graph.merge_components(labels, nodes, whole.join(first, ["src", "dst"], "left_anti"))
+
+
 # --- record linkage -----------------------------------------------------------------------------
 
 
@@ -98,6 +113,25 @@ def blocking_keys(spark, folder):
     )
 
 
+def blocking_sounds(spark, folder):
+    """Parts by the sound of both words of their name, and by cells of price and size."""
+    p = table(spark, folder, "part")
+    rules = {
+        "sound": linkage.phonetic(F.col("p_name")),
+        "last": linkage.phonetic(F.split("p_name", " ")[1]),
+        "place": linkage.cell_keys(F.col("p_retailprice") / 100, F.col("p_size").cast("double"), 4.0),
+    }
+    return linkage.blocking_keys(p, "p_partkey", rules)
+
+
+def linkage_sounds(spark, folder):
+    """Pairs of parts of a size with a level for names that sound alike."""
+    p = table(spark, folder, "part").withColumnRenamed("p_partkey", "id")
+    keys = linkage.blocking_keys(p, "id", {"size": F.col("p_size")})
+    pairs = linkage.candidate_pairs(keys, p.select("id", "p_name"), "p_name", 2)
+    return linkage.compare(pairs, p, {"p_name": ["exact", "phonetic", ("edit", 1)]})
+
+
 def block_sizes(spark, folder):
     return linkage.block_sizes(blocking_keys(spark, folder), above=100)
 
@@ -227,8 +261,11 @@ QUERIES = {
     "graph_dangling": graph_dangling,
     "components": components,
     "components_hubs": components_hubs,
+    "components_added": components_added,
     "normalise_names": normalise_names,
     "blocking_keys": blocking_keys,
+    "blocking_sounds": blocking_sounds,
+    "linkage_sounds": linkage_sounds,
     "block_sizes": block_sizes,
     "linkage_pairs": linkage_pairs,
     "linkage_pairs_repeated": linkage_pairs_repeated,
@@ -284,6 +321,24 @@ _DISTANCE = f"""2 * {EARTH_RADIUS_M} * asin(sqrt(least(1.0,
     pow(sin(radians(b.lat - a.lat) / 2), 2)
     + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"""
 
+def _sound(text):
+    """The phonetic code by its rules in SQL."""
+    code = f"regexp_replace(upper({text}), '[^A-Z]', '', 'g')"
+    for pattern, sound in linkage.SOUND_RULES:
+        code = f"regexp_replace({code}, '{pattern}', '{sound.replace('$', chr(92))}', 'g')"
+    code = f"list_transform([{code}], lambda x: left(x, 1) || regexp_replace(substr(x, 2), '{linkage.DROPPED}', '', 'g'))[1]"
+    for letter in linkage.DOUBLED:
+        code = f"regexp_replace({code}, '{letter}{letter}+', '{letter}', 'g')"
+    return f"nullif({code}, '')"
+
+
+_SIZE_KEYS = "keys AS (SELECT p_partkey AS id, 'size' AS rule, CAST(p_size AS VARCHAR) AS block, p_name AS value FROM part)"
+_CELLS = ", ".join(
+    f"CAST(CAST(floor((p_retailprice / 100 + {dx}) / 4) AS BIGINT) * 4294967296 + CAST(floor((p_size + {dy}) / 4) AS BIGINT) + 2147483648 AS VARCHAR)"
+    for dx in (-2.0, 2.0)
+    for dy in (-2.0, 2.0)
+)
+
 SQL = {
     "graph_nodes": f"WITH {_NODES} SELECT * FROM nodes",
     "graph_edges": f"""
@@ -302,6 +357,20 @@ SQL = {
     "components_hubs": """
         SELECT 1000000000 + c_custkey AS id, CAST(c_nationkey AS BIGINT) AS component FROM customer
         UNION ALL SELECT 1000000000000 + o_orderkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "components_added": """
+        WITH numbered AS (
+            SELECT c_custkey, coalesce(sum(CAST(c_acctbal < 0 AS INTEGER)) OVER (
+                ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM customer)
+        SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY part) AS component FROM numbered""",
+    "blocking_sounds": f"""
+        SELECT p_partkey AS id, 'sound' AS rule, {_sound('p_name')} AS block FROM part
+        UNION ALL SELECT p_partkey, 'last', {_sound("split_part(p_name, ' ', 2)")} FROM part
+        UNION ALL SELECT p_partkey, 'place', unnest(list_distinct([{_CELLS}])) FROM part""",
+    "linkage_sounds": f"""
+        WITH {_pairs(_SIZE_KEYS, 2)}
+        SELECT l, r, kind, CASE WHEN a.p_name = b.p_name THEN 3 WHEN {_sound('a.p_name')} = {_sound('b.p_name')} THEN 2
+                                WHEN levenshtein(a.p_name, b.p_name) <= 1 THEN 1 ELSE 0 END AS p_name_level
+        FROM pairs JOIN part a ON a.p_partkey = l JOIN part b ON b.p_partkey = r""",
     "normalise_names": """
         WITH parts AS (
             SELECT *, upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b

@@ -112,3 +112,42 @@ def connected_components(
     roots = state.select(F.col("u").alias("id"), F.col("v").alias("_root"))
     ids = nodes.select("id").distinct()
     return ids.join(roots, "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
+
+
+def component_changes(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """`(component, merged)`: components of stored `labels (id, component)` that new edges join to a smaller one.
+
+    Only the ends of the new edges are looked up, and the union runs over the components that they
+    touch, so the rounds follow the new edges and not the graph. An end without a label is a
+    component of its own. Both columns are smallest vertex ids, as in `connected_components`.
+    """
+    spark = labels.sparkSession
+    ends = edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    ends = materialise(ends, scratch_path(spark, "new-edges"))
+    touched = ends.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    # the labels' side is scanned where it is when the ends are few
+    known = materialise(labels.select("id", "component").join(touched, "id", "left_semi"), scratch_path(spark, "touched"))
+    for side in ("src", "dst"):
+        named = known.select(F.col("id").alias(side), F.col("component").alias("_label"))
+        ends = ends.join(named, side, "left").withColumn(side, F.coalesce("_label", side)).drop("_label")
+    lifted = materialise(ends.filter(F.col("src") != F.col("dst")).distinct(), scratch_path(spark, "lifted"))
+    merged = connected_components(lifted.select(F.explode(F.array("src", "dst")).alias("id")), lifted)
+    return merged.filter(F.col("id") != F.col("component")).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+
+
+def merge_components(labels: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`(id, component)` of the graph with new `nodes (id)` and `edges` added, from the labels before them.
+
+    Equals `connected_components` of the whole graph when components are labelled by smallest ids. Old
+    edges are not needed. Stored labels are read once and meet one small row per component that
+    changed, of which Spark sends a copy to every task while they are few.
+    """
+    spark = labels.sparkSession
+    changes = materialise(component_changes(labels, edges), scratch_path(spark, "changes"))
+    new = nodes.select("id").distinct().join(labels.select("id"), "id", "left_anti").withColumn("component", F.col("id"))
+    return (
+        labels.select("id", "component")
+        .unionByName(new)
+        .join(changes, "component", "left")
+        .select("id", F.coalesce("merged", "component").alias("component"))
+    )

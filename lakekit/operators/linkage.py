@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from ..functions.geo import cell
+from .graph import connected_components, merge_components
 from .skew import lookup_join
 
 # Words that are not part of a name.
@@ -94,8 +95,43 @@ def normalise_names(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+# Rules of the phonetic code, applied in this order to the letters A-Z of a name: silent letters at
+# the ends, groups of letters that sound as one, soft and hard letters, voiced and voiceless ones.
+# 0 stands for TH and X for SH. No rule looks behind or ahead, so SQL engines can apply them too.
+SOUND_RULES = (
+    ("^[KGP]N", "N"), ("^WR", "R"), ("^PS", "S"), ("^X", "S"), ("^WH", "W"), ("MB$", "M"), ("GN$", "N"),
+    ("SCH", "SK"), ("TCH", "1"), ("CH|SH", "1"), ("[ST]I([AO])", "1$1"), ("X", "KS"), ("1", "X"),
+    ("PH", "F"), ("GHT", "T"), ("GH", ""), ("TH", "0"), ("DG([EIY])", "J$1"), ("G([EIY])", "J$1"), ("C([EIY])", "S$1"),
+    ("CK|[CQG]", "K"), ("Z", "S"), ("V", "F"), ("D", "T"), ("P", "B"), ("^[AEIOUY]+", "A"),
+)
+# silent inside a word, or vowels
+DROPPED = "[AEIOUYWH]"
+DOUBLED = "BFJKLMNRSTX0"
+
+
 def phonetic(col: Column) -> Column:
-    return F.soundex(col)
+    """Code of how a name sounds: its first letter, vowels as A, then its consonants by `SOUND_RULES`, single.
+
+    NULL for a text without a letter. Names that differ in vowels, doubled or silent letters, or in
+    ways to write a sound get one code.
+    """
+    code = F.regexp_replace(clean_name(col.cast("string")), "[^A-Z]", "")
+    for pattern, sound in SOUND_RULES:
+        code = F.regexp_replace(code, pattern, sound)
+    code = F.concat(F.substring(code, 1, 1), F.regexp_replace(F.substring(code, 2, 1 << 20), DROPPED, ""))
+    for letter in DOUBLED:
+        code = F.regexp_replace(code, f"{letter}{letter}+", letter)
+    return F.when(code != "", code)
+
+
+def cell_keys(lon: Column, lat: Column, res: float) -> Column:
+    """Grid cells, as texts, that a place shares with every place at most `res / 2` away on either axis; one to four.
+
+    NULL without a place.
+    """
+    half = res / 2
+    corners = [cell(lon + dx, lat + dy, res).cast("string") for dx in (-half, half) for dy in (-half, half)]
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.array_sort(F.array_distinct(F.array(*corners))))
 
 
 def prefix(col: Column, n: int) -> Column:
@@ -103,10 +139,18 @@ def prefix(col: Column, n: int) -> Column:
 
 
 def blocking_keys(df: DataFrame, id_col: str, rules: Mapping[str, Column]) -> DataFrame:
-    """`(id, rule, block)`: one row per record and rule whose key is not NULL."""
-    keys = [F.struct(F.lit(n).alias("rule"), c.cast("string").alias("block")) for n, c in rules.items()]
+    """`(id, rule, block)`: one row per record and rule whose key is not NULL; a rule may give an array of keys."""
+    kinds = df.select(*[c.alias(n) for n, c in rules.items()]).schema
+    many = {n: c if kinds[n].dataType.typeName() == "array" else F.array(c) for n, c in rules.items()}
+
+    def of(rule: str, blocks: Column) -> Column:
+        return F.transform(blocks.cast("array<string>"), lambda block: F.struct(F.lit(rule).alias("rule"), block.alias("block")))
+
+    of_rule = [of(n, c) for n, c in many.items()]
+    none = F.array().cast("array<struct<rule:string,block:string>>")
+    keys = F.flatten(F.array(*[F.coalesce(k, none) for k in of_rule]))
     return (
-        df.select(F.col(id_col).alias("id"), F.explode(F.array(*keys)).alias("k"))
+        df.select(F.col(id_col).alias("id"), F.explode(keys).alias("k"))
         .select("id", "k.rule", "k.block")
         .filter(F.col("block").isNotNull())
     )
@@ -183,7 +227,7 @@ def level(a: Column, b: Column, steps: Sequence[str | tuple[str, int]]) -> Colum
         if step == "exact":
             holds = a == b
         elif step == "phonetic":
-            holds = F.soundex(a.cast("string")) == F.soundex(b.cast("string"))
+            holds = phonetic(a) == phonetic(b)
         else:
             holds = F.levenshtein(a.cast("string"), b.cast("string"), step[1]) >= 0
         out = out.when(holds, F.lit(len(steps) - i))
@@ -273,3 +317,10 @@ def resolve(records: DataFrame, pairs: DataFrame, threshold: float | None = None
     accepted = pairs if threshold is None else pairs.filter(F.col("weight") >= threshold)
     edges = accepted.select(F.col("l").alias("src"), F.col("r").alias("dst"))
     return connected_components(records.select("id"), edges, path).withColumnRenamed("component", "entity")
+
+
+def resolve_more(entities: DataFrame, records: DataFrame, pairs: DataFrame, threshold: float | None = None) -> DataFrame:
+    """`(id, entity)` after new records and pairs, from the `entities` known before them; see `merge_components`."""
+    accepted = pairs if threshold is None else pairs.filter(F.col("weight") >= threshold)
+    edges = accepted.select(F.col("l").alias("src"), F.col("r").alias("dst"))
+    return merge_components(entities.withColumnRenamed("entity", "component"), records.select("id"), edges).withColumnRenamed("component", "entity")

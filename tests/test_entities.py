@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakekit.operators import graph, linkage, skew, spatial
+from lakekit.session import materialise, scratch_path
 
 # --- graph --------------------------------------------------------------------------------------
 
@@ -274,3 +275,57 @@ def test_polygon_measures(spark):
     r = {x.poly_id: x for x in spatial.polygon_measures(polygon(spark, [(0, 0), (3, 0), (3, 4)], [(1, 1)])).collect()}
     assert (r[0].area, r[0].perimeter) == (6.0, 12.0) and r[0].compactness == pytest.approx(4 * math.pi * 6 / 144)
     assert r[1].area == 0 and r[1].compactness is None
+
+
+def test_names_that_sound_alike_share_a_code(spark):
+    alike = [("Catherine", "Kathryn"), ("Philip", "Filip"), ("Knight", "Night"), ("Smith", "Smyth"), ("Wright", "Right"), ("Phillips", "Filips"),
+             ("Thomson", "Thompson".replace("p", "")), ("Schmidt", "Skmitt"), ("Jeffrey", "Geoffrey"), ("Lamb", "Lam"), ("Xavier", "Zavier"),
+             ("Müller", "Muller"), ("Bridget", "Brijet"), ("O'Hara", "OHARA"), ("Stephen", "Steven")]
+    apart = [("Smith", "Jones"), ("Karl", "Earl"), ("Bond", "Fond"), ("Robert", "Rolbert"), ("Tate", "Thate"), ("Mason", "Nason")]
+    for pairs, same in ((alike, True), (apart, False)):
+        df = spark.createDataFrame(pairs, "a string, b string")
+        got = df.select("a", "b", linkage.phonetic(F.col("a")).alias("x"), linkage.phonetic(F.col("b")).alias("y")).collect()
+        assert [r for r in got if (r.x == r.y) != same] == []
+    none = spark.createDataFrame([(None,), ("",), ("123 -",)], "a string")
+    assert rows(none.select(linkage.phonetic(F.col("a")).alias("x"))) == [(None,)] * 3
+
+
+def test_places_nearby_share_a_cell(spark):
+    rnd = random.Random(9)
+    spots = [(rnd.uniform(-5, 5), rnd.uniform(-5, 5)) for _ in range(120)] + [(0.0, 0.0), (1.0, 1.0), (2.0, -2.0)]
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)] + [(999, None, 1.0)], "id int, lon double, lat double")
+    keys = linkage.blocking_keys(df, "id", {"place": linkage.cell_keys(F.col("lon"), F.col("lat"), 2.0)})
+    blocks = {}
+    for r in keys.collect():
+        blocks.setdefault(r["id"], set()).add(r["block"])
+    assert 999 not in blocks and max(map(len, blocks.values())) <= 4
+    for i, a in enumerate(spots):
+        for j, b in enumerate(spots):
+            if abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1:
+                assert blocks[i] & blocks[j]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_added_edges_give_the_components_of_the_whole(spark, seed):
+    rnd = random.Random(seed)
+    edge = lambda: (rnd.randrange(60), rnd.randrange(60))
+    old, new = [edge() for _ in range(25)], [edge() for _ in range(12)] + [(200, 201), (201, 5), (300, 300)]
+    frame = lambda e: spark.createDataFrame(e, "src long, dst long")
+    known = spark.range(50).filter("id % 9 <> 2")
+    inside = graph.split_edges(known, frame(old))[0]
+    labels = materialise(graph.connected_components(known, inside), scratch_path(spark, "labels"))
+    nodes = spark.range(60).unionByName(spark.createDataFrame([(200,), (201,), (300,)], "id long"))
+    merged = graph.merge_components(labels, nodes, frame(old + new))
+    assert rows(merged) == rows(graph.connected_components(nodes, frame(old + new)))
+    # no new edge between components, nothing to change
+    assert graph.component_changes(labels, inside).count() == 0
+    touched = {n for e in new[:1] for n in e}
+    assert graph.component_changes(labels, frame(new[:1])).count() <= len(touched)
+
+
+def test_entities_grow_with_new_pairs(spark):
+    records = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
+    first = spark.createDataFrame([(1, 2, 9.0), (3, 4, 1.0)], "l long, r long, weight double")
+    entities = materialise(linkage.resolve(records.filter("id < 6"), first, 5.0), scratch_path(spark, "entities"))
+    more = spark.createDataFrame([(2, 6, 9.0), (6, 7, 9.0), (5, 1, 0.1)], "l long, r long, weight double")
+    assert rows(linkage.resolve_more(entities, records, more, 5.0)) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 1), (7, 1)]
