@@ -31,6 +31,8 @@ SCALE = 1 << 24
 MOST_LABELS = 10_000
 UNKNOWN = "und"
 
+# Distinct n-grams of a slice whose vectors are held together; beyond, every text makes its own in blocks.
+MOST_GRAMS = 1 << 15
 _LETTERS: list[np.ndarray] = []
 _VECTORS: dict[int, np.ndarray] = {}
 
@@ -130,6 +132,14 @@ def learn(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> P
     return Profiles([k for k, _ in got], vectors / np.where(size > 0, size, 1))
 
 
+def _bundled(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weighted sum of n-gram vectors, made some thousand n-grams at a time."""
+    out = np.zeros(DIMENSIONS, dtype=np.float64)
+    for begin in range(0, len(grams), 4096):
+        out += counts[begin : begin + 4096].astype(np.float32) @ gram_vectors(grams[begin : begin + 4096]).astype(np.float32)
+    return out
+
+
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", label_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Adds the label of the nearest prototype and the cosine with it, 0 at least."""
     if text_col in (label_col, score_col):
@@ -145,10 +155,13 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", label_
             found = list(_counted(part.column(at).to_pylist())) if len(prototypes) else []
             if found:
                 grams, where = np.unique(np.concatenate([g for _, g, _ in found]), return_inverse=True)
-                vectors = gram_vectors(grams).astype(np.float32)
+                shared = gram_vectors(grams).astype(np.float32) if len(grams) <= MOST_GRAMS else None
                 begin = 0
                 for i, mine, counts in found:
-                    bundled = counts.astype(np.float32) @ vectors[where[begin : begin + len(mine)]]
+                    if shared is None:
+                        bundled = _bundled(mine, counts)
+                    else:
+                        bundled = counts.astype(np.float32) @ shared[where[begin : begin + len(mine)]]
                     begin += len(mine)
                     size = float(np.linalg.norm(bundled))
                     if size > 0:

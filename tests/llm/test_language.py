@@ -67,3 +67,26 @@ def test_held_out_accuracy(spark):
 def test_null_ids_are_in_no_part(spark):
     docs = spark.createDataFrame([(None, "text", "en", None, 0)], DOCS)
     assert docs.select(language.remainder(F.col("doc_id"))).first()[0] is None
+
+
+def test_texts_in_wide_alphabets_take_bounded_memory(spark, monkeypatch):
+    """Hundreds of thousands of distinct letters in one text, with and without the shared table: same answers."""
+    wide = "".join(chr(0x4E00 + (i * 7919) % 20000) + chr(0xAC00 + (i * 104729) % 11000) for i in range(150_000))
+    rows = [(1, "the house and the tree", "en"), (2, "das haus und der baum", "de"), (3, wide[:2000], "xx"), (4, wide, None), (5, "the tree", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    profiles = language.learn(docs)
+    assert len(np.unique([hash(wide[i : i + 3]) for i in range(0, len(wide), 1)])) > 250_000
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 5)) for r in language.identify(docs, profiles).collect()}
+    assert got[4][0] == "xx" and got[5][0] == "en"
+    peak = 0
+    whole = language.gram_vectors
+
+    def watched(grams):
+        nonlocal peak
+        peak = max(peak, len(grams))
+        return whole(grams)
+
+    monkeypatch.setattr(language, "gram_vectors", watched)
+    (i, grams, counts), = language._counted([wide])
+    language._bundled(grams, counts)
+    assert len(grams) > 250_000 and peak <= 4096
