@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import light, pieces
 
@@ -257,11 +257,23 @@ class Encoder:
     def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of distinct parts, in their order."""
         matches = self._matches if self.plain else self.pattern.findall
-        matched = [[m.encode("utf-8") for m in matches(p)] for p in parts]
-        words = list({w for found in matched for w in found}.difference(self.whole))
-        ids = dict(zip(words, self.merger.encode(words)))
-        whole = self.whole
-        return {p: b"".join([whole.get(w) or ids[w] for w in found]) for p, found in zip(parts, matched)}
+        cut: dict[str, bytes | list[bytes]] = {}
+        words: set[bytes] = set()
+        for part in parts:
+            # most parts are one word behind a space, which is one match
+            if self.plain and part[:1] == " " and part[1:].isalpha():
+                cut[part] = word = part.encode("utf-8")
+                words.add(word)
+            else:
+                cut[part] = found = [m.encode("utf-8") for m in matches(part)]
+                words.update(found)
+        words.difference_update(self.whole)
+        listed = list(words)
+        ids = dict(zip(listed, self.merger.encode(listed)))
+        whole = self.whole.get
+        return {
+            p: (whole(c) or ids[c]) if type(c) is bytes else b"".join([whole(w) or ids[w] for w in c]) for p, c in cut.items()
+        }
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
@@ -368,3 +380,33 @@ def digests(encoded: DataFrame, rank_file: bytes, ids_col: str = "token_ids") ->
     )
     decoded = decode(counted, rank_file, ids_col, "_decoded")
     return decoded.withColumn("decoded_sha256", F.sha2("_decoded", 256)).drop("_decoded", ids_col)
+
+
+def encoded_digests(docs: DataFrame, rank_file: bytes, pattern: str, text_col: str = "text") -> DataFrame:
+    """The columns of `docs` but the text, and `n_tokens`, `ids_sha256`, `decoded_sha256` as `digests` gives them.
+
+    Texts are encoded, and their ids decoded again, in one pass, so neither ids nor texts are sent back.
+    """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [c for c in docs.columns if c not in (text_col, *names)]
+    held = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`"))
+    schema = StructType([*held.schema.fields[:-1], StructField(names[0], LongType()), *[StructField(n, StringType()) for n in names[1:]]])
+    at = len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = _encoder(rank_file, pattern), _decoder(rank_file)
+        number = [b"%d" % i for i in range(len(table))]
+        try:
+            for part in pieces(batches, at):
+                counts, ids_of, back = [], [], []
+                for coded in encoder.encode([t or "" for t in part.column(at).to_pylist()]):
+                    ids = np.frombuffer(coded, dtype="<i4").tolist()
+                    counts.append(len(ids))
+                    ids_of.append(hashlib.sha256(b" ".join(map(number.__getitem__, ids))).hexdigest())
+                    back.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
+                new = [pa.array(counts, pa.int64()), pa.array(ids_of, pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*kept, *names])
+        finally:
+            encoder.seen = {}
+
+    return held.mapInArrow(light(run), schema)

@@ -49,10 +49,8 @@ def op3_hyper_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = rank_file()
     docs = documents(spark, folder).select("doc_id", "text")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe.digests(coded.drop("text"), ranks)
+    return bpe.encoded_digests(docs, rank_file(), public_tokenizers.PATTERN)
 
 
 def op5_license_join(spark: SparkSession, folder: str) -> DataFrame:

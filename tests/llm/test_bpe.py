@@ -75,3 +75,12 @@ def test_round_trip_and_clashing_names(spark, reference):
 
 def test_empty_table(spark):
     assert bpe.digests(bpe.encode(empty_docs(spark), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
+def test_digests_in_one_pass_are_those_of_two(spark):
+    docs = hard_docs(spark).withColumnRenamed("lang", "n_tokens")
+    two = bpe.digests(bpe.encode(docs.drop("n_tokens"), RANKS, public_tokenizers.PATTERN), RANKS).drop("text")
+    one = bpe.encoded_digests(docs, RANKS, public_tokenizers.PATTERN)
+    key = lambda r: str(r)
+    assert sorted(map(tuple, one.select(*two.columns).collect()), key=key) == sorted(map(tuple, two.collect()), key=key)
+    assert bpe.encoded_digests(empty_docs(spark), RANKS, public_tokenizers.PATTERN).count() == 0
