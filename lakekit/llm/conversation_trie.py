@@ -11,7 +11,7 @@ there the turns get dense ids and the paths are packed into BASE and CHECK array
 them, and the nodes' aggregates are added up from the leaves. What the shards hand up is grouped by
 upper node before it moves, and the small tree of upper nodes is added up once.
 
-The MD5 over the ids of all conversations that end at a node is one sequence by its definition; ids
+The SHA-256 over the ids of all conversations that end at a node is one sequence by its definition; ids
 are strung together in blocks of 4,096 numbers first, and one task reads those strings in order.
 
 Null role and text are empty; rows without conversation id belong to none; repeated rows are turns of
