@@ -3,10 +3,12 @@
 The template step is an exact set-similarity join of templates with blocks. For a template of n words
 a block is every run of `STRETCH * n` consecutive words of a text; it meets the template when it holds
 a share `threshold` of its distinct words or more. The frequencies of the templates' words are counted
-over all documents and put every template's words in one order, rare ones first. A text without one
-of a template's first words has no such block (prefix filter); nor has one with too few of the
-template's distinct words (length filter). In the texts that are left every run is counted exactly;
-places in the order prune nothing more, since a run with enough words holds one of the first ones.
+over all documents and put every template's words in one order, rare ones first. A block that holds
+enough words holds one of the first ones, so blocks are looked for only around places of these (prefix
+filter), and only in texts with enough of the template's distinct words (length filter). Such a place
+stands for the blocks in which its word is the first in the order: all words before it are missing
+there, and the words behind it are looked up in order within reach of the place until too many are
+missing (positional filter). What is left is counted exactly.
 
 Templates are a list given as a parameter, so their words and frequencies are of bounded size. Null
 texts are empty: no words, no labels, score 0. Rows are kept as they are. An empty table gives an
@@ -17,9 +19,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,8 +118,15 @@ def prepared(templates: Sequence[tuple[str, str]], often: Mapping[bytes, int], t
     return out
 
 
+class Block(NamedTuple):
+    template: int
+    share: float  # of the template's distinct words, in its best run
+    start: int
+    end: int  # exclusive, in words
+
+
 class Matcher:
-    """Templates by the words of their prefixes."""
+    """Templates by the words of their prefixes; counts what its filters leave."""
 
     def __init__(self, templates: Sequence[Template], phrases: Mapping[str, str]):
         self.templates = templates
@@ -124,8 +135,9 @@ class Matcher:
             for word in t.words[: t.prefix]:
                 self.index[word].append(k)
         self.marks = frozenset(self.index)
-        self.places = [{w: i for i, w in enumerate(t.words)} for t in templates]
+        self.vocabulary = frozenset(w for t in templates for w in t.words)
         self.phrases = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in phrases.items()]
+        self.seen = Counter()  # places of prefix words, those left by position, words counted
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:
         """Word places where a phrase stands, and its label."""
@@ -140,38 +152,76 @@ class Matcher:
                 at = line.find(phrase, at + 1)
         return sorted(out)
 
-    def blocks(self, words: list[bytes]) -> dict[int, tuple[float, int]]:
-        """Templates that a run of `words` holds: the best share, and where the first run with it begins."""
-        there = set(words)
-        out = {}
-        for k in {k for w in there & self.marks for k in self.index[w]}:
-            t, places = self.templates[k], self.places[k]
-            if len(there.intersection(t.words)) < t.least:
-                continue
-            hits = [(i, places[w]) for i, w in enumerate(words) if w in places]
-            best = self._best_run(hits, t)
-            if best:
-                out[k] = best
+    def blocks(self, words: list[bytes]) -> list[Block]:
+        """All blocks of `words`; runs that overlap are one block."""
+        there = self.vocabulary.intersection(words)
+        near = {k for w in there & self.marks for k in self.index[w]}
+        near = [k for k in sorted(near) if len(there.intersection(self.templates[k].words)) >= self.templates[k].least]
+        if not near:
+            return []
+        places: dict[bytes, list[int]] = defaultdict(list)
+        wanted = {w for k in near for w in self.templates[k].words}
+        for i, word in enumerate(words):
+            if word in wanted:
+                places[word].append(i)
+        out = []
+        for k in near:
+            found = [places.get(w, ()) for w in self.templates[k].words]
+            for begin, end in self._regions(found, self.templates[k]):
+                out += [Block(k, *b) for b in self._runs(found, self.templates[k], begin, end)]
         return out
 
+    def _regions(self, found: Sequence[Sequence[int]], t: Template) -> list[tuple[int, int]]:
+        """Stretches of words within reach of a prefix word that the positional filter leaves, joined if they meet."""
+        left = []
+        for first in range(t.prefix):
+            for at in found[first]:
+                self.seen["places"] += 1
+                if self._may_hold(found, t, first, at):
+                    left.append(at)
+        self.seen["left"] += len(left)
+        regions: list[tuple[int, int]] = []
+        for at in sorted(left):
+            begin, end = at - t.run + 1, at + t.run
+            if regions and begin <= regions[-1][1]:
+                regions[-1] = regions[-1][0], end
+            else:
+                regions.append((begin, end))
+        return regions
+
     @staticmethod
-    def _best_run(hits: list[tuple[int, int]], t: Template) -> tuple[float, int] | None:
-        """Slides over the template's words in a text, with a count of each in the run."""
+    def _may_hold(found: Sequence[Sequence[int]], t: Template, first: int, at: int) -> bool:
+        """Whether a run with place `at`, in which word `first` is the first in the order, may hold enough."""
+        matched = 1
+        for word in range(first + 1, len(t.words)):
+            if matched + len(t.words) - word < t.least:
+                return False
+            near = bisect_left(found[word], at - t.run + 1)
+            matched += near < len(found[word]) and found[word][near] < at + t.run
+        return matched >= t.least
+
+    def _runs(self, found: Sequence[Sequence[int]], t: Template, begin: int, end: int) -> list[tuple[float, int, int]]:
+        """Slides over the template's words in a stretch, with a count of each in the run."""
+        hits = sorted((i, w) for w, p in enumerate(found) for i in p[bisect_left(p, begin) : bisect_left(p, end)])
+        self.seen["counted"] += len(hits)
         inside = [0] * len(t.words)
-        distinct, rare, first, best = 0, 0, 0, None
+        distinct, first = 0, 0
+        out: list[tuple[float, int, int]] = []
         for at, word in hits:
             inside[word] += 1
             distinct += inside[word] == 1
-            rare += word < t.prefix
             while hits[first][0] <= at - t.run:
                 gone = hits[first][1]
                 inside[gone] -= 1
                 distinct -= inside[gone] == 0
-                rare -= gone < t.prefix
                 first += 1
-            if rare and distinct >= t.least and (best is None or distinct > best[0]):
-                best = distinct, hits[first][0]
-        return (best[0] / len(t.words), best[1]) if best else None
+            if distinct >= t.least:
+                share, start = distinct / len(t.words), hits[first][0]
+                if out and start < out[-1][2]:
+                    out[-1] = max(share, out[-1][0]), out[-1][1], at + 1
+                else:
+                    out.append((share, start, at + 1))
+        return out
 
 
 def scan(
@@ -182,9 +232,10 @@ def scan(
     phrases: Mapping[str, str] = PHRASES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """`(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score)`.
+    """`(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks)`.
 
-    `score` is the largest share of a template found in a block, 1 where a phrase stands, and 0
+    `blocks` holds every block that meets a template, by template and place: label, number of the template,
+    share, first word and the word behind the last. Runs that overlap are one block. `score` is the largest share of a template found in a block, 1 where a phrase stands, and 0
     without any label.
     """
     vocabulary = {w for _, text in templates for w in words_of(text)}
@@ -198,13 +249,14 @@ def scan(
                 base = matcher.base(words)
                 near = matcher.blocks(words)
                 labels = {label for _, label in base}
-                more = labels | {matcher.templates[k].label for k in near}
-                score = 1.0 if base else max((share for share, _ in near.values()), default=0.0)
+                named = [{"label": matcher.templates[b.template].label, **b._asdict()} for b in near]
+                more = labels | {b["label"] for b in named}
+                score = 1.0 if base else max((b.share for b in near), default=0.0)
                 places = [p for p, _ in base]
                 first, last = (places[0], places[-1]) if places else (None, None)
-                rows.append((len(words), len(base), first, last, ",".join(sorted(labels)), ",".join(sorted(more)), score))
+                rows.append((len(words), len(base), first, last, ",".join(sorted(labels)), ",".join(sorted(more)), score, named))
             columns = list(zip(*rows))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), BLOCKS]
             arrays = [pa.array(list(c), type=k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[id_col, *NAMES])
 
@@ -213,8 +265,12 @@ def scan(
     return rows.mapInArrow(
         run,
         f"`{id_col}` {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
-        "base_labels string, labels string, score double",
+        "base_labels string, labels string, score double, "
+        "blocks array<struct<label:string,template:int,share:double,start:bigint,end:bigint>>",
     )
 
 
-NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
+BLOCKS = pa.list_(
+    pa.struct([("label", pa.string()), ("template", pa.int32()), ("share", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
+)

@@ -54,8 +54,8 @@ def _line_fails() -> str:
     from .quality_rules import BOILERPLATE
 
     bars = f"(length(x) - {_without('x', '|•»›')})"
-    words = r"len(regexp_split_to_array(trim(x), '[\x20\x09-\x0D]+'))"
-    phrases = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+    words = r"len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))"
+    phrases = " OR ".join("contains(lower(x), '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
     ending = r"""[.!?:;…"''»”’)\]][\x20\x09-\x0D]*\z"""
     inner = r"\pL[.!?…]\x20"
     return f"""(({bars} * 4 >= {words} AND {bars} >= 2) OR ({bars} >= 1 AND {words} <= 6)
@@ -68,6 +68,49 @@ _BLANK = "translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)
 
 
 
+def _licenses() -> str:
+    """Phrases by neighbours, templates by the distinct words within every run; no order of words is needed."""
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD, prepared, words_of
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    stands = " UNION ALL ".join(
+        "SELECT doc_id, i, '{}' AS label FROM near WHERE {}".format(label, " AND ".join(f"w{j} = '{w.decode()}'" for j, w in enumerate(words_of(p))))
+        for p, label in PHRASES.items()
+    )
+    longest = max(len(words_of(p)) for p in PHRASES)
+    leads = ", ".join(f"lead(w, {j}) OVER f AS w{j}" for j in range(longest))
+    rows = ", ".join(
+        f"({k}, '{t.label}', '{w.decode()}', {len(t.words)}, {t.least}, {t.run})"
+        for k, t in enumerate(prepared(TEMPLATES, {}, THRESHOLD))
+        for w in t.words
+    )
+    return f"""
+        WITH cut AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                                              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM cut),
+        near AS (SELECT doc_id, i, {leads} FROM word WINDOW f AS (PARTITION BY doc_id ORDER BY i)),
+        stand AS ({stands}),
+        base AS (
+            SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+                   list_sort(list(DISTINCT label)) AS found FROM stand GROUP BY doc_id),
+        template(k, label, w, m, least, run) AS (VALUES {rows}),
+        hit AS (SELECT doc_id, i, k, label, w, m, least, run FROM word JOIN template USING (w)),
+        enough AS (SELECT doc_id, k FROM hit GROUP BY doc_id, k, least HAVING count(DISTINCT w) >= least),
+        counted AS (
+            SELECT doc_id, label, least, m, count(DISTINCT w) OVER (
+                PARTITION BY doc_id, k ORDER BY i RANGE BETWEEN run - 1 PRECEDING AND CURRENT ROW) AS n
+            FROM hit SEMI JOIN enough USING (doc_id, k)),
+        block AS (
+            SELECT doc_id, list(DISTINCT label) AS found, max(CAST(n AS DOUBLE) / m) AS share
+            FROM counted WHERE n >= least GROUP BY doc_id)
+        SELECT cut.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(array_to_string(base.found, ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.found, []), coalesce(block.found, [])))), ','), '') AS labels,
+               CASE WHEN base.found IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+        FROM cut LEFT JOIN base ON cut.doc_id = base.doc_id LEFT JOIN block ON cut.doc_id = block.doc_id"""
+
+
 def _secrets() -> str:
     from .secrets import BASE, RULES
 
@@ -145,6 +188,7 @@ def _bottom_k() -> str:
 
 SQL = {
     "op11_bottom_k": _bottom_k(),
+    "op5_license_join": _licenses(),
     "op6_secret_ledger": _secrets(),
     "op1_anchor_repeats": f"""
         WITH {_NUMBERED}, {_windows(35)},
