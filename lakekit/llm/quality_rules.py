@@ -10,22 +10,26 @@ empty table gives an empty result. Columns of the input with the name of an outp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, free_names
 
 # Fixed values of the base rules.
-WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+WORD = r"[^\x20\x09-\x0D]+"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 # The line rules.
-MARKS = "!?.,;:|#$%&*<>@~^=+_/\\\"()[]{}"
+BARS = "[|•»›]"
+MARKS = r"[!?.,;:|#$%&*<>@~^=+_/\\\"()\[\]{}]"
+CARRIES_ON = r"\p{L}[.!?…]\x20"
 ENDINGS = r"[.!?:;…\"'»”’)\]][\x20\x09-\x0D]*\z"
+# Lower-case phrases, without signs that patterns give a meaning.
 BOILERPLATE = (
     "all rights reserved",
     "terms of use",
@@ -36,6 +40,24 @@ BOILERPLATE = (
     "enable javascript",
     "click here",
     "sign up for",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "datenschutzerklärung",
+    "verwendet cookies",
+    "javascript aktivieren",
+    "klicken sie hier",
+    "tous droits réservés",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "utilise des cookies",
+    "activer javascript",
+    "cliquez ici",
+    "todos los derechos reservados",
+    "términos de uso",
+    "política de privacidad",
+    "utiliza cookies",
+    "activar javascript",
+    "haga clic aquí",
 )
 MOST_MARKS = 0.6
 MOST_LOST = 0.5
@@ -46,15 +68,16 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _removed(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _times(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside runs of `window` words that occur twice or more in `words`.
 
-    Hashes of all runs are sorted with their places; equal neighbours are repeats, and the places in
-    order say how many words each adds. Texts without any repeat are told by their distinct hashes.
+    Every word is hashed once, a run by the hashes of its words. Hashes of all runs are sorted with
+    their places; equal neighbours are repeats, and the places in order say how many words each adds.
+    Texts without any repeat are told by their distinct hashes.
     """
 
     def places(hashes: Column) -> Column:
@@ -76,44 +99,54 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         none = F.size(F.array_distinct(hashes)) == F.size(hashes)
         return F.when(none, F.lit(0).cast("bigint")).otherwise(_let(places(hashes), covered))
 
-    def over(all_words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(all_words) - (window - 1))
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(all_words, i, window)))
-        return F.when(F.size(all_words) >= window, _let(hashes, count)).otherwise(F.lit(0).cast("bigint"))
+    def runs(each: Column) -> Column:
+        first = F.slice(each, F.lit(1), F.greatest(F.size(each) - (window - 1), F.lit(0)))
+        return F.transform(first, lambda h, i: F.xxhash64(h, *[F.get(each, i + k) for k in range(1, window)]))
 
-    return _let(words, over)
+    return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), runs), count)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word is navigation, boilerplate or not punctuated like prose."""
-    words = F.size(F.split(F.trim(line), SPACE_CLASS))
-    bars = _removed(line, "|•»›")
-    navigation = (bars * 4 >= words) & (bars >= 2) | (bars >= 1) & (words <= 6)
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    # a line that just goes on after a sentence is still prose
-    stops = line.rlike(ENDINGS) | line.rlike(r"\p{L}[.!?…]\x20")
-    punctuation = ~stops | (_removed(line, MARKS) > words * MOST_MARKS + 3)
-    return navigation | boilerplate & (words <= 40) | punctuation
-
+def line_fails(line: Column, boilerplate: Sequence[str] = BOILERPLATE) -> Column:
+    """Whether a line with a word is navigation, boilerplate or not punctuated like prose.
 
-def measures(text: Column) -> dict[str, Column]:
-    """The base measures of a text that is not null."""
+    `boilerplate` holds phrases in lower case. The rules stand in the order of their costs.
+    """
+    words = _times(line, WORD)
+    bars = _times(line, BARS)
+    # a line that just goes on after a sentence is still prose
+    stops = line.rlike(ENDINGS) | line.rlike(CARRIES_ON)
+    marks = _times(line, MARKS) > words * MOST_MARKS + 3
+    navigation = (bars >= 1) & ((bars >= 2) & (bars * 4 >= words) | (words <= 6))
+    fails = ~stops | marks | navigation
+    if boilerplate:
+        phrases = "|".join(re.escape(p) for p in boilerplate)
+        fails = fails | (words <= 40) & F.lower(line).rlike(phrases)
+    return fails
+
+
+def measures(text: Column, counted: str) -> dict[str, Column]:
+    """The base measures of a text that is not null; those by word are fields `n`, `c` and `r` of `counted`."""
     words = F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
-    with_word = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, WHITE, "")) > 0)
-    # both counts of one array, so that the text is cut into words once
-    both = _let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated_words(w).alias("r")))
+    with_word = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
+    # all counts of one array, so that the text is cut into words once
+    counts = _let(
+        words,
+        lambda w: F.struct(
+            F.size(w).cast("bigint").alias("n"),
+            F.char_length(F.array_join(w, "")).cast("bigint").alias("c"),
+            repeated_words(w).alias("r"),
+        ),
+    )
     return {
-        "_words": both,
-        "word_chars": F.length(F.translate(text, WHITE, "")).cast("bigint"),
-        "n_symbols": _removed(text, SYMBOLS).cast("bigint"),
+        counted: counts,
+        "n_symbols": _times(text, SYMBOLS).cast("bigint"),
         "n_dup_lines": _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
     }
 
 
-def clean(docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
+def clean(
+    docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LOST, boilerplate: Sequence[str] = BOILERPLATE
+) -> DataFrame:
     """Adds the measures, `clean_text` (the lines that pass), `lost` (share of word characters removed),
     `base_failed` and `kept`."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost", "kept")
@@ -121,17 +154,19 @@ def clean(docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LOST)
         raise ValueError(f"{text_col} is an output column")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     held = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
-    lines = F.filter(F.split(text, "\n", -1), lambda x: (F.length(F.translate(x, WHITE, "")) > 0) & ~line_fails(x))
-    found = held.withColumns({**measures(text), "clean_text": F.array_join(lines, "\n")})
-    left = F.length(F.translate("clean_text", WHITE, ""))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD) & ~line_fails(x, boilerplate))
+    own = free_names([*docs.columns, *names], 1)[0]
+    found = held.withColumns({**measures(text, own), "clean_text": F.array_join(lines, "\n")})
+    left = F.char_length(F.regexp_replace("clean_text", SPACE_CLASS, ""))
     counted = found.withColumns(
         {
-            "n_words": F.col("_words.n"),
-            "n_repeat_words": F.col("_words.r"),
-            "lost": F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(F.lit(1.0)),
+            "n_words": F.col(f"{own}.n"),
+            "word_chars": F.col(f"{own}.c"),
+            "n_repeat_words": F.col(f"{own}.r"),
+            "lost": F.when(F.col(f"{own}.c") > 0, 1 - left / F.col(f"{own}.c")).otherwise(F.lit(1.0)),
         }
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     judged = counted.withColumn("base_failed", failed)
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= most_lost))
-    return judged.drop("_words")
+    return judged.drop(own)

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -38,6 +39,9 @@ def test_empty_and_clashing(spark):
     assert quality_rules.clean(empty_docs(spark)).count() == 0
     docs = hard_docs(spark).withColumnsRenamed({"lang": "kept", "source": "n_words"})
     assert quality_rules.clean(docs).count() == docs.count()
+    inner = hard_docs(spark).withColumnsRenamed({"lang": "_own0", "source": "_words"})
+    kept = quality_rules.clean(inner).select(*inner.columns)
+    assert kept.exceptAll(inner).count() == 0 and inner.exceptAll(kept).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -49,6 +53,10 @@ def test_empty_and_clashing(spark):
         ("Home | About | Contact | Login", True),
         ("All rights reserved.", True),
         ("This line just stops without any mark", True),
+        ("Alle Rechte vorbehalten.", True),
+        ("\tHome and away | we go together.", False),
+        ("\t \tHome | we all go.", True),
+        (" \x0bone two three four five six seven | eight.\x0c", False),
         ("WHAT!! IS!! THIS!! KIND!! OF!! LINE!! SUPPOSED!! TO!! BE!! HERE!!", True),
     ],
 )
@@ -56,6 +64,38 @@ def test_lines(spark, line, fails):
     assert spark.createDataFrame([(line,)], "x string").select(quality_rules.line_fails(F.col("x"))).first()[0] is fails
 
 
+def brute_line(line, boilerplate=quality_rules.BOILERPLATE):
+    n = len(words(line))
+    bars = sum(c in "|•»›" for c in line)
+    marks = sum(c in "!?.,;:|#$%&*<>@~^=+_/\\\"()[]{}" for c in line)
+    end = line.rstrip(" \t\n\x0b\x0c\r")
+    stops = end != "" and end[-1] in ".!?:;…\"'»”’)]"
+    inner = any(a.isalpha() and b in ".!?…" and c == " " for a, b, c in zip(line, line[1:], line[2:]))
+    navigation = bars * 4 >= n and bars >= 2 or bars >= 1 and n <= 6
+    phrase = n <= 40 and any(p in line.lower() for p in boilerplate)
+    return navigation or phrase or not (stops or inner) or marks > n * 0.6 + 3
+
+
+def test_lines_against_plain_rules(spark):
+    """Random lines with tabs and other white space in front, inside and behind."""
+    rng = random.Random(3)
+    parts = ["word", "Über", "|", "»", "end.", "so!", "(a)", "x;", "[b]", "\\", "click here", "Cliquez ici", "politique de confidentialité"]
+    gaps = [" ", " ", " ", "\t", "  ", "\x0b", "\r", "\x0c "]
+    lines = [
+        rng.choice(["", *gaps]) + "".join(rng.choice(parts[: rng.choice([2, 6, 13])]) + rng.choice(gaps) for _ in range(rng.randint(1, 60)))
+        for _ in range(600)
+    ]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", quality_rules.line_fails(F.col("x")).alias("fails")).collect()
+    assert [(r.x, r.fails) for r in got] == [(x, brute_line(x)) for x in lines]
+    assert 100 < sum(r.fails for r in got) < 580
+
+
+def test_own_boilerplate(spark):
+    docs = spark.createDataFrame([(1, "Buy our (new) books.\nAll rights reserved.")], "doc_id bigint, text string")
+    assert quality_rules.clean(docs, boilerplate=["(new) books"]).first()["clean_text"] == "All rights reserved."
+    assert quality_rules.clean(docs, boilerplate=[]).first()["lost"] == 0
+
+
 def test_prose_is_kept_and_junk_is_not(spark):
     good = "\n".join(" ".join(f"w{i * j}x{i}y{j}" for j in range(9)) + "." for i in range(20))
     junk = "\n".join(f"item{i} | thing{i} | other{i} | more{i} | last{i}" for i in range(20))
