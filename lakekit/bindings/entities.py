@@ -183,10 +183,11 @@ def linkage_clusters(spark, folder):
 
 
 def linkage_estimate(spark, folder):
-    """m and u of every level, estimated from the customers' pairs."""
+    """m and u of every level, estimated from the customers' pairs, and the share of matches."""
     params, share = linkage.estimate(_vectors(spark, folder), ["c_name", "c_mktsegment", "c_nationkey"])
     rows = [(f, v, float(m), float(u), float(share)) for f, levels in params.items() for v, (m, u) in levels.items()]
-    return spark.createDataFrame(rows, "field string, level int, m double, u double, share double")
+    found = spark.createDataFrame(rows, "field string, level int, m double, u double, share double")
+    return found.select("field", "level", *[F.round(c, 8).alias(c) for c in ("m", "u", "share")])
 
 
 # --- spatial ------------------------------------------------------------------------------------
@@ -317,6 +318,41 @@ _VECTORS = f"""{_pairs(_KEYS, 1)},
              + CASE c_nationkey_level WHEN 1 THEN log2(0.95 / 0.04) ELSE log2(0.05 / 0.96) END AS weight
         FROM vectors)"""
 
+
+
+def _estimate(fields=("c_name", "c_mktsegment", "c_nationkey"), iterations=20, prior=0.1):
+    """Expectation maximisation as a recursive query: a row per level pattern, its match probability step by step."""
+    levels = [f"{f}_level" for f in fields]
+    kept = ", ".join(levels)
+    counts = ", ".join(f"count(DISTINCT {c}) AS n_{c}" for c in levels)
+    sums = ", ".join(f"sum(DISTINCT pow(2.0, {c} + 1)) AS up_{c}, sum(DISTINCT pow(2.0, -{c} - 1)) AS down_{c}" for c in levels)
+    begin = ", ".join(f"pow(2.0, {c} + 1) / up_{c} AS m_{c}, pow(2.0, -{c} - 1) / down_{c} AS u_{c}" for c in levels)
+
+    def part(c, weight):
+        return f"(1e-9 + sum({weight}) OVER (PARTITION BY {c})) / (n_{c} * 1e-9 + sum({weight}) OVER ())"
+
+    parts = ", ".join(f"{part(c, 'n * p')} AS m_{c}, {part(c, 'n * (1 - p)')} AS u_{c}" for c in levels)
+    step = f"""SELECT k, {kept}, n, {parts},
+        least(greatest(sum(n * p) OVER () / sum(n) OVER (), 1e-9), 1 - 1e-9) AS share FROM em, seen"""
+    likely = " * ".join(["share", *[f"m_{c}" for c in levels]])
+    unlikely = " * ".join(["(1 - share)", *[f"u_{c}" for c in levels]])
+    expect = f"{likely} / ({likely} + {unlikely})"
+    rows = " UNION ALL ".join(
+        f"SELECT DISTINCT '{f}' AS field, CAST({c} AS INTEGER) AS level, round(m_{c}, 8) AS m, round(u_{c}, 8) AS u, round(share, 8) AS share FROM last"
+        for f, c in zip(fields, levels)
+    )
+    return f"""
+        WITH RECURSIVE {_VECTORS},
+        pattern AS (SELECT {kept}, CAST(count(*) AS DOUBLE) AS n FROM vectors GROUP BY ALL),
+        seen AS (SELECT {counts}, {sums} FROM pattern),
+        em AS (
+            SELECT 1 AS k, {kept}, n, {expect} AS p FROM (SELECT {kept}, n, {begin}, {prior} AS share FROM pattern, seen)
+            UNION ALL
+            SELECT k + 1, {kept}, n, {expect} FROM ({step} WHERE k < {iterations})),
+        last AS ({step} WHERE k = {iterations})
+        {rows}"""
+
+
 _DISTANCE = f"""2 * {EARTH_RADIUS_M} * asin(sqrt(least(1.0,
     pow(sin(radians(b.lat - a.lat) / 2), 2)
     + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"""
@@ -340,6 +376,7 @@ _CELLS = ", ".join(
 )
 
 SQL = {
+    "linkage_estimate": _estimate(),
     "graph_nodes": f"WITH {_NODES} SELECT * FROM nodes",
     "graph_edges": f"""
         WITH {_NODES}, {_EDGES} SELECT * FROM edges

@@ -1,4 +1,5 @@
 from datetime import datetime, timezone
+from threading import Barrier
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -102,6 +103,30 @@ def test_run_readiness_reports_failures_and_repeats_add_nothing(spark, root, nam
     assert spark.table(name).count() == 2
 
 
+def test_collectors_of_different_tables_run_side_by_side(spark, root, name):
+    files = paths(spark, "p/cycle=2022/_months/2022-01.done")
+    marks = readiness.sentinels(files, NOW)
+    tables.create_table(spark, name, marks.schema, root)
+    both = Barrier(2, timeout=60)
+
+    def meets():
+        both.wait()
+        return marks
+
+    def fails():
+        both.wait()
+        raise RuntimeError("storage is away")
+
+    targets = {"sentinels": name, "freshness": "default.nothing"}
+    report = rows(readiness.run_readiness(spark, {"sentinels": meets, "freshness": fails}, targets))
+    assert report == [("freshness", None, "failed", "storage is away"), ("sentinels", 1, "ok", None)]
+    # one after the other when only one may run: the barrier breaks for both
+    alone = Barrier(2, timeout=0.2)
+    report = rows(readiness.run_readiness(spark, {"sentinels": alone.wait, "freshness": alone.wait}, targets, at_once=1))
+    assert [r[2] for r in report] == ["failed", "failed"]
+    assert rows(readiness.run_readiness(spark, {}, {})) == []
+
+
 def test_latest_snapshot(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "collected_at int, v string")
     assert rows(reports.latest_snapshot(df), "v") == [("b",), ("c",)]
