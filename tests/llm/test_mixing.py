@@ -81,3 +81,53 @@ def test_applied_mix_has_the_rows(spark):
     assert out.columns == docs.columns
     seen = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert seen == {k: v for k, v in mixed.items() if v}
+
+
+def brute_choice(rows, target):
+    """Times that every (id, key) is taken: all queues sorted by finish time, cut at the budget."""
+    held, entries = {}, []
+    for r in rows:
+        held.setdefault(r["source"], []).append(r)
+    for source, docs in held.items():
+        size = sum(r["size"] for r in docs)
+        for r in docs:
+            upto = sum(o["size"] for o in docs if o["key"] <= r["key"])
+            for turn in range(2):
+                if target[source] > 0:
+                    place = (turn * size + upto) / target[source], turn, source is None, source or "", r["key"]
+                    entries.append((place, r["size"], r["id"]))
+    entries.sort(key=lambda e: e[0])
+    budget, total, cut = sum(target.values()) * (1 + 1e-12), 0, None
+    for place, size, _ in entries:
+        total += size
+        if total > budget:
+            cut = place
+            break
+    times = {}
+    for place, _, i in entries:
+        times[i] = times.get(i, 0) + (cut is None or place < cut)
+    return {r["id"]: times.get(r["id"], 0) for r in rows}
+
+
+@pytest.mark.parametrize("seed, sources", [(1, ["a"] * 9 + ["b", "c", None, "Ü"]), (2, ["a", "a", "b", None])])
+def test_choice_against_sorting_everything(spark, monkeypatch, seed, sources):
+    """Hundreds of documents, many without words, so that several cells and slots are crossed."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 15)
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.choice([0, 0, 1, 5, 30, 60]), None, rng.choice(sources), 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    sized = mixing.measured(docs).collect()
+    by_source = {r["source"]: r["target"] for r in mixing.targets(mixing.measured(docs)).collect()}
+    got = {r["id"]: r["times"] for r in mixing.mixed(docs).collect()}
+    assert got == brute_choice(sized, by_source)
+    assert len(set(got.values())) == (3 if len(sources) == 4 else 2), by_source
+
+
+def test_wordless_rows_behind_a_long_one(spark, monkeypatch):
+    """All rows of one slot end at one finish time: the cut may fall among them and none is lost."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 10)
+    rows = [(0, "w " * 400, None, "a", 0)] + [(i, "", None, "a", 0) for i in range(1, 400)] + [(500, "w " * 100, None, "b", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    sized = mixing.measured(docs).collect()
+    by_source = {r["source"]: r["target"] for r in mixing.targets(mixing.measured(docs)).collect()}
+    assert {r["id"]: r["times"] for r in mixing.mixed(docs).collect()} == brute_choice(sized, by_source)
