@@ -1,5 +1,6 @@
 import numpy as np
 from cases import DOCS, empty_docs, hard_docs
+from pyspark.sql import functions as F
 
 from lakekit.llm import quality_model as q
 
@@ -114,3 +115,66 @@ def test_equal_rows_do_not_fill_the_sample(spark):
         places = [r["place"] for r in q.learning_rows(many, sample=50).collect()]
         assert len(places) == len(set(places)) == 50
         assert np.array_equal(q.learn_scorer(many, model, sample=50), plain)
+
+
+def plain_labels(voted):
+    """Expectation-maximisation document by document: share of good ones, tables, and every document's posterior."""
+    share = 0.8
+    tables = [[[0.6, 0.1, 0.3], [0.05, 0.65, 0.3]] for _ in range(q.LABELLERS)]
+
+    def posterior(v):
+        odds = [1 - share, share]
+        for j, x in enumerate(v):
+            odds = [odds[k] * tables[j][k][x] for k in (0, 1)]
+        return odds[1] / sum(odds)
+
+    for _ in range(q.EM_ROUNDS):
+        good = [posterior(v) for v in voted]
+        new = [[[1.0] * 3 for _ in range(2)] for _ in range(q.LABELLERS)]
+        for v, p in zip(voted, good):
+            for j, x in enumerate(v):
+                new[j][0][x] += 1 - p
+                new[j][1][x] += p
+        new = [[[x / sum(row) for x in row] for row in table] for table in new]
+        moved = max(abs(a - b) for t, o in zip(new, tables) for r, s in zip(t, o) for a, b in zip(r, s))
+        before, share, tables = share, (sum(good) + 1) / (len(voted) + 2), new
+        if abs(share - before) < 1e-9 and moved < 1e-9:
+            break
+    return [posterior(v) for v in voted]
+
+
+def plain_scores(rows, sample):
+    """The whole query without Spark: posteriors of all rows, a scorer on the smallest places, a score per text."""
+    good = plain_labels([q.votes(text) for _, text in rows])
+    by_place = {place: (text, p) for (place, text), p in zip(rows, good)}
+    chosen = [by_place[k] for k in sorted(by_place)[:sample]]
+    learned = [(q.features(text), p) for text, p in chosen if len(q.features(text)[0])]
+    weights, seen, rng = np.zeros(q.FEATURES), np.full(q.FEATURES, 1e-6), np.random.default_rng(11)
+    for _ in range(q.EPOCHS):
+        order = rng.permutation(len(learned))
+        for begin in range(0, len(learned), 128):
+            batch = [learned[i] for i in order[begin : begin + 128]]
+            slope = np.zeros(q.FEATURES)
+            for (names, values), p in batch:
+                error = 1 / (1 + np.exp(-sum(weights[n] * float(v) for n, v in zip(names, values)))) - p
+                for n, v in zip(names, values):
+                    slope[n] += error * float(v)
+            slope = slope / len(batch) + 1e-5 * weights
+            seen += slope**2
+            weights -= 0.2 * slope / np.sqrt(seen)
+    out = {}
+    for place, text in rows:
+        names, values = q.features(text)
+        out[place] = 1 / (1 + np.exp(-sum(weights[n] * float(v) for n, v in zip(names, values)))) if len(names) else 0.0
+    return out
+
+
+def test_whole_query_against_plain_loops(spark):
+    place = F.xxhash64("doc_id", "text", F.lit(3)).alias("place")
+    docs = hard_docs(spark)
+    rows = [(r["place"], r["text"]) for r in docs.select(place, "text").collect()]
+    for sample in (q.SAMPLE, 25):
+        expected = plain_scores(rows, sample)
+        got = q.classify(docs, sample=sample).select(place, "quality_score").collect()
+        assert len(got) == len(rows)
+        assert max(abs(r["quality_score"] - expected[r["place"]]) for r in got) < 1e-5
