@@ -38,12 +38,15 @@ def graph_tables(
 
 
 def split_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges whose ends exist, and dangling ones with a `reason`; nodes must be unique by id."""
+    """Edges whose ends exist, and dangling ones with a `reason`; nodes must be unique by id.
+
+    Nodes meet edges by shuffles, never through the driver; adaptive execution splits the edges of a hub.
+    """
     ids = nodes.select("id")
     known = ids.withColumn("_there", F.lit(True))
     marked = (
-        edges.join(known.withColumnsRenamed({"id": "src", "_there": "_src"}), "src", "left")
-        .join(known.withColumnsRenamed({"id": "dst", "_there": "_dst"}), "dst", "left")
+        edges.join(known.withColumnsRenamed({"id": "src", "_there": "_src"}).hint("merge"), "src", "left")
+        .join(known.withColumnsRenamed({"id": "dst", "_there": "_dst"}).hint("merge"), "dst", "left")
         .select(*edges.columns, F.col("_src").isNull().alias("_no_src"), F.col("_dst").isNull().alias("_no_dst"))
     )
     whole = marked.filter(~F.col("_no_src") & ~F.col("_no_dst")).select(*edges.columns)
@@ -89,7 +92,8 @@ def connected_components(
     list of neighbours, and the minimum of a hub is broadcast to its edges instead of moving them
     into one task. The edges of
     every step are written below `path` (by default in the shared folder), which ends the
-    lineage; the round before is deleted.
+    lineage; the round before is deleted. Of vertices and edges only counts and the minima of hubs
+    pass through the driver.
     """
     spark = nodes.sparkSession
     path = path or scratch_path(spark, "components")
@@ -111,7 +115,7 @@ def connected_components(
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = state.select(F.col("u").alias("id"), F.col("v").alias("_root"))
     ids = nodes.select("id").distinct()
-    return ids.join(roots, "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
+    return ids.join(roots.hint("merge"), "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
 
 
 def component_changes(labels: DataFrame, edges: DataFrame) -> DataFrame:

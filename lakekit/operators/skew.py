@@ -60,7 +60,7 @@ def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], rows: str
     there = marked.filter(F.col("_found").isNotNull()).select(*left.columns, *[f"_found.{v}" for v in values])
     rest = marked.filter(F.col("_found").isNull()).drop("_found")
     # the same columns as above, so that Spark builds the lookup once for both
-    others = lookup.filter(~is_hot)
+    others = lookup.filter(~is_hot).hint("merge")
     return there.unionByName(rest.join(others, on).select(*left.columns, *values))
 
 

@@ -67,6 +67,21 @@ def test_components_that_do_not_settle_are_an_error(spark):
         components(spark, range(40), [(i, i + 1) for i in range(39)], max_rounds=1)
 
 
+def test_vertices_and_edges_never_pass_through_the_driver(spark, capsys):
+    nodes = spark.range(50).select("id")
+    edges = spark.range(49).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    plans = []
+    for df in (*graph.split_edges(nodes, edges), graph.connected_components(nodes, edges)):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+    assert all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans)
+    counted = edges.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+    skew.lookup_join(edges, counted, ["src"], "n", 49).explain()
+    plan = capsys.readouterr().out
+    # the hot entries, few whatever the data is, are the only rows sent to all: once for each kind of row
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_graph_tables(spark):
     people = spark.createDataFrame([("p1", "b"), ("p1", "a"), ("p2", "c"), (None, "d")], "id string, n string")
     knows = spark.createDataFrame([("p1", "p2"), ("p1", "p9"), ("p8", "p2"), ("p8", "p9"), ("p1", "p2")], "a string, b string")
