@@ -19,6 +19,8 @@ from .tables import aligned, base_of, current, overwrite, partition_list, with_m
 
 # up to so many partition values are written into the filter, so that the scan prunes by them
 LISTED_PARTITIONS = 1000
+# up to so many new rows Spark may send their keys to the table's rows; more are compared in one shuffle
+FEW_ROWS = 100_000
 
 
 def _match(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -89,33 +91,62 @@ def _met(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], taken: S
     return held.join(wanted, _match(taken, [f"_w{i}" for i in range(len(keys))]), "left_semi")
 
 
+def absent_keys(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys of `incoming` that `existing` lacks, as columns `_k0`, `_k1` and so on.
+
+    One aggregate over the keys of both sides, combined before the only shuffle; NULL is a key like any other.
+    """
+    taken = [f"_k{i}" for i in range(len(keys))]
+    held, wanted = (
+        df.select(*[F.col(k).alias(t) for k, t in zip(keys, taken)], F.lit(there).alias("_there"))
+        for df, there in ((existing, True), (incoming, False))
+    )
+    return held.unionByName(wanted).groupBy(*taken).agg(F.max("_there").alias("_there")).filter(~F.col("_there")).drop("_there")
+
+
+def _inserted(fresh: DataFrame, name: str) -> int:
+    """Append `fresh` to `name`; returns how many rows it had."""
+    spark, added = fresh.sparkSession, Observation()
+    fresh.observe(added, F.count(F.lit(1)).alias("n")).write.insertInto(physical_name(spark, name))
+    spark.catalog.refreshTable(name)
+    return added.get["n"]
+
+
 def append_absent(df: DataFrame, name: str, keys: Sequence[str]) -> int:
     """Append the rows of `df` whose key is absent from table `name`; returns how many.
 
-    `df` is worked out once, into the shared folder. Rows of the table whose first key is outside the
-    range of the new ones cannot match and are not read, as far as files and partitions tell.
+    `df` is worked out once: for an empty table straight into it, else into the shared folder. Rows of
+    the table whose first key is outside the range of the new ones cannot match and are not read, as far
+    as files and partitions tell. Of many new rows the keys are compared first, and whole rows
+    move only when some of them are absent.
     """
     spark = df.sparkSession
     table = current(spark, name)
+    rows = aligned(df, table.columns)
+    if table.isEmpty():
+        return _inserted(one_per_key(rows, keys), name)
     path = scratch_path(spark, "append")
     ranged = table.schema[keys[0]].dataType.typeName() not in ("map", "array", "struct", "variant", "binary", "double", "float")
     ends = [F.min(keys[0]).alias("least"), F.max(keys[0]).alias("most")] if ranged else []
     seen = Observation()
     try:
         # the ends are observed while the rows are written
-        counted = aligned(df, table.columns).observe(seen, F.count(F.lit(1)).alias("n"), *ends)
-        incoming = materialise(counted, path)
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("n"), *ends)
+        incoming = materialise(counted, f"{path}/rows")
         if not seen.get["n"]:
             return 0
         if ranged and seen.get["least"] is not None:
             kind = table.schema[keys[0]].dataType
             least, most = (F.lit(seen.get[e]).cast(kind) for e in ("least", "most"))
             table = table.filter(F.col(keys[0]).isNull() | F.col(keys[0]).between(least, most))
-        added = Observation()
-        fresh = absent_rows(table, incoming, keys).observe(added, F.count(F.lit(1)).alias("n"))
-        fresh.write.insertInto(physical_name(spark, name))
-        spark.catalog.refreshTable(name)
-        return added.get["n"]
+        alike = all(incoming.schema[k].dataType == table.schema[k].dataType for k in keys)
+        if seen.get["n"] <= FEW_ROWS or not alike:
+            return _inserted(absent_rows(table, incoming, keys), name)
+        missing = Observation()
+        absent = materialise(absent_keys(table, incoming, keys).observe(missing, F.count(F.lit(1)).alias("n")), f"{path}/keys")
+        if not missing.get["n"]:
+            return 0
+        return _inserted(one_per_key(incoming.join(absent, _match(keys, absent.columns), "left_semi"), keys), name)
     finally:
         delete_path(spark, path)
 

@@ -256,6 +256,38 @@ def test_append_absent_is_null_safe_and_collapses(spark, root, name):
     assert added == 1 and rows(spark.table(name)) == [(None, "n"), (1, "a"), (2, "b")]
 
 
+def test_appends_move_whole_rows_only_when_keys_are_absent(spark, root, name, monkeypatch):
+    def never(*args, **kwargs):
+        raise AssertionError("not needed")
+
+    tables.bootstrap_empty(spark, name, kv(spark, (1, "a")).schema, root)
+    # an empty table: rows go straight into it
+    with monkeypatch.context() as patch:
+        patch.setattr(merge, "materialise", never)
+        first = kv(spark, (1, "z"), (1, "a"), (None, "n"), (None, "m"), (2, None), (2, "b"))
+        assert merge.append_absent(first, name, ["k"]) == 3
+    assert rows(spark.table(name)) == [(None, "m"), (1, "a"), (2, None)]
+    # more rows than Spark may send the keys of
+    monkeypatch.setattr(merge, "FEW_ROWS", 0, raising=False)
+    with monkeypatch.context() as patch:
+        patch.setattr(merge, "one_per_key", never)
+        assert merge.append_absent(first, name, ["k"]) == 0
+    assert merge.append_absent(kv(spark, (None, "a"), (2, "a"), (3, "d"), (3, "c"), (4, None)), name, ["k"]) == 2
+    assert rows(spark.table(name)) == [(None, "m"), (1, "a"), (2, None), (3, "c"), (4, None)]
+    assert merge.append_absent(first.limit(0), name, ["k"]) == 0
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_appends_by_two_keys_with_nulls(spark, root, name, monkeypatch, few):
+    monkeypatch.setattr(merge, "FEW_ROWS", few, raising=False)
+    kind = "a string, b double, v string"
+    tables.write_table(spark.createDataFrame([("x", None, "1"), (None, 0.0, "2")], kind), name, "create", root)
+    more = [("x", None, "0"), (None, -0.0, "0"), (None, None, "5"), (None, None, "4"), ("y", 1.0, "6"), ("x", 1.0, None)]
+    assert merge.append_absent(spark.createDataFrame(more, kind), name, ["a", "b"]) == 3
+    want = [(None, None, "4"), (None, 0.0, "2"), ("x", None, "1"), ("x", 1.0, None), ("y", 1.0, "6")]
+    assert rows(spark.table(name)) == want
+
+
 def test_one_per_key_ties(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 4, "z"), (2, None, "x")], "k int, t int, v string")
     want = [(1, 5, "a"), (2, None, "x")]
