@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lakekit.llm import ngram_join
+from lakekit.session import shared_root
 
 
 def low(text):
@@ -162,3 +165,68 @@ def test_all_pairs_against_brute_force(spark, monkeypatch, tokens):
     pairs = ngram_join.similar_pairs(docs, size=5, percent=80).collect()
     assert sorted(tuple(sorted((r["src_id"], r["dst_id"]))) for r in pairs) == expected
     assert len(expected) > 150
+
+
+def copies(spark, groups, each):
+    """Near copies: every text with a last word of its own."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [prose(rng, 300, vocabulary) for _ in range(groups)]
+    rows = [(g * each + i, f"{t} last{i}") for g, t in enumerate(base) for i in range(each)]
+    return rows, spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+
+
+def heads_of(docs):
+    return ngram_join._heads(docs, "doc_id", "text", 5, 80, ngram_join.sketch(docs, "text", 5))
+
+
+def test_keys_of_near_copies_are_told_once_per_unit(spark):
+    rows, docs = copies(spark, 4, 40)
+    heads = heads_of(docs)
+    met = ngram_join.shared_keys(heads)
+    keys = heads.selectExpr("sum(size(head)) AS n").first()["n"]
+    assert keys > 50 * len(rows) and met.count() < keys / 10
+
+
+@given(st.sets(st.tuples(st.integers(-4, 4), st.integers(-6, 6)), max_size=40))
+def test_units_cover_every_key_of_their_documents(pairs):
+    ordered = sorted(pairs)
+    table = ngram_join.units_of(*(np.array([p[i] for p in ordered], dtype=np.int64) for i in (0, 1))).to_pylist()
+    unit = {r["doc"]: r["unit"] for r in table if r["token"] is None}
+    told = [(r["token"], r["unit"], r["several"]) for r in table if r["token"] is not None]
+    assert set(unit) == {d for _, d in pairs} and len(table) == len(unit) + len(told)
+    assert sorted(told) == sorted(
+        {(k, unit[d], sum(j == k and unit[e] == unit[d] for j, e in pairs) > 1) for k, d in pairs}
+    )
+
+
+def test_crowded_smallest_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 3)
+    rows, docs = copies(spark, 3, 25)
+    docs = docs.unionByName(hard_docs(spark)).repartition(3)
+    most = ngram_join.in_chunks(heads_of(docs)).groupBy("chunk").count().selectExpr("max(count)").first()[0]
+    assert most < 25
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert got(ngram_join.components(docs, size=5, percent=80)) == brute(rows, 5, 80)
+
+
+def test_keys_and_shuffles_do_not_stay(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    folder = f"{shared_root(spark)}/lakekit".removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+
+    _, docs = copies(spark, 3, 10)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, there, files = spark.conf.get(cleanup, None), set(os.listdir(folder)), shuffled()
+    ngram_join._members(docs, "doc_id", "text", 5, 80)
+    left = {re.sub("-[0-9a-f]{32}$", "", name) for name in set(os.listdir(folder)) - there}
+    assert "ngram-links" in left and not left & {"ngram-heads", "ngram-postings"}
+    assert spark.conf.get(cleanup, None) == held
+    for _ in range(50):
+        if not shuffled() - files:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - files
