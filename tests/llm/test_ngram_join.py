@@ -230,3 +230,24 @@ def test_keys_and_shuffles_do_not_stay(spark):
             break
         time.sleep(0.2)
     assert not shuffled() - files
+
+
+@pytest.mark.parametrize("seed, percent, edits", [(1, 80, 9), (2, 80, 16), (3, 70, 25)])
+def test_wide_places_against_brute_force(spark, monkeypatch, seed, percent, edits):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", (600, 600))
+    monkeypatch.setattr(ngram_join, "WIDE", 2)
+    texts = family(random.Random(seed), 60, edits)
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    assert got(ngram_join.components(docs, size=3, percent=percent)) == brute(list(enumerate(texts)), 3, percent)
+
+
+def test_texts_of_a_large_group_move_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", (2_000, 2_000))
+    folder = f"{shared_root(spark)}/lakekit".removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    rows, docs = copies(spark, 1, 200)
+    there = set(os.listdir(folder))
+    assert {r[2] for r in got(ngram_join.components(docs, size=5, percent=80))} == {0}
+    cells = [spark.read.parquet(f"{folder}/{name}") for name in set(os.listdir(folder)) - there if name.startswith("ngram-cells")]
+    # the group fills some thirty blocks
+    assert sum(c.selectExpr("coalesce(sum(size(cells)), 0)").first()[0] for c in cells) < 4 * len(rows)
