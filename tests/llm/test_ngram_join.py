@@ -251,3 +251,24 @@ def test_texts_of_a_large_group_move_a_few_times(spark, monkeypatch):
     cells = [spark.read.parquet(f"{folder}/{name}") for name in set(os.listdir(folder)) - there if name.startswith("ngram-cells")]
     # the group fills some thirty blocks
     assert sum(c.selectExpr("coalesce(sum(size(cells)), 0)").first()[0] for c in cells) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("outside", [0, 9, 45])
+def test_rest_cells_meet_all_that_is_not_connected(spark, outside):
+    """One large component and `outside` sets in small ones; what shares a block or meets the first block is compared before."""
+    rng = random.Random(outside)
+    key = lambda i: bytes([i])
+    sets = [(key(i), key(i), rng.randint(0, 6), 5, 7, 600, 10) for i in range(60)]
+    dealt = spark.createDataFrame(sets, "text_key binary, set_key binary, block int, place bigint, blocks int, total bigint, n bigint")
+    root = {key(i): key(0) if i < 60 - outside else key(i - i % 3) for i in range(60)}
+    links = spark.createDataFrame([(k, r) for k, r in root.items() if k != r], "src binary, dst binary")
+    cells = ngram_join._rest_cells(dealt, links, 30).collect()
+    there = {}
+    for c in cells:
+        there.setdefault(bytes(c["set_key"]), set()).add((c["low"], c["high"], c["block"]))
+    assert bool(there) == bool(outside)
+    find = {i: min(j for j in root if root[j] == root[i]) for i in root}
+    for a, _, p, *_ in sets:
+        for b, _, q, *_ in sets:
+            if p and q and p != q and find[a] != find[b]:
+                assert any(x[:2] == y[:2] and x[2] != y[2] for x in there[a] for y in there[b]), (a, b)
